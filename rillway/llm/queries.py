@@ -2,12 +2,70 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillway.llm import quality
+from rillway.llm import bpe, chat, decontaminate, quality
 from rillway.llm.common import documents
 
 
+#: The tokenizer files lie at the same place on every machine; another place is a matter of this one function.
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_round_trip(spark, sf_dir):
+    """Ids and decoded text of every document, as digests."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode_documents(docs, tokenizer("byte_bpe_50k.json"), decode=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_chat_formatting(spark, sf_dir):
+    """Each conversation formatted, then read back from the formatted text and its loss mask."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(odd).alias("text"),
+    )
+    made = chat.format_conversations(given.unionByName(extra))
+
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for conv, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                turns = chat.parse_turns(text)
+                said = "".join(f"{role}\n{x}\n" for role, x in turns)
+                loss = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in spans)
+                sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((conv, len(turns), sha(said), len(loss), sha(loss), len(text)))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return made.select("conv_id", "formatted", "loss_spans").mapInArrow(
+        read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    )
+
+
+def op10_decontamination(spark, sf_dir):
+    """Each document and benchmark item that overlap."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.line_verdicts(documents(spark, sf_dir)).select(
         "doc_id", *quality.FIGURES, "base_failed", "kept", "n_failed_lines", F.round("lost", 6).alias("lost")
