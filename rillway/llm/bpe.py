@@ -181,9 +181,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, decode: bool = False) -> D
 
     With decode, also decoded (string), the text that the ids stand for. tokenizer: path of a byte-level BPE file,
     the same on all executors. Null text counts as empty: no ids. Long texts are never cut; repeated rows are
-    encoded each; columns other than text pass through.
+    encoded each; other columns pass through, except ones named ids or decoded, which give way.
     """
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

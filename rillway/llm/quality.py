@@ -126,7 +126,9 @@ def quality_stage(docs: DataFrame, **how) -> DataFrame:
     """The documents that pass, with their failing lines removed and n_chars counted again."""
     cols = docs.columns
     rest = [c for c in cols if c not in ("doc_id", "text")]
-    out = line_verdicts(docs, keep_columns=rest, **how).where("kept").withColumnRenamed("clean_text", "text")
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    out = line_verdicts(packed, keep_columns=["_rest"], **how).where("kept")
+    text = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*cols)
+        text["n_chars"] = F.length("clean_text").cast("bigint")
+    return out.select(*[text.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in cols])

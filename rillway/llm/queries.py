@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillway.llm import bpe, chat, decontaminate, quality
+from rillway.llm import bpe, chat, decontaminate, language, quality, secrets, token_store
 from rillway.llm.common import documents
 
 
@@ -19,6 +19,26 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_store(spark, sf_dir):
+    """Every document in token files, read back from them."""
+    return token_store.store_and_read(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"), end=2)
+
+
+def op4_secret_scan(spark, sf_dir):
+    """Spans of secrets in every document."""
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.fit(docs))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(secrets.joined(F.filter("secrets", lambda s: s["kind"] != "markov")).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     """Ids and decoded text of every document, as digests."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -31,6 +51,14 @@ def op5_bpe_round_trip(spark, sf_dir):
     )
 
 
+def op7_language(spark, sf_dir):
+    """The language of every document, learned from those whose remainder is not 0."""
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = language.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_formatting(spark, sf_dir):
     """Each conversation formatted, then read back from the formatted text and its loss mask."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
