@@ -12,8 +12,7 @@ ENDINGS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
     "cookie policy", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
-    "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "sign in to",
-    "subscribe to our", "skip to content", "skip to main content", "share on facebook",
+    "all rights reserved", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "skip to content",
 )
 
 
@@ -24,32 +23,36 @@ def _without(c: Column, pattern: str) -> Column:
 def words(text: Column) -> Column:
     """Array of the runs of characters other than space and \\t-\\r; empty for a text without one."""
     rare = text.rlike("[\t\\x0b\\f\r]")
-    flat = F.when(rare, F.regexp_replace(text, SPACE, " ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
-    return F.array_remove(F.split(flat, " "), "")
+    flat = F.btrim(F.when(rare, F.regexp_replace(text, SPACE, " ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" "))))
+    cut = F.split(flat, " ")
+    return F.when(F.contains(flat, F.lit("  ")) | (flat == ""), F.array_remove(cut, "")).otherwise(cut)
+
+
+#: Up to so many different repeated windows of a text are looked up one by one, more by a second sort.
+FEW = 64
 
 
 def repeated_words(w: str) -> Column:
     """Words of array column w that stand in a three-word window found at least twice in w.
 
-    Windows are sorted as strings with their place behind them, so equal windows are neighbours:
-    n log n for each text, exact, and nothing leaves the row.
+    Windows are strings of three words; sorted, equal ones are neighbours. Most texts have none or few. Where they
+    have many, windows are sorted with their place behind them: n log n for each text either way, exact, and nothing
+    leaves the row.
     """
+    covered = "aggregate(transform({d}, (v, j) -> cast(least(3, coalesce(get({d}, j + 1) - v, 3)) AS bigint)), 0L, (n, v) -> n + v)"
+    few = "aggregate(array(array_compact(transform(t, (x, i) -> CASE WHEN array_contains(twice, x) THEN i END))), 0L, (a3, d) -> " + covered.format(d="d") + ")"
+    many = f"""
+      aggregate(array(sort_array(transform(t, (x, i) -> concat(x, ' ', cast(1000000000 + i AS string))))), 0L, (a3, s) ->
+        aggregate(array(transform(s, x -> substring(x, 1, length(x) - 10))), 0L, (a4, p) ->
+          aggregate(array(zip_with(p, slice(p, 2, size(p) - 1), (x, y) -> x <=> y)), 0L, (a5, e) ->
+            aggregate(array(sort_array(array_compact(transform(s, (x, j) -> CASE WHEN get(e, j) OR get(e, j - 1) THEN cast(right(x, 9) AS int) END)))), 0L, (a6, d) ->
+              {covered.format(d="d")}))))"""
     return F.expr(f"""
       CASE WHEN size({w}) < 4 THEN 0L ELSE
-        aggregate(
-          array(sort_array(array_compact(zip_with(zip_with({w}, slice({w}, 2, size({w}) - 2), (a, b) -> concat(a, ' ', b, ' ')),
-            transform(slice({w}, 3, size({w}) - 2), (c, i) -> concat(c, ' ', cast(1000000000 + i AS string))), (x, y) -> concat(x, y))))),
-          0L,
-          (a0, s) -> aggregate(
-            array(transform(s, x -> substring(x, 1, length(x) - 10))),
-            0L,
-            (a1, p) -> aggregate(
-              array(zip_with(p, slice(p, 2, size(p) - 1), (x, y) -> x <=> y)),
-              0L,
-              (a2, e) -> aggregate(
-                array(sort_array(array_compact(transform(s, (x, j) -> CASE WHEN get(e, j) OR get(e, j - 1) THEN cast(right(x, 9) AS int) END)))),
-                0L,
-                (a3, d) -> aggregate(transform(d, (v, j) -> cast(least(3, coalesce(get(d, j + 1) - v, 3)) AS bigint)), 0L, (n, v) -> n + v)))))
+        aggregate(array(transform(slice({w}, 3, size({w}) - 2), (c, i) -> concat(get({w}, i), ' ', get({w}, i + 1), ' ', c))), 0L, (a1, t) ->
+          aggregate(array(sort_array(t)), 0L, (a2, s) ->
+            aggregate(array(array_distinct(array_compact(zip_with(s, slice(s, 2, size(s) - 1), (x, y) -> CASE WHEN x = y THEN x END)))), 0L, (a2b, twice) ->
+              CASE WHEN size(twice) = 0 THEN 0L WHEN size(twice) <= {FEW} THEN {few} ELSE {many} END)))
       END""")
 
 
@@ -71,9 +74,9 @@ def line_verdicts(docs: DataFrame, max_lost: float = 0.3, keep_columns: list[str
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | F.contains(low, F.lit(phrase))
-    d = d.withColumn("_furniture", furniture)
-    d = d.withColumn("_bad", F.filter("_lines", _fails))
-    d = d.withColumn("_good", F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~_fails(x))))
+    # the look at the whole text stays outside the lambdas: inside, it would be repeated for each line
+    d = d.withColumn("_bad", F.when(furniture, F.filter("_lines", lambda x: _fails(x, True))).otherwise(F.filter("_lines", _fails)))
+    d = d.withColumn("_good", F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~_fails(x, True))))
     lost = F.length(_without(F.array_join("_bad", ""), SPACE)) / F.col("word_chars")
     d = d.select(
         "doc_id",
@@ -87,17 +90,17 @@ def line_verdicts(docs: DataFrame, max_lost: float = 0.3, keep_columns: list[str
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
 
 
-def _fails(line: Column) -> Column:
+def _fails(line: Column, furnished: bool = False) -> Column:
     solid = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     symbols = F.length(line) - F.length(_without(line, SYMBOL))
     furniture = F.lit(False)
-    for phrase in BOILERPLATE:
+    for phrase in BOILERPLATE if furnished else ():
         furniture = furniture | F.contains(F.lower(line), F.lit(phrase))
     return (F.length(solid) > 0) & (
         ~F.right(solid, F.lit(1)).isin(*ENDINGS)
         | (F.contains(line, F.lit("|")) & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 3))
         | (line.rlike(SYMBOL) & (10 * symbols >= F.length(_without(line, SPACE))))
-        | (F.col("_furniture") & furniture)
+        | furniture
     )
 
 
@@ -115,7 +118,7 @@ def base_figures(d: DataFrame, text: str) -> DataFrame:
         *[c for c in d.columns if c not in ("_w", "_worded")],
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-        (F.length(t) - F.length(_without(t, SYMBOL))).cast("bigint").alias("n_symbols"),
+        F.when(t.rlike(SYMBOL), F.length(t) - F.length(_without(t, SYMBOL))).otherwise(0).cast("bigint").alias("n_symbols"),
         (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("bigint").alias("n_dup_lines"),
         repeated_words("_w").alias("n_repeat_words"),
     )
