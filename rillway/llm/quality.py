@@ -75,8 +75,8 @@ def line_verdicts(docs: DataFrame, max_lost: float = 0.3, keep_columns: list[str
     for phrase in BOILERPLATE:
         furniture = furniture | F.contains(low, F.lit(phrase))
     # the look at the whole text stays outside the lambdas: inside, it would be repeated for each line
-    d = d.withColumn("_bad", F.when(furniture, F.filter("_lines", lambda x: _fails(x, True))).otherwise(F.filter("_lines", _fails)))
-    d = d.withColumn("_good", F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~_fails(x, True))))
+    d = d.withColumn("_bad", F.when(furniture, F.filter("_lines", lambda x: _fails(x, furnished=True))).otherwise(F.filter("_lines", lambda x: _fails(x))))
+    d = d.withColumn("_good", F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~_fails(x, furnished=True))))
     lost = F.length(_without(F.array_join("_bad", ""), SPACE)) / F.col("word_chars")
     d = d.select(
         "doc_id",
@@ -90,7 +90,7 @@ def line_verdicts(docs: DataFrame, max_lost: float = 0.3, keep_columns: list[str
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
 
 
-def _fails(line: Column, furnished: bool = False) -> Column:
+def _fails(line: Column, *, furnished: bool = False) -> Column:
     solid = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     symbols = F.length(line) - F.length(_without(line, SYMBOL))
     furniture = F.lit(False)
