@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillway.llm import bpe, chat, decontaminate, language, quality, secrets, token_store
+from rillway.llm import bpe, chat, decontaminate, language, line_dedup, phrases, quality, secrets, token_store
 from rillway.llm.common import documents
 
 
@@ -24,6 +24,12 @@ def op1_token_store(spark, sf_dir):
     return token_store.store_and_read(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"), end=2)
 
 
+def op2_phrase_dedup(spark, sf_dir):
+    """Words left in every document after repeated windows of 35 words are gone."""
+    out = phrases.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_secret_scan(spark, sf_dir):
     """Spans of secrets in every document."""
     docs = documents(spark, sf_dir)
@@ -51,6 +57,12 @@ def op5_bpe_round_trip(spark, sf_dir):
     )
 
 
+def op6_line_dedup(spark, sf_dir):
+    """Lines of every document, how many of them went, and a digest of what is left."""
+    out = line_dedup.remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
 def op7_language(spark, sf_dir):
     """The language of every document, learned from those whose remainder is not 0."""
     docs = documents(spark, sf_dir)
