@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillway.llm import bpe, chat, decontaminate, language, line_dedup, phrases, quality, secrets, token_store
+from rillway.llm import bpe, chat, decontaminate, jaccard, language, line_dedup, phrases, quality, secrets, token_store
 from rillway.llm.common import documents
 
 
@@ -30,6 +30,12 @@ def op2_phrase_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    """Groups of documents whose sets of four-word shingles overlap by 85 of 100."""
+    out = jaccard.link_documents(documents(spark, sf_dir).select("doc_id", "text"), n=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_secret_scan(spark, sf_dir):
     """Spans of secrets in every document."""
     docs = documents(spark, sf_dir)

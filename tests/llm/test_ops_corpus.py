@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from conftest import ODD, SF
 
-from rillway.llm import line_dedup, phrases
+import numpy as np
+from rillway.llm import jaccard, line_dedup, phrases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +80,78 @@ def test_lines_stage(spark, odd, none):
     assert line_dedup.line_dedup_stage(odd).columns == odd.columns and line_dedup.line_dedup_stage(none).count() == 0
     d = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "a\nb\nc\nd"), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup_stage(d).collect()) == [(1, "a\nb\nc"), (3, "d"), (4, "")]
+
+
+def shingles(text, n):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def linked(rows, n, percent):
+    sets = [shingles(t, n) for _, t in rows]
+    kinds = sorted(set(sets) - {frozenset()}, key=len)
+    root = {s: s for s in kinds}
+    links = Counter()
+
+    def find(x):
+        while root[x] is not x:
+            x = root[x]
+        return x
+
+    for j, b in enumerate(kinds):
+        for a in kinds[:j]:
+            if len(a) * 100 < percent * len(b):
+                continue
+            both = len(a & b)
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    least = {}
+    for (d, _), s in zip(rows, sets):
+        if s:
+            least.setdefault(find(s), []).append(order(d))
+    big = lambda xs: min((x for x in xs if x[0]), default=(False, 0))
+    return sorted((order(d), len(s), big(least[find(s)]) if s else order(d), links[s]) for (d, _), s in zip(rows, sets))
+
+
+def ours(d, n, percent):
+    return sorted((order(r.doc_id), r.n_shingles, order(r.component_id), r.n_links) for r in jaccard.link_documents(d, n, percent).collect())
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 60)])
+def test_jaccard(spark, data, none, n, percent):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(3, 200)))]
+        for k in range(12):
+            w = list(base)
+            for i in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 12))):
+                w[i] = f"z{k}{i}"
+            rows.append((1000 + g * 20 + k, " ".join(w)))
+    d = data.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = linked([(r.doc_id, r.text) for r in d.collect()], n, percent)
+    assert ours(d, n, percent) == want
+    assert sum(w[3] for w in want) > 50
+    assert jaccard.link_documents(none).count() == 0
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """The same with blocks of a few sets, so that clusters are cut."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(150):
+        w = [f"w{i}" for i in range(60 + k % 20)]
+        for i in rng.integers(0, len(w), 3):
+            w[i] = f"z{k}{i}"
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(d, 2, 80) == linked(rows, 2, 80)
+
+
+def test_near_duplicate_stage(spark, odd, none):
+    out = jaccard.near_duplicate_stage(odd)
+    assert out.columns == odd.columns and jaccard.near_duplicate_stage(none).count() == 0
+    assert {r.doc_id for r in out.collect()} == {None, -9, 1, 2, 3, 4, 6, 7, 8}
