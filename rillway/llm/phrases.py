@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.common import mix, scratch, word_bounds, word_hashes
+from rillway.llm.common import cut, mix, scratch, word_bounds, word_hashes
 
 PHRASE = 8  # words of a phrase that the automata look for
 SHARD_CHARS = 6_000_000  # characters of a shard of documents, about
@@ -73,14 +73,15 @@ def _texts(table: pa.Table, window: int) -> Iterator[tuple[int, Text]]:
 def _located(docs: list[tuple[int, Text]], known: np.ndarray) -> list[np.ndarray]:
     """For each document, which word places start a phrase that is known to recur.
 
-    The shard's automaton holds the recurring phrases that occur as a lowest phrase in the shard; every document of
+    known is sorted. The shard's automaton holds the recurring phrases that occur as a lowest phrase in the shard; every document of
     the shard is streamed through it.
     """
     automaton = ahocorasick.Automaton()
     for _, t in docs:
         if len(t.low):
             at = np.unique(t.low)
-            for p in at[np.isin(t.grams[at], known)].tolist():
+            near = np.minimum(np.searchsorted(known, t.grams[at]), len(known) - 1)
+            for p in at[known[near] == t.grams[at]].tolist() if len(known) else ():
                 automaton.add_word(" " + b" ".join(t.words[p : p + PHRASE]).decode("utf-8", "surrogatepass") + " ", 1)
     marks = [np.zeros(max(1, t.n), bool) for _, t in docs]
     if len(automaton):
@@ -130,11 +131,10 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["shard", "h"])
 
     counted = table.select("shard", "text").mapInArrow(phrases, "shard int, h array<bigint>").select("shard", F.explode("h").alias("h")).groupBy("shard", "h").count()
+    counted = cut(counted, "phrase-counts")
     totals = counted.groupBy("h").agg(F.sum("count").alias("n")).where("n > 1").select("h")
     known = counted.join(totals, "h").groupBy("shard").agg(F.collect_list("h").alias("h"))
-    known_path = scratch(spark, "phrases")
-    known.write.parquet(known_path)
-    known = spark.read.parquet(known_path)
+    known = cut(known, "phrases")
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -149,9 +149,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     places = _zip(table, known, pieces, "h bigint, d1 bigint, d2 bigint, uid bigint, a bigint, b bigint")
     distinct = places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("at"))
-    stretch_path = scratch(spark, "stretches")
-    distinct.write.parquet(stretch_path)
-    distinct = spark.read.parquet(stretch_path)
+    distinct = cut(distinct, "stretches")
     mixed = distinct.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
     todo = distinct.join(mixed, "h").select(F.pmod(F.xxhash64("at.uid"), F.lit(shards)).cast("int").alias("shard"), F.struct("at.uid", "at.a", "at.b", F.least("n", F.lit(2)).alias("n")).alias("s"))
     todo = todo.groupBy("shard").agg(F.collect_list("s").alias("s"))
@@ -202,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def _known(right: pa.Table) -> np.ndarray:
     lists = [np.array(r, np.int64) for r in right["h"].to_pylist() if r]
-    return np.concatenate(lists).view(np.uint64) if lists else np.zeros(0, np.uint64)
+    return np.sort(np.concatenate(lists).view(np.uint64)) if lists else np.zeros(0, np.uint64)
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
