@@ -1,4 +1,6 @@
 """Every registered query with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rillway.plans import aggregates, cdc, joins, parsing, patterns, search, subjects, windows  # noqa: F401
+from rillway.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
