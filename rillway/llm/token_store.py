@@ -21,10 +21,10 @@ from rillway.llm.common import cut, scratch
 
 MAGIC = b"EFIDS\x01"
 SAMPLE = 128  # a select sample for so many values
-FILE_IDS = 8_000_000  # a file is closed once it holds so many ids
+FILE_IDS = 4_000_000  # a file is closed once it holds so many ids
 
 _HEAD = struct.Struct("<6sBBQQQq")  # magic, id width, flags, documents, null doc_ids, ids, first doc_id
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -141,33 +141,58 @@ class WordTokenizer:
     so a text's ids are the ids of its parts, one after the other.
     """
 
-    def __init__(self, path: str, known: int = 300_000):
+    def __init__(self, path: str, known: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        # ids that end a word; words of letters can then be encoded in one call, joined by spaces, and told apart
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.known = known
 
+    def _encode_plain(self, words: list[str]) -> None:
+        """One call for many words of letters; left to single calls if they can't be told apart."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) == len(words) and at[-1] == len(ids):
+            for s, a, b in zip(words, [0, *at[:-1].tolist()], at.tolist()):
+                self.parts[s] = ids[a:b].tobytes()
+
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
         pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for p in pieces for w in p} - self.words.keys()
-        cuts = {}
+        new = set().union(*pieces) - self.words.keys()
+        cores, others, made = set(), set(), []
         for w in new:
             s = w.decode("utf-8", "surrogatepass")
-            m = _PLAIN.fullmatch(s)
-            cuts[w] = [m[1].lower(), m[2]] if m and m[2] else [m[1].lower()] if m else [s]
-        missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
-        for s, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False)):
-            self.parts[s] = np.array(e.ids, "<u4").tobytes()
-        for w, c in cuts.items():
-            self.words[w] = b"".join([self.parts[x] for x in c])
+            core = s.rstrip(".,;:!?")
+            if core.isalpha() and len(core) < 100 and (core.isascii() or _PLAIN.fullmatch(core)):
+                tail = s[len(core) :]
+                core = core.lower()
+                cores.add(core)
+                if tail:
+                    others.add(tail)
+                made.append((w, core, tail))
+            else:
+                others.add(s)
+                made.append((w, s, ""))
+        parts = self.parts
+        plain = list(cores - parts.keys())
+        for k in range(0, len(plain), 1000):
+            self._encode_plain(plain[k : k + 1000])
+        rest = list((cores | others) - parts.keys())
+        for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+            parts[s] = np.array(e.ids, "<u4").tobytes()
+        words = self.words
+        for w, head, tail in made:
+            words[w] = parts[head] + parts[tail] if tail else parts[head]
         get, last = self.words.__getitem__, struct.pack("<I", end)
         out = [b"".join(map(get, p)) + last for p in pieces]
-        if len(self.words) > self.known:
+        if len(self.words) > self.known // 2:
             self.words.clear()
         if len(self.parts) > self.known:
             self.parts.clear()
