@@ -23,10 +23,20 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans(text: str, pattern: str, kind: str) -> Column:
-    """All leftmost matches of pattern in the string column text, as an array of SPAN in code points."""
-    marked = f"regexp_replace(translate({text}, '{_OPEN}{_SHUT}', '\\u0001\\u0001'), {_quoted('(' + pattern + ')')}, '{_OPEN}$1{_SHUT}')"
+def _free(text: Column) -> Column:
+    """The text with the two marking characters set aside, code point for code point."""
+    marked = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_SHUT))
+    return F.when(marked, F.translate(text, _OPEN + _SHUT, "\x01\x01")).otherwise(text)
+
+
+def spans(text: str, pattern: str, kind: str, sign: str) -> Column:
+    """All leftmost matches of pattern in the string column text, as an array of SPAN in code points.
+
+    text must be free of the marking characters. sign is SQL for a cheap condition that every text with a match meets.
+    """
+    marked = f"regexp_replace({text}, {_quoted('(' + pattern + ')')}, '{_OPEN}$1{_SHUT}')"
     return F.expr(f"""
+      CASE WHEN NOT ({sign}) THEN cast(array() AS array<{SPAN}>) ELSE
       aggregate(array(split({marked}, '{_OPEN}')), cast(array() AS array<{SPAN}>), (a0, p) ->
         CASE WHEN size(p) = 1 THEN a0 ELSE
           aggregate(slice(p, 2, size(p) - 1),
@@ -35,15 +45,16 @@ def spans(text: str, pattern: str, kind: str) -> Column:
               'at', s.at + length(x) - 1,
               'found', concat(s.found, array(named_struct('start', s.at, 'end', s.at + length(substring_index(x, '{_SHUT}', 1)),
                                                           'kind', '{kind}', 'value', substring_index(x, '{_SHUT}', 1))))),
-            s -> s.found) END)""")
+            s -> s.found) END) END""")
 
 
 def base_spans(text: str) -> dict[str, Column]:
     """The base kinds. Assignments are matched as a whole, so a value that is too short still uses its characters up."""
-    assign = F.filter(spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8)
+    words = " OR ".join(f"contains(lower({text}), '{w}')" for w in ("passw", "secret", "token", "api"))
+    assign = F.filter(spans(text, ASSIGN, "assign", words), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8)
     # for these two, a run of characters is always taken whole: asking for the length in the pattern is the same
-    access = spans(text, "AKIA[A-Z0-9]{12,}", "access")
-    hexes = spans(text, "[0-9a-f]{32,}", "hex")
+    access = spans(text, "AKIA[A-Z0-9]{12,}", "access", f"contains({text}, 'AKIA')")
+    hexes = spans(text, "[0-9a-f]{32,}", "hex", f"{text} RLIKE '[0-9a-f]{{32}}'")
     return {"assign": assign, "access": access, "hex": hexes}
 
 
@@ -62,7 +73,7 @@ def fit(docs: DataFrame, max_docs: int = 5000) -> list[float] | None:
     total = docs.where("text IS NOT NULL").count()
     if not total:
         return None
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, max_docs / total) * (1 << 20)).select("text")
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, max_docs / total) * (1 << 20)).select(_free(F.col("text")).alias("text"))
     base = base_spans("text")
     values = F.concat(
         F.transform(base["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 1)),
@@ -98,7 +109,7 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
     Kinds: the base kinds, and `markov` for strings of CANDIDATE that hold a digit, overlap no base span, and whose mean
     log-likelihood ratio for each pair of characters reaches the threshold. Null text counts as empty.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    d = docs.select("doc_id", _free(F.coalesce("text", F.lit(""))).alias("_t"))
     base = base_spans("_t")
     d = d.select("doc_id", "_t", F.concat(base["assign"], base["access"], base["hex"]).alias("_base"))
     extra = F.expr(f"cast(array() AS array<{SPAN}>)")
@@ -111,7 +122,7 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
             lambda acc, c: acc + F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.get(table, a * SIZE + b)), F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1),
         )
         tried = F.filter(
-            spans("_t", CANDIDATE, "markov"),
+            spans("_t", CANDIDATE, "markov", "_t RLIKE '[0-9]'"),
             lambda s: s["value"].rlike("[0-9]") & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         )
         extra = F.filter(tried, lambda s: mean(s["value"]) >= threshold)
