@@ -199,7 +199,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     grams = classes.select("set_id", "n", F.size("first").alias("sampled"), F.explode("first").alias("h"))
-    frequent = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # counts are written before they are joined: both sides are then plain shuffles, and a hot n-gram can be split
+    frequent = cut(grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
     shared = grams.join(frequent, "h")
     mine = Window.partitionBy("set_id")
     shared = shared.withColumn("rare", F.col("sampled") - F.count("*").over(mine)).where(F.col("rare") < prefix)
@@ -208,6 +209,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keys = cut(keys, "prefixes")
 
     hubs = keys.groupBy("h").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub <> last").drop("last")
+    hubs = cut(hubs, "hubs")
     clusters = components(keys.join(hubs, "h").where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct())
     placed = classes.select("set_id", "doc_id", "n").join(clusters.withColumnRenamed("node", "set_id"), "set_id")
     placed = placed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("n", "set_id")) - 1) / BLOCK).cast("int"))

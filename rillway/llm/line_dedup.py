@@ -27,7 +27,8 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose name is shared with another place, with the first such place."""
     # hash partial sums first: a line in a third of all documents reaches the shuffle as one row for each task
     names = suffixes.groupBy("name").agg(F.min(F.struct(*KEY, "i")).alias("first"), F.max(F.struct(*KEY, "i")).alias("last"))
-    return suffixes.join(names.where("first <> last").drop("last"), "name")
+    # written first, so that both sides of the join are plain shuffles and a hot name can be split
+    return suffixes.join(cut(names.where("first <> last").drop("last"), "names"), "name")
 
 
 def _doubled(suffixes: DataFrame, step: int) -> DataFrame:

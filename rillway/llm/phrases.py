@@ -132,7 +132,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     counted = table.select("shard", "text").mapInArrow(phrases, "shard int, h array<bigint>").select("shard", F.explode("h").alias("h")).groupBy("shard", "h").count()
     counted = cut(counted, "phrase-counts")
-    totals = counted.groupBy("h").agg(F.sum("count").alias("n")).where("n > 1").select("h")
+    # written before it is joined: both sides are then plain shuffles, and a hot phrase can be split
+    totals = cut(counted.groupBy("h").agg(F.sum("count").alias("n")).where("n > 1").select("h"), "recurring")
     known = counted.join(totals, "h").groupBy("shard").agg(F.collect_list("h").alias("h"))
     known = cut(known, "phrases")
 
@@ -147,10 +148,10 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                             out.append((int(t.grams[p].view(np.int64)), *t.digest(a, b + window), uid, a, b))
         return _table(out, ["h", "d1", "d2", "uid", "a", "b"])
 
-    places = _zip(table, known, pieces, "h bigint, d1 bigint, d2 bigint, uid bigint, a bigint, b bigint")
+    places = cut(_zip(table, known, pieces, "h bigint, d1 bigint, d2 bigint, uid bigint, a bigint, b bigint"), "places")
     distinct = places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("at"))
     distinct = cut(distinct, "stretches")
-    mixed = distinct.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
+    mixed = cut(distinct.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h"), "mixed")
     todo = distinct.join(mixed, "h").select(F.pmod(F.xxhash64("at.uid"), F.lit(shards)).cast("int").alias("shard"), F.struct("at.uid", "at.a", "at.b", F.least("n", F.lit(2)).alias("n")).alias("s"))
     todo = todo.groupBy("shard").agg(F.collect_list("s").alias("s"))
 
@@ -169,29 +170,32 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     looked = _zip(table, todo, windows, "d1 bigint, d2 bigint, n bigint, uid bigint, k bigint")
     single = looked.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.min("k").alias("k")).where("n = 1")
-    single = single.groupBy(F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("uid", "k")).alias("s"))
-    last = known.join(single, "shard", "full")
+    # where stretches were located, and which of their windows stand alone
+    found = places.select("uid", "a", "b").unionByName(single.select("uid", F.col("k").alias("a"), F.lit(-1).cast("bigint").alias("b")))
+    last = found.groupBy(F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("uid", "a", "b")).alias("s"))
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            texts = list(_texts(left, window))
-            alone: dict[int, list[int]] = {}
-            for s in (x for r in right["s"].to_pylist() for x in r or ()):
-                alone.setdefault(s["uid"], []).append(s["k"])
-            out = []
-            for (uid, t), mark, name in zip(texts, _located(texts, _known(right)), left["doc_id"].to_pylist()):
-                words, gone = t.words, 0
-                if len(t.low):
-                    again = mark[t.low]
-                    again[np.array(alone.get(uid, []), np.int64)] = False
-                    edge = np.zeros(t.n + 1, np.int64)
-                    edge[: len(again)] += again
-                    edge[window : window + len(again)] -= again
-                    covered = np.cumsum(edge)[: t.n] > 0
-                    gone = int(covered.sum())
-                    if gone:
-                        words = [w for w, c in zip(words, covered.tolist()) if not c]
-                out.append((name, t.n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
+        stretches: dict[int, list] = {}
+        for s in (x for r in right["s"].to_pylist() for x in r):
+            stretches.setdefault(s["uid"], []).append((s["a"], s["b"]))
+        out = []
+        for uid, name, text in zip(left["uid"].to_pylist(), left["doc_id"].to_pylist(), left["text"].to_pylist()):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            n, gone = len(words), 0
+            if uid in stretches:
+                again = np.zeros(n - window + 1, bool)
+                for a, b in stretches[uid]:
+                    if b >= 0:
+                        again[a : b + 1] = True
+                again[[a for a, b in stretches[uid] if b < 0]] = False
+                edge = np.zeros(n + 1, np.int64)
+                edge[: len(again)] += again
+                edge[window : window + len(again)] -= again
+                covered = np.cumsum(edge)[:n] > 0
+                gone = int(covered.sum())
+                if gone:
+                    words = [w for w, c in zip(words, covered.tolist()) if not c]
+            out.append((name, n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
         cols = list(zip(*out)) or [[]] * 4
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept_text": pa.array(cols[3], pa.string())})
 
