@@ -14,6 +14,7 @@ from rillway.llm.common import cut, mix, word_bounds, word_hashes
 
 SAMPLE = 0.2  # share of the hash range whose n-grams are counted
 BLOCK = 512  # sets in a trie
+SIEVE = 1 << 24  # bits
 PACK = 4000  # sets, about, that one task joins when they come in small clusters
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -65,6 +66,29 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (doc_id, text) without most rows that are not wanted, before their texts are shuffled for a join.
+
+    The sieve is a bitmap of SIEVE bits in all, whatever the size of the corpus: where very many rows are wanted it lets
+    more of the others pass, and the join that follows is exact in any case.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    sieve = np.zeros(SIEVE, bool)
+    for r in parts.collect():  # SIEVE / 32768 rows of 4 KB at most
+        start = (r["n"] - 1) * 32768
+        sieve[start : start + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[: SIEVE - start]
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_at = np.unpackbits(held.value).astype(bool)
+        for b in batches:
+            passing = b.filter(pa.array(open_at[b.column(2).to_numpy()]))
+            yield pa.RecordBatch.from_arrays([passing.column(0), passing.column(1)], ["doc_id", "text"])
+
+    return docs.withColumn("bit", bit - 1).mapInArrow(keep, "doc_id bigint, text string")
+
+
 class Trie:
     """Sets of n-grams, each in ascending hash order, as a prefix tree.
 
@@ -233,7 +257,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 yield out.filter(right)
 
     wanted = placed.select(F.col("doc_id").alias("_id"), "set_id")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "set_id", "text")
+    texts = _sieved(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted.select(F.col("_id").alias("doc_id"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "set_id", "text")
     sets = texts.mapInArrow(full_sets, "set_id bigint, grams binary").dropDuplicates(["set_id"])
     work = work.join(sets, "set_id")
 
