@@ -86,8 +86,11 @@ def line_verdicts(docs: DataFrame, max_lost: float = 0.3, keep_columns: list[str
         F.size("_bad").cast("bigint").alias("n_failed_lines"),
         F.when((F.col("word_chars") == 0) | (F.size("_bad") == 0), F.lit(0.0)).otherwise(lost).alias("lost"),
         "base_failed",
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    # the row number is always positive; a filter on kept that were pushed below it would copy all the expressions
+    # above into itself, lambdas included, and evaluate whole texts once for each of their words
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost) & (F.col("_row") >= 0)).drop("_row")
 
 
 def _fails(line: Column, *, furnished: bool = False) -> Column:
