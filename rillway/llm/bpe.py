@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE files cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN = 400_000  # words whose ids a task keeps for later batches
+KNOWN = 150_000  # words whose ids a task keeps for later batches
 
 _CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -71,7 +71,7 @@ class PrefixBpe:
         known = self.apart.get((a, b))
         if known is None:
             known = self.apart[a, b] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
         return known
 
@@ -164,7 +164,7 @@ def encoder(path: str) -> Encoder:
     return _held[path]
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose last column, a text, has about so many characters; one text stays whole."""
     for b in batches:
         sizes = np.cumsum([len(x) if x else 0 for x in b.column(b.num_columns - 1).to_pylist()])
