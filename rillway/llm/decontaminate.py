@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Which of the consecutive words a seed looks at (1) and which it ignores (0).
-MASKS = ("111011011", "1101100111", "1100101100011", "11111111")
+#: Which of the consecutive words a seed looks at (1) and which it ignores (0). An item's seeds are those of
+#: the first mask that the substitutions allowed for its length can't defeat (see unbeaten), a single word if none is left.
+MASKS = ("1101", "111", "11", "1")
 BLOCK = 2_000_000  # benchmark words a broadcast block may hold: below 100 MB with its seeds
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -33,22 +36,63 @@ def _seeds(ids: np.ndarray, mask: str, k: int) -> np.ndarray:
     return h
 
 
+@lru_cache(maxsize=None)
+def fewest_defeating(mask: str, longest: int) -> list[int]:
+    """By length up to longest: the fewest substitutions that leave no place of a stretch where the mask's words are all equal."""
+    bits, keep = int(mask, 2), (1 << len(mask) - 1) - 1
+    cost, out = {0: 0}, [0]  # by the last words of the stretch, 1 where equal: the fewest substitutions so far
+    for _ in range(longest):
+        after: dict[int, int] = {}
+        for last, n in cost.items():
+            for equal in (0, 1):
+                seen = last << 1 | equal
+                if seen & bits != bits:
+                    after[seen & keep] = min(after.get(seen & keep, longest), n + 1 - equal)
+        cost = after
+        out.append(min(cost.values()))
+    return out
+
+
+@lru_cache(maxsize=None)
+def unbeaten(masks: tuple[str, ...], n_words: int, min_words: int, min_match: float) -> tuple[str, int]:
+    """The first mask that hits in every passing overlap of an item of n_words, and how often it hits at least.
+
+    A passing stretch of twice the words needed or more has a passing part below that, so lengths below it are all there is to prove.
+    """
+    need = min(min_words, n_words)
+    lengths = range(need, min(n_words, 2 * need - 1) + 1)
+    spare = {n: n - ceil(min_match * n - 1e-6) for n in lengths}
+    for mask in (*masks, "1"):
+        least = fewest_defeating(mask, lengths[-1])
+        if all(least[n] > spare[n] for n in lengths):
+            # a substitution spoils as many places as the mask has ones
+            return mask, max(1, min(n - len(mask) + 1 - spare[n] * mask.count("1") for n in lengths))
+    raise ValueError(f"overlaps of {need} words need not hold an equal word at min_match {min_match}")
+
+
 class Block:
     """Some benchmark items, as word ids with the seeds of every place."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
-        self.masks, self.vocab = masks, {}
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_words: int = 20, min_match: float = 0.75):
+        self.given, self.vocab = masks, {}
         self.items, self.names = [], []
         for name, text in items:
             w = plain_words(text)
             if w:
                 self.names.append(name)
                 self.items.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64))
+        self._seed(min_words, min_match)
+
+    def _seed(self, min_words: int, min_match: float) -> None:
+        self.rule = min_words, min_match
+        chosen = [unbeaten(self.given, len(ids), min_words, min_match) for ids in self.items]
+        self.masks = tuple(sorted({mask for mask, _ in chosen}))
+        self.least = np.array([n for _, n in chosen], np.int64)
         rows = []
         for i, ids in enumerate(self.items):
-            for k, mask in enumerate(masks):
-                h = _seeds(ids, mask, k)
-                rows.append((h, np.full(len(h), i), np.arange(len(h))))
+            mask = chosen[i][0]
+            h = _seeds(ids, mask, self.masks.index(mask))
+            rows.append((h, np.full(len(h), i), np.arange(len(h))))
         if rows:
             h, item, at = (np.concatenate(x) for x in zip(*rows))
             order = np.argsort(h, kind="stable")
@@ -60,9 +104,11 @@ class Block:
 
     def search(self, text: str, min_words: int, min_match: float) -> list[tuple[int, int, int, int]]:
         """(item, first word in the text, words compared, words equal) of each item's best overlap that passes."""
+        if (min_words, min_match) != self.rule:
+            self._seed(min_words, min_match)
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in plain_words(text)], np.uint64)
-        diagonals: set[tuple[int, int]] = set()
+        diagonals: list[tuple[int, int]] = []
         for k, mask in enumerate(self.masks):
             h = _seeds(ids, mask, k)
             maybe = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
@@ -73,7 +119,15 @@ class Block:
             many = (hi - lo)[hit]
             place = np.repeat(maybe[hit], many)
             row = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            diagonals.update(zip(self.item[row].tolist(), (place - self.at[row]).tolist()))
+            item, shift = self.item[row], place - self.at[row]
+            if not len(row):
+                continue
+            # an item has one mask, so all its hits on a diagonal are here: too few of them can't pass
+            order = np.lexsort((shift, item))
+            item, shift = item[order], shift[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(shift) != 0)]))
+            first = first[np.diff(first, append=len(item)) >= self.least[item[first]]]
+            diagonals += zip(item[first].tolist(), shift[first].tolist())
         best: dict[int, tuple[int, int, int, int]] = {}
         for item, shift in sorted(diagonals):
             found = _overlap(self.items[item], ids, shift, min_words, min_match)
@@ -107,31 +161,31 @@ def _overlap(item: np.ndarray, ids: np.ndarray, shift: int, min_words: int, min_
     return a + shift + s, e - s, int(same[s:e].sum())
 
 
-def _blocks(benchmark: DataFrame, masks: tuple[str, ...]) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_match: float) -> Iterator[Block]:
     """The benchmark in blocks of BLOCK words at most, streamed through the driver one block at a time."""
     rows, held = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         rows.append((r.item_id, r.text))
         held += len(r.text) // 4 + 1
         if held >= BLOCK:
-            yield Block(rows, masks)
+            yield Block(rows, masks, min_words, min_match)
             rows, held = [], 0
     if rows:
-        yield Block(rows, masks)
+        yield Block(rows, masks, min_words, min_match)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """Each (doc_id, item_id) whose texts overlap: doc_id, item_id, start_word, n_words, n_equal.
 
-    Words are lower-cased and freed of ASCII punctuation. Seeds of the fixed masks, which ignore some positions, are
-    matched between benchmark and documents; around each hit the item is laid over the text, and the overlap counts if
+    Words are lower-cased and freed of ASCII punctuation. Seeds of the fixed masks, which may ignore some positions, are
+    matched between benchmark and documents; around the hits the item is laid over the text, and the overlap counts if
     a stretch of min_words words (the whole item where it is shorter) has min_match equal words, substitutions in
-    any place. The best stretch of each pair is returned. Null and empty texts overlap with nothing; equal rows each
+    any place. Each item is seeded by a mask that is proven to hit in every such overlap, so none is lost. The best stretch of each pair is returned. Null and empty texts overlap with nothing; equal rows each
     give their own result. The benchmark goes to the tasks in blocks of a fixed size; documents never move.
     """
     spark = docs.sparkSession
     out = None
-    for block in _blocks(benchmark, masks):
+    for block in _blocks(benchmark, masks, min_words, min_match):
         held = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -154,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_m
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """The documents that overlap with no benchmark item (see find_leaks), judged where they lie: nothing is shuffled."""
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, masks):
+    for block in _blocks(benchmark, masks, min_words, min_match):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Operators that judge each text by itself, held against plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -237,3 +238,53 @@ def test_leaks_against_all_shifts(spark):
             longest = max((e - s for s in range(len(x)) for e in [next((e for e in range(s, len(x)) if e + 8 > len(x) or tuple(x[e : e + 8]) not in grams), s) + 7]), default=0)
             if longest >= min(20, len(x)):
                 assert (d, i) in got
+
+
+def test_seeds_hit_in_every_passing_overlap():
+    """All placements of the substitutions that a stretch may have, by length."""
+    for n in range(1, 21):
+        mask, least = decontaminate.unbeaten(decontaminate.MASKS, n, 20, 0.75)
+        looks = sum(1 << i for i, x in enumerate(mask) if x == "1")
+        hits = []
+        for places in itertools.combinations(range(n), n // 4):
+            equal = (1 << n) - 1 - sum(1 << i for i in places)
+            hits.append(sum(equal >> i & looks == looks for i in range(n - len(mask) + 1)))
+        assert min(hits) >= least >= 1
+
+
+def test_leaks_against_all_shifts_with_substitutions():
+    """Items of all lengths, with the allowed substitutions and one more, against every shift and every stretch."""
+
+    def passes(item, text):
+        need = min(20, len(item))
+        for shift in range(-len(item), len(text)):
+            a, b = max(0, -shift), min(len(item), len(text) - shift)
+            run = np.concatenate([[0], np.cumsum([4 * (item[i] == text[i + shift]) - 3 for i in range(a, b)])])
+            if any(run[e] >= run[s] for s in range(len(run)) for e in range(s + need, len(run))):
+                return True
+        return False
+
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    items = {n: words(n) for n in [*range(1, 31), 37, 44, 60]}
+    block = decontaminate.Block([(n, " ".join(w)) for n, w in items.items()], decontaminate.MASKS)
+    texts = []
+    for n, item in items.items():
+        for more in (0, 0, 0, 1):
+            for size in {min(n, 20), min(n, 28), n}:
+                start = int(rng.integers(0, n - size + 1))
+                part = item[start : start + size]
+                for i in rng.permutation(size)[: size // 4 + more]:
+                    part[i] = "other"
+                texts.append(words(9) + part + words(9))
+    part = list(items[30][:20])
+    for i in (0, 1, 3, 11, 13):
+        part[i] = "other"
+    texts.append(part)
+    found = 0
+    with np.errstate(over="ignore"):
+        for text in texts:
+            got = {x[0] for x in block.search(" ".join(text), 20, 0.75)}
+            assert got == {n for n, item in items.items() if set(item) & set(text) and passes(item, text)}
+            found += len(got)
+    assert found > 150
