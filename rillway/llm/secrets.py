@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm.common import cut
+
 #: The patterns of the three base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
@@ -63,42 +66,48 @@ def _codes(word: Column) -> Column:
     return F.transform(F.split(word, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))
 
 
-def fit(docs: DataFrame, max_docs: int = 5000) -> list[float] | None:
+def fit(docs: DataFrame, max_words: int = 20000) -> list[float] | None:
     """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
 
-    Labelled samples come from about max_docs documents, chosen by a hash of their text: values of base matches are
-    random strings, words of 12 and more characters that hold no base match are ordinary. Each class is a first-order
-    Markov model with added counts. None if either class has no sample: the models then add nothing.
+    Labelled samples come from all documents: values of base matches are random strings, words of 12 and more characters
+    that hold no base match are ordinary; what is a value anywhere is no ordinary word. Of each class's distinct strings
+    about max_words, chosen by their hash, train a first-order Markov model with added counts; a string's weight is the
+    number of binary digits of its occurrences, so that copies hardly count. None if either class has no sample, with a
+    warning: the models then add nothing.
     """
-    total = docs.where("text IS NOT NULL").count()
-    if not total:
-        return None
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, max_docs / total) * (1 << 20)).select(_free(F.col("text")).alias("text"))
+    every = docs.where("text IS NOT NULL").select(_free(F.col("text")).alias("text"))
     base = base_spans("text")
     values = F.concat(
         F.transform(base["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 1)),
         F.transform(F.concat(base["access"], base["hex"]), lambda s: s["value"]),
     )
-    found = chosen.withColumn("random", values)
+    found = every.withColumn("random", values)
     rest = F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= 12) & ~F.exists("random", lambda v: F.contains(v, w) | F.contains(w, v)))
-    words = found.select(
+    strings = found.select(
         F.explode(
             F.concat(
                 F.transform("random", lambda w: F.struct(F.lit(True).alias("random"), w.alias("w"))),
                 F.transform(rest, lambda w: F.struct(F.lit(False).alias("random"), w.alias("w"))),
             )
         ).alias("s")
-    ).select("s.random", _codes(F.col("s.w")).alias("c"))
-    pairs = words.select("random", F.explode(F.expr("zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (a, b) -> a * %d + b)" % SIZE)).alias("pair"))
-    counts = pairs.groupBy("random", "pair").count().collect()  # at most 2 * SIZE * SIZE rows
+    )
+    strings = cut(strings.groupBy("s.w").agg(F.max("s.random").alias("random"), F.count("*").alias("n")), "secret-words")
+    sizes = {r.random: r["count"] for r in strings.groupBy("random").count().collect()}
+    missing = [name for name, kind in (("base match", True), ("ordinary word", False)) if not sizes.get(kind)]
+    if missing:
+        warnings.warn(f"no {' and no '.join(missing)} in any document: the character models can't be trained and add no spans", RuntimeWarning, stacklevel=2)
+        return None
+    share = F.when(F.col("random"), min(1.0, max_words / sizes[True])).otherwise(min(1.0, max_words / sizes[False]))
+    chosen = strings.where(F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < share * (1 << 30))
+    words = chosen.select("random", F.length(F.bin("n")).alias("weight"), _codes(F.col("w")).alias("c"))
+    pairs = words.select("random", "weight", F.explode(F.expr("zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (a, b) -> a * %d + b)" % SIZE)).alias("pair"))
+    counts = pairs.groupBy("random", "pair").agg(F.sum("weight").alias("count")).collect()  # at most 2 * SIZE * SIZE rows
     tables = {}
     for kind, add in ((True, 0.5), (False, 0.05)):
         n = [[add] * SIZE for _ in range(SIZE)]
         for r in counts:
             if r.random == kind:
                 n[r.pair // SIZE][r.pair % SIZE] += r["count"]
-        if sum(map(sum, n)) < add * SIZE * SIZE + 1:
-            return None
         tables[kind] = [[x / sum(row) for x in row] for row in n]
     return [log(p / q) for a, b in zip(tables[True], tables[False]) for p, q in zip(a, b)]
 
@@ -106,8 +115,8 @@ def fit(docs: DataFrame, max_docs: int = 5000) -> list[float] | None:
 def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) -> DataFrame:
     """doc_id and the array `secrets` of spans (start, end, kind, value), by start, then kind as listed.
 
-    Kinds: the base kinds, and `markov` for strings of CANDIDATE that hold a digit, overlap no base span, and whose mean
-    log-likelihood ratio for each pair of characters reaches the threshold. Null text counts as empty.
+    Kinds: the base kinds, and `markov` for strings of CANDIDATE that overlap no base span and whose mean log-likelihood
+    ratio for each pair of characters reaches the threshold. Null text counts as empty.
     """
     d = docs.select("doc_id", _free(F.coalesce("text", F.lit(""))).alias("_t"))
     base = base_spans("_t")
@@ -122,8 +131,8 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
             lambda acc, c: acc + F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.get(table, a * SIZE + b)), F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1),
         )
         tried = F.filter(
-            spans("_t", CANDIDATE, "markov", "_t RLIKE '[0-9]'"),
-            lambda s: s["value"].rlike("[0-9]") & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+            spans("_t", CANDIDATE, "markov", f"_t RLIKE '{CANDIDATE}'"),
+            lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         )
         extra = F.filter(tried, lambda s: mean(s["value"]) >= threshold)
     d = d.select("doc_id", "_base", extra.alias("_extra"))

@@ -98,6 +98,23 @@ def test_secret_models(spark):
     assert secrets.fit(docs.where("false")) is None
 
 
+def test_secret_models_few_matches(spark):
+    """One secret far from any sample of documents, a text that makes up a third of the rows, and random letters."""
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    names = ["configuration_of_the_service", "internationalisation", "maximum_number_of_retries", "connection_manager_instance", "straightforwardness"]
+    rows = [(i, f"the {names[i % 5]} of document {i if i % 3 else 0}") for i in range(12000)]
+    rows += [(20000, "token = " + letters(2000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratios = secrets.fit(docs)
+    assert ratios is not None
+    test = spark.createDataFrame([(1, f"see {letters(40)} here"), (2, f"the {names[0]} and {names[1]}")], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.scan(test, ratios).select("doc_id", secrets.joined(F.col("secrets")).alias("s")).collect()}
+    assert got == {1: "markov:4:44", 2: ""}
+    with pytest.warns(RuntimeWarning, match="no base match"):
+        assert secrets.fit(docs.where("doc_id < 20000")) is None
+
+
 # byte-level BPE
 
 
