@@ -78,19 +78,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, max_rows: int = 4000) -> dict:
-    """Train on a sample of docs (text, lang): about max_rows rows, as many for each language, chosen by a hash of the text.
+    """Train on a sample of docs (text, lang): about max_rows distinct texts, as many for each language, chosen by their hash.
 
-    Rows with null or letterless text or null lang teach nothing. At most 200 languages, the most frequent, are
-    learned. The sample's subword counts are made on the executors; only they come to the driver.
+    Rows with null or letterless text or null lang teach nothing. All languages are learned, from 20 texts each at
+    least where they have them, so very many languages make a larger sample. The sample's subword counts are made on the executors; only they come to the driver.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return {"names": [], "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0, np.float32), "floor": 0.0}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, max_rows / len(counts) / n)).otherwise(share)
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    each = max(20, max_rows / len(counts))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / max(1, n))) for lang, n in counts.items()], "lang string, share double")
+    chosen = usable.select("lang", "text").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    sample = chosen.select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, max_rows: int = 4000) -> dict:
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.binary(), pa.binary()])], ["lang", "at", "n"])
 
-    got = sample.select("lang", "text").mapInArrow(count, "lang string, at binary, n binary").limit(2 * max_rows).collect()
+    got = sample.select("lang", "text").mapInArrow(count, "lang string, at binary, n binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r["at"]), bytes(r["n"])))
     return train([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u4").astype(np.float32)) for r in got], [r.lang for r in got])
 

@@ -192,6 +192,13 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.predict(spark.createDataFrame([(1, "zzzq xxqk 漢字")], "doc_id long, text string"), model | {"floor": 1.1}, reject=True).collect()} == {"und"}
 
 
+def test_language_learns_rare_languages(spark):
+    """More than 200 languages, and a text with very many copies beside them."""
+    rows = [(f"l{i:03}", f"{chr(0x4E00 + 2 * i) * 3} {chr(0x4E01 + 2 * i) * 2}") for i in range(210)] + [("l000", "one text again and again")] * 9000
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"), max_rows=400)
+    assert sorted(model["names"]) == [f"l{i:03}" for i in range(210)]
+
+
 # chat
 
 
