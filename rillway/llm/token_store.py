@@ -8,9 +8,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +27,7 @@ FILE_IDS = 4_000_000  # a file is closed once it holds so many ids
 
 _HEAD = struct.Struct("<6sBBQQQq")  # magic, id width, flags, documents, null doc_ids, ids, first doc_id
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]{1,99}$"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -137,11 +140,13 @@ class TokenFile:
 class WordTokenizer:
     """The tokenizers library on distinct words; ids of frequent words are kept between batches.
 
-    The file's own rules split texts at white space and between letters and punctuation, and never join across:
-    so a text's ids are the ids of its parts, one after the other.
+    The file's own rules lower-case texts, split them at white space and between letters and punctuation, and never join
+    across: so a text's ids are the ids of its parts, one after the other. A batch's words are dictionary-coded and
+    words of letters are parted from the marks behind them; what is kept for a part is a place in one array of ids, so
+    texts are put together by array gathers. known bounds the parts kept: beyond it, the half met less often goes.
     """
 
-    def __init__(self, path: str, known: int = 500_000):
+    def __init__(self, path: str, known: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,52 +156,81 @@ class WordTokenizer:
         # ids that end a word; words of letters can then be encoded in one call, joined by spaces, and told apart
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
         self.known = known
+        self._keep({"": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64))
 
-    def _encode_plain(self, words: list[str]) -> None:
-        """One call for many words of letters; left to single calls if they can't be told apart."""
+    def _keep(self, slots: dict[str, int], flat: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
+        self.slots, self.flat, self.sizes, self.met = slots, flat, sizes, met
+        self.starts = np.cumsum(sizes) - sizes
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many words of letters from one call, and how many each has; None if they can't be told apart."""
         ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) == len(words) and at[-1] == len(ids):
-            for s, a, b in zip(words, [0, *at[:-1].tolist()], at.tolist()):
-                self.parts[s] = ids[a:b].tobytes()
+        return (ids, np.diff(at, prepend=0)) if len(at) == len(words) and at[-1] == len(ids) else None
 
-    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*pieces) - self.words.keys()
-        cores, others, made = set(), set(), []
-        for w in new:
-            s = w.decode("utf-8", "surrogatepass")
-            core = s.rstrip(".,;:!?")
-            if core.isalpha() and len(core) < 100 and (core.isascii() or _PLAIN.fullmatch(core)):
-                tail = s[len(core) :]
-                core = core.lower()
-                cores.add(core)
-                if tail:
-                    others.add(tail)
-                made.append((w, core, tail))
-            else:
-                others.add(s)
-                made.append((w, s, ""))
-        parts = self.parts
-        plain = list(cores - parts.keys())
+    def _learn(self, new: list[str]) -> None:
+        """Gives each part a slot."""
+        plain = [s for s in new if s.isalpha() and len(s) < 100 and (s.isascii() or _PLAIN.fullmatch(s))]
+        rest = list(set(new) - set(plain))
+        order, flat, sizes = [], [self.flat], [self.sizes]
         for k in range(0, len(plain), 1000):
-            self._encode_plain(plain[k : k + 1000])
-        rest = list((cores | others) - parts.keys())
-        for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            parts[s] = np.array(e.ids, "<u4").tobytes()
-        words = self.words
-        for w, head, tail in made:
-            words[w] = parts[head] + parts[tail] if tail else parts[head]
-        get, last = self.words.__getitem__, struct.pack("<I", end)
-        out = [b"".join(map(get, p)) + last for p in pieces]
-        if len(self.words) > self.known // 2:
-            self.words.clear()
-        if len(self.parts) > self.known:
-            self.parts.clear()
-        return out
+            got = self._encode_plain(plain[k : k + 1000])
+            if got:
+                order += plain[k : k + 1000]
+                flat.append(got[0])
+                sizes.append(got[1])
+            else:
+                rest += plain[k : k + 1000]
+        order += rest
+        one_by_one = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        flat.append(np.array(list(chain.from_iterable(one_by_one)), "<u4"))
+        sizes.append(np.array([len(x) for x in one_by_one], np.int64))
+        first = len(self.sizes)
+        self.slots.update(zip(order, range(first, first + len(order))))
+        self._keep(self.slots, np.concatenate(flat), np.concatenate(sizes), np.concatenate([self.met, np.zeros(len(order), np.int64)]))
+
+    def _forget(self) -> None:
+        self.met[0] = 1 << 40  # the empty part stays
+        keep = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :])
+        place = np.full(len(self.met), -1)
+        place[keep] = np.arange(len(keep))
+        slots = {w: p for w, p in zip(self.slots, place.tolist()) if p >= 0}  # slots are given in the order of the dict
+        self._keep(slots, self.flat[_spans(self.starts[keep], self.sizes[keep])], self.sizes[keep], self.met[keep] // 2)
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [w for w in names if w not in self.slots]
+        if new:
+            self._learn(new)
+        index = coded.indices.to_numpy()
+        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
+        self.met[slot] += np.bincount(index, minlength=len(names))
+        return slot[index]
+
+    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
+        if len(self.slots) > self.known:
+            self._forget()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        # marks behind a word of letters are a part of their own
+        core = pc.utf8_rtrim(words, ".,;:!?")
+        parted = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(words)), pc.match_substring_regex(core, _LETTERS))
+        tails = pc.if_else(parted, pc.replace_substring_regex(words, r"^[^.,;:!?]+", ""), "")
+        parts = self._slots(pa.concat_arrays([pc.if_else(parted, core, words), tails]))
+        each = parts.reshape(2, len(words)).T[coded.indices.to_numpy()].ravel()
+        sizes = self.sizes[each]
+        ids = self.flat[_spans(self.starts[each], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[2 * lists.offsets.to_numpy()].tolist()
+        last = struct.pack("<I", end)
+        return [ids[a:b].tobytes() + last for a, b in zip(upto, upto[1:])]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 _held: dict[str, WordTokenizer] = {}
