@@ -138,8 +138,9 @@ def test_jaccard(spark, data, none, n, percent):
 
 
 def test_jaccard_blocks(spark, monkeypatch):
-    """The same with blocks of a few sets, so that clusters are cut."""
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    """The same with blocks and groups of a few sets, so that clusters and frequent n-grams are cut."""
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 450)
+    monkeypatch.setattr(jaccard, "GROUP", 9)
     rng = np.random.default_rng(2)
     rows = []
     for k in range(150):
@@ -151,7 +152,43 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert ours(d, 2, 80) == linked(rows, 2, 80)
 
 
+def test_jaccard_chain(spark, monkeypatch):
+    """Each text links only to its neighbours in one long chain, and texts of other words share rare n-grams with all."""
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(jaccard, "GROUP", 16)
+    rows = [(k, " ".join(f"w{i}" for i in range(6 * k, 6 * k + 80))) for k in range(90)]
+    rows += [(200 + k, " ".join([f"w{i}" for i in range(6 * k, 6 * k + 5)] + [f"x{k}y{i}" for i in range(75)])) for k in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked(rows, 4, 85)
+    assert ours(d, 4, 85) == want and len({c for _, _, (_, c), _ in want}) == 91
+
+
+def test_trie_passes_over_subtrees():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint64)) for _ in range(120)] + [np.arange(30, dtype=np.uint64), np.arange(31, dtype=np.uint64)] * 2
+    probes = [np.unique(rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint64)) for _ in range(60)] + sets[:20]
+    for percent in (50, 80, 100):
+        trie = jaccard.Trie(sets)
+        got = {(trie.order[k], int(p)) for k, found in trie.match(probes, percent) for p in found}
+        both = lambda a, b: len(np.intersect1d(a, b))
+        assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(probes) if 100 * both(a, b) >= percent * (len(a) + len(b) - both(a, b))}
+    far = [np.arange(1000, 1030, dtype=np.uint64)]
+    assert not list(jaccard.Trie(sets).match(far, 80))
+
+
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 700, 9000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 8 :], rng.integers(0, 2**63, size // 20).astype(np.uint64)]))
+        for _, words in jaccard._by_size([jaccard.bitmap(a), jaccard.bitmap(b)]):
+            if len(words) == 2:
+                assert np.bitwise_count(words[0] ^ words[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicate_stage(spark, odd, none):
     out = jaccard.near_duplicate_stage(odd)
     assert out.columns == odd.columns and jaccard.near_duplicate_stage(none).count() == 0
     assert {r.doc_id for r in out.collect()} == {None, -9, 1, 2, 3, 4, 6, 7, 8}
+    clash = odd.selectExpr("*", "1 AS _id", "2 AS _key", "3 AS _hash", "4 AS cid")
+    assert jaccard.near_duplicate_stage(clash).columns == clash.columns and jaccard.near_duplicate_stage(clash).count() == out.count()
