@@ -333,7 +333,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     def cover(t: pa.Table) -> pa.Table:
         h, cid, size, cut_up = (t[c].to_numpy() for c in ("h", "cid", "n", "cut"))
         maps, apart = t["bits"].to_pylist(), size * (100 - percent) // percent
-        by = np.argsort(h, kind="stable")
+        by = np.lexsort((cid, h))  # by number inside, so that n-grams of the same sets mostly take the same leaders
         edges: list[tuple[int, int]] = []
         out: list[tuple] = []
         for rows in np.split(by, np.flatnonzero(np.diff(h[by])) + 1):
