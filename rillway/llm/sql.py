@@ -32,10 +32,10 @@ FROM d LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN c ON z.set_id = c.set_id LEF
 
 LINE_RUNS = f"""
 WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
- w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE {_HAS_WORD}),
- g AS (SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS run FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
- s AS (SELECT doc_id, i FROM g WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
- gone AS (SELECT DISTINCT w.doc_id, w.pos FROM w JOIN (SELECT doc_id, unnest(range(i, i + 3)) AS i FROM s) x ON x.doc_id = w.doc_id AND x.i = w.i)
+ w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM l WHERE {_HAS_WORD}),
+ g AS (SELECT doc_id, i, n, array_to_string((list(line) OVER d)[:n], chr(10)) AS run, list_sum((list(words) OVER d)[:n]) AS words, len((list(line) OVER d)[:n]) = n AS whole FROM w, range(1, 4) t(n) WINDOW d AS (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+ s AS (SELECT doc_id, i, n FROM g WHERE whole AND (n = 3 OR words >= 50) QUALIFY row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) > 1),
+ gone AS (SELECT DISTINCT w.doc_id, w.pos FROM w JOIN (SELECT doc_id, unnest(range(i, i + n)) AS i FROM s) x ON x.doc_id = w.doc_id AND x.i = w.i)
 SELECT l.doc_id, count(w.pos) AS n_lines, count(gone.pos) AS n_removed, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '')) AS clean_sha256
 FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.pos = l.pos LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY 1"""
 

@@ -51,35 +51,76 @@ def test_phrases_edges(spark, none):
     assert phrases.remove_repeats(none).count() == 0
 
 
-def cleaned_lines(rows, m):
+def cleaned_lines(rows, m, min_words=50):
     docs = sorted(set(rows), key=lambda r: (order(r[0]), r[2]))
     seen, gone = set(), {}
     for d, t, h in docs:
         at = [i for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
         lines = (t or "").split("\n")
         mine = set()
-        for k in range(len(at) - m + 1):
-            key = tuple(lines[i] for i in at[k : k + m])
-            if key in seen:
-                mine |= {at[k + j] for j in range(m)}
-            seen.add(key)
+        for k in range(len(at)):
+            for n in range(1, m + 1):
+                key = tuple(lines[i] for i in at[k : k + n])
+                if len(key) == n and (n == m or sum(len(WORD.findall(x)) for x in key) >= min_words):
+                    if key in seen:
+                        mine |= {at[k + j] for j in range(n)}
+                    seen.add(key)
         gone[d, t] = len(at), mine
     return sorted((order(d), *(lambda n, g: (n, len(g), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in g)))(*gone[d, t])) for d, t, _ in rows)
 
 
+MORE_LINES = [(900, "a\nb\nc\nd"), (901, "x\na\n\nb\nc\ny"), (902, "a\nb\nc\nd"), (903, "q\nq\nq\nq\nq\nq"), (904, "b\nc\nd\na\nb"), (905, "long line " * 30 + "\nz"), (906, "y\n" + "long line " * 30), (907, "one\n" + "few words " * 24 + "\ntwo three"), (908, "few words " * 24 + "\ntwo three\nfour")]
+
+
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
 def test_lines(spark, data, m):
-    more = [(900, "a\nb\nc\nd"), (901, "x\na\n\nb\nc\ny"), (902, "a\nb\nc\nd"), (903, "q\nq\nq\nq\nq\nq"), (904, "b\nc\nd\na\nb")]
-    d = data.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    d = data.unionByName(spark.createDataFrame(MORE_LINES, "doc_id long, text string"))
     rows = [(r.doc_id, r.text, r.h) for r in d.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()]
     got = sorted((order(r.doc_id), r.n_lines, r.n_removed, r.clean_text) for r in line_dedup.remove_repeated_lines(d, m).collect())
     assert got == cleaned_lines(rows, m)
 
 
+def test_runs_against_a_suffix_array(spark):
+    """Starts and lengths of maximal runs from a plain suffix array with its common prefixes."""
+    rng = np.random.default_rng(6)
+    docs = [[f"line {x}" for x in rng.integers(0, 9, int(rng.integers(1, 40)))] for _ in range(30)]
+    docs += [docs[3] + docs[5][:20], docs[7] * 3, ["same"] * 50]
+    text = [(d, i, x) for d, lines in enumerate(docs) for i, x in enumerate([*lines, None])]  # None ends a document and equals nothing
+
+    def same(a, b):
+        n = 0
+        while text[a + n][2] is not None and text[a + n][2] == text[b + n][2]:
+            n += 1
+        return n
+
+    array = sorted((p for p in range(len(text)) if text[p][2]), key=lambda p: [x or f"~{d}" for d, _, x in text[p : p + 200]])
+    prefix = [0, *(same(a, b) for a, b in zip(array, array[1:]))]
+    for m in (2, 3, 4):
+        first, at = {}, 0
+        while at < len(array):
+            end = at + 1
+            while end < len(array) and prefix[end] >= m:
+                end += 1
+            first |= dict.fromkeys(array[at:end], min(array[at:end]))
+            at = end
+        want = {(text[p][:2], text[f][:2], same(p, f)) for p, f in first.items() if p != f and not (p - 1 in first and first[p - 1] == f - 1 and p - 1 != f - 1 and text[p - 1][2])}
+        d = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+        got = [((r.doc_id, r.i), (r.of_doc_id, r.of_i), r.length) for r in line_dedup.repeated_runs(d, m, 10**6).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and max(n for *_, n in want) > 30
+
+
+def test_lines_of_one_long_text(spark):
+    d = spark.createDataFrame([(1, "\n".join(["again"] * 20000 + ["", "end"])), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(d).collect()}
+    assert (got[1].n_lines, got[1].n_removed, got[1].clean_text, got[2].clean_text) == (20001, 19999, "again\n\nend", "")
+
+
 def test_lines_stage(spark, odd, none):
     assert line_dedup.line_dedup_stage(odd).columns == odd.columns and line_dedup.line_dedup_stage(none).count() == 0
     d = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "a\nb\nc\nd"), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup_stage(d).collect()) == [(1, "a\nb\nc"), (3, "d"), (4, "")]
+    clash = odd.selectExpr("*", "1 AS n_removed", "2 AS p", "3 AS _gone", "4 AS text_hash")
+    assert line_dedup.line_dedup_stage(clash).columns == clash.columns
 
 
 def shingles(text, n):
