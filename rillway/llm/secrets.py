@@ -18,6 +18,7 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 
+CHUNK = 128
 SPAN = "struct<start:bigint,end:bigint,kind:string,value:string>"
 _OPEN, _SHUT = "", ""  # put around each match; the same characters of a text are set aside first
 
@@ -38,17 +39,35 @@ def spans(text: str, pattern: str, kind: str, sign: str) -> Column:
     text must be free of the marking characters. sign is SQL for a cheap condition that every text with a match meets.
     """
     marked = f"regexp_replace({text}, {_quoted('(' + pattern + ')')}, '{_OPEN}$1{_SHUT}')"
+    none = f"cast(array() AS array<{SPAN}>)"
+    # appending to an array copies it: matches are taken in stretches of CHUNK, so that a text of very many costs little more for each
     return F.expr(f"""
-      CASE WHEN NOT ({sign}) THEN cast(array() AS array<{SPAN}>) ELSE
-      aggregate(array(split({marked}, '{_OPEN}')), cast(array() AS array<{SPAN}>), (a0, p) ->
+      CASE WHEN NOT ({sign}) THEN {none} ELSE
+      aggregate(array(split({marked}, '{_OPEN}')), {none}, (a0, p) ->
         CASE WHEN size(p) = 1 THEN a0 ELSE
-          aggregate(slice(p, 2, size(p) - 1),
-            named_struct('at', cast(length(p[0]) AS bigint), 'found', cast(array() AS array<{SPAN}>)),
-            (s, x) -> named_struct(
-              'at', s.at + length(x) - 1,
-              'found', concat(s.found, array(named_struct('start', s.at, 'end', s.at + length(substring_index(x, '{_SHUT}', 1)),
-                                                          'kind', '{kind}', 'value', substring_index(x, '{_SHUT}', 1))))),
-            s -> s.found) END) END""")
+          aggregate(array(transform(sequence(0, (size(p) - 2) div {CHUNK}), c -> slice(p, cast(c * {CHUNK} + 2 AS int), {CHUNK}))), {none}, (a1, chunks) ->
+            aggregate(array(aggregate(chunks, named_struct('at', cast(length(p[0]) AS bigint), 'starts', cast(array() AS array<bigint>)),
+              (s, q) -> named_struct('at', s.at + aggregate(q, 0L, (n, x) -> n + length(x) - 1), 'starts', concat(s.starts, array(s.at))), s -> s.starts)), {none}, (a2, starts) ->
+              flatten(zip_with(chunks, starts, (q, start) ->
+                aggregate(q, named_struct('at', start, 'found', {none}),
+                  (s, x) -> named_struct(
+                    'at', s.at + length(x) - 1,
+                    'found', concat(s.found, array(named_struct('start', s.at, 'end', s.at + length(substring_index(x, '{_SHUT}', 1)),
+                                                                'kind', '{kind}', 'value', substring_index(x, '{_SHUT}', 1))))),
+                  s -> s.found))))) END) END""")
+
+
+def _covered(found: Column) -> Column:
+    """A byte for each code point up to the last span's end, 1 inside spans; found is sorted and without overlaps."""
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda s: s["end"]))
+    piece = lambda s, e: F.concat(F.repeat(F.lit("0"), (s["start"] - e).cast("int")), F.repeat(F.lit("1"), (s["end"] - s["start"]).cast("int")))
+    return F.when(F.size(found) == 0, F.lit("")).otherwise(F.array_join(F.zip_with(found, before, piece), "")).cast("binary")
+
+
+def _outside(found: Column, drawn: Column, none: Column) -> Column:
+    """The spans that hold no place inside the drawn ones; the aggregates give drawn and found names, so each is made once."""
+    free = lambda s, m: ~F.contains(F.substring(m, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(b"1"))
+    return F.aggregate(F.array(found), none, lambda a, c: F.aggregate(F.array(drawn), a, lambda b, m: F.filter(c, lambda s: free(s, m))))
 
 
 def base_spans(text: str) -> dict[str, Column]:
@@ -116,11 +135,13 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
     """doc_id and the array `secrets` of spans (start, end, kind, value), by start, then kind as listed.
 
     Kinds: the base kinds, and `markov` for strings of CANDIDATE that overlap no base span and whose mean log-likelihood
-    ratio for each pair of characters reaches the threshold. Null text counts as empty.
+    ratio for each pair of characters reaches the threshold. Null text counts as empty. Spans that start together are
+    ordered by kind; repeated rows get equal spans; texts are read whole, and the cost of a text with m matches grows as
+    m; an empty table gives an empty result; other columns are not looked at.
     """
     d = docs.select("doc_id", _free(F.coalesce("text", F.lit(""))).alias("_t"))
-    base = base_spans("_t")
-    d = d.select("doc_id", "_t", F.concat(base["assign"], base["access"], base["hex"]).alias("_base"))
+    d = d.select("doc_id", "_t", F.struct(*[c.alias(k) for k, c in base_spans("_t").items()]).alias("_by_kind"))
+    d = d.select("doc_id", "_t", "_by_kind", F.concat(*[F.col(f"_by_kind.{k}") for k in PATTERNS]).alias("_base"))
     extra = F.expr(f"cast(array() AS array<{SPAN}>)")
     if ratios:
         table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
@@ -130,10 +151,9 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
             F.lit(0.0),
             lambda acc, c: acc + F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.get(table, a * SIZE + b)), F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1),
         )
-        tried = F.filter(
-            spans("_t", CANDIDATE, "markov", f"_t RLIKE '{CANDIDATE}'"),
-            lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-        )
+        tried = spans("_t", CANDIDATE, "markov", f"_t RLIKE '{CANDIDATE}'")
+        for kind in PATTERNS:  # each kind's spans are drawn once for a text, then looked at where a candidate lies
+            tried = _outside(tried, _covered(F.col(f"_by_kind.{kind}")), extra)
         extra = F.filter(tried, lambda s: mean(s["value"]) >= threshold)
     d = d.select("doc_id", "_base", extra.alias("_extra"))
     rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
