@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm.common import cut
+
 #: Which of the consecutive words a seed looks at (1) and which it ignores (0). An item's seeds are those of
 #: the first mask that the substitutions allowed for its length can't defeat (see unbeaten), a single word if none is left.
 MASKS = ("1101", "111", "11", "1")
@@ -146,12 +148,10 @@ def _overlap(item: np.ndarray, ids: np.ndarray, shift: int, min_words: int, min_
     # gain is never negative over a stretch that passes: the longest such stretch, from running sums
     run = np.concatenate([[0.0], np.cumsum(same - min_match)]) + 1e-9 * np.arange(b - a + 1)
     low = np.minimum.accumulate(run)
-    best = (0, 0)
-    for e in range(need, b - a + 1):
-        s = int(np.searchsorted(-low, -run[e]))  # first place whose running minimum is at most run[e]
-        if e - s > best[1] - best[0]:
-            best = (s, e)
-    s, e = best
+    ends = np.arange(need, b - a + 1)
+    starts = np.searchsorted(-low, -run[ends])  # first places whose running minimum is at most run[e]
+    longest = int(np.argmax(ends - starts))
+    s, e = int(starts[longest]), int(ends[longest])
     while s < e and not same[s]:
         s += 1
     while e > s and not same[e - 1]:
@@ -174,21 +174,37 @@ def _blocks(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_ma
         yield Block(rows, masks, min_words, min_match)
 
 
+def _block_by_block(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_match: float, given: DataFrame, apply, name: str) -> Iterator[DataFrame]:
+    """apply(given or what it made last, broadcast) for each block; where there are several, one is broadcast at a time and its result written."""
+    blocks = _blocks(benchmark, masks, min_words, min_match)
+    block, after = next(blocks, None), next(blocks, None)
+    alone = after is None
+    while block is not None:
+        held = given.sparkSession.sparkContext.broadcast(block)
+        block, after = after, next(blocks, None)
+        if alone:
+            yield apply(held)
+        else:
+            yield cut(apply(held), name)
+            held.destroy()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """Each (doc_id, item_id) whose texts overlap: doc_id, item_id, start_word, n_words, n_equal.
 
     Words are lower-cased and freed of ASCII punctuation. Seeds of the fixed masks, which may ignore some positions, are
     matched between benchmark and documents; around the hits the item is laid over the text, and the overlap counts if
-    a stretch of min_words words (the whole item where it is shorter) has min_match equal words, substitutions in
-    any place. Each item is seeded by a mask that is proven to hit in every such overlap, so none is lost. The best stretch of each pair is returned. Null and empty texts overlap with nothing; equal rows each
-    give their own result. The benchmark goes to the tasks in blocks of a fixed size; documents never move.
+    a stretch of min_words words (the whole item where it is shorter, down to one word) has min_match equal words,
+    substitutions in any place. Each item is seeded by a mask that is proven to hit in every such overlap, so none is
+    lost. The best stretch of each pair is returned, the first of equally good ones. Null and empty texts overlap with
+    nothing, on either side; equal rows each give their own result; texts are taken whole, whatever their length; an
+    empty table on either side gives an empty result; other columns are not looked at.
+    The benchmark goes to the tasks in blocks of at most BLOCK words, one block at a time; documents never move.
     """
-    spark = docs.sparkSession
-    out = None
-    for block in _blocks(benchmark, masks, min_words, min_match):
-        held = spark.sparkContext.broadcast(block)
+    schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint"
 
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def scanned(held) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 for b in batches:
                     rows = [
@@ -200,21 +216,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_m
                     cols = list(zip(*rows)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start_word", "n_words", "n_equal"])
 
-        part = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint")
+        return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, schema)
+
+    parts = list(_block_by_block(benchmark, masks, min_words, min_match, docs, scanned, "leaks"))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """The documents that overlap with no benchmark item (see find_leaks), judged where they lie: nothing is shuffled."""
+    """The documents that overlap with no benchmark item (see find_leaks), judged where they lie: nothing is shuffled.
+
+    Null and empty texts stay, equal rows share their fate, columns of any name pass through.
+    """
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, masks, min_words, min_match):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+    left = docs
 
-        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def kept(held) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 for b in batches:
                     yield b.filter(pa.array([not (t and held.value.search(t, min_words, min_match)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        return left.mapInArrow(keep, docs.schema)
+
+    for left in _block_by_block(benchmark, masks, min_words, min_match, docs, kept, "clean"):
+        pass
+    return left
