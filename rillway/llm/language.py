@@ -108,27 +108,32 @@ def fit(docs: DataFrame, max_rows: int = 4000) -> dict:
 
 
 def predict(docs: DataFrame, model: dict, reject: bool = False) -> DataFrame:
-    """doc_id with lang_pred and score (0 to 1), from the whole of each text.
+    """doc_id with lang_pred, score (0 to 1) and accepted, from the whole of each text.
 
-    A null text or one without a letter gets `und` and 0. With reject, so does a text whose best score is below the
-    model's calibrated floor. A model without languages answers `und`.
+    accepted says whether the score reaches the floor that was calibrated on rows held aside. A null text or one without
+    a letter gets `und`, 0 and false. With reject, a text that isn't accepted gets `und` too. A model without languages
+    answers `und`. Of languages with equal scores the first by name is taken. Repeated rows get equal answers, long texts
+    are read whole, an empty table gives an empty result, other columns are not looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            names, scores = [], []
+            rows = []
             for text in b.column(1).to_pylist():
-                name, score = "und", 0.0
+                name, score, accepted = "und", 0.0, False
                 if text and m["names"] and _LETTER.search(text):
                     n = np.bincount(subwords(text), minlength=BUCKETS).astype(np.float32)
                     p = _softmax((n / max(1.0, n.sum()) @ m["table"] + m["bias"])[None])[0]
                     best = int(p.argmax())
-                    if not reject or p[best] >= m["floor"]:
-                        name, score = m["names"][best], min(1.0, float(p[best]))
-                names.append(name)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                    score, accepted = min(1.0, float(p[best])), bool(p[best] >= m["floor"])
+                    if accepted or not reject:
+                        name = m["names"][best]
+                    else:
+                        score = 0.0
+                rows.append((name, score, accepted))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, accepted boolean")

@@ -75,7 +75,7 @@ def op7_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = language.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
-    return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op8_chat_formatting(spark, sf_dir):
@@ -114,6 +114,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
+    """Base figures of every document, and whether the line rules keep it."""
     return quality.line_verdicts(documents(spark, sf_dir)).select(
         "doc_id", *quality.FIGURES, "base_failed", "kept", "n_failed_lines"
     )
