@@ -276,9 +276,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
        ones, then the others by hash. Sets that link share an n-gram of their prefixes. A class whose rare sampled
        n-grams alone fill its prefix has no partner and is dropped.
     3. Classes that share a prefix n-gram are compared by bitmaps of two bits for each n-gram: bits apart are never more
-       than n-grams apart, so pairs that differ in too many bits don't link. A frequent n-gram's classes are dealt to
-       groups of about GROUP; each is covered by leaders, and only leaders meet those of other groups. What may link is
-       chained into clusters; classes that merely share an n-gram are not.
+       than n-grams apart, so pairs that differ in too many bits don't link. N-grams with the same first class make one
+       group; a large group is dealt to parts of about GROUP, each is covered by leaders, and only leaders meet those of
+       other parts. What may link is chained into clusters; classes that merely share an n-gram are not.
     4. A cluster's sets lie in blocks of about BLOCK_GRAMS n-grams. Each block is a trie, walked once by all sets of a
        block at a time with partial overlaps; subtrees that can't reach the needed intersection are passed over. A task
        returns a spanning forest of the links it found and counts, so no pairs are stored.
@@ -324,16 +324,20 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keys = work.cut(shared.select("h", "cid").unionByName(classes.select(F.explode("then").alias("h"), "cid")), "prefixes")
     work.drop("frequent")
 
-    sizes = work.cut(keys.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / GROUP)), "hubs")
+    # n-grams whose first class is the same make one group: near copies share many n-grams, and meet once
+    hubs = work.cut(keys.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1").drop("m"), "hubs")
+    grouped = work.cut(keys.join(hubs, "h").select("hub", "cid").distinct(), "grouped")
+    work.drop("prefixes", "hubs")
+    sizes = work.cut(grouped.groupBy("hub").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / GROUP)), "sizes")
     packs = max(1, (sizes.where("blocks = 1").agg(F.sum("m")).first()[0] or 0) // (4 * GROUP))
-    posted = keys.join(sizes, "h").join(classes.select("cid", "n", "bits"), "cid")
-    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("h"), F.lit(packs)).alias("x"), F.lit(-1).cast("bigint").alias("y"))).otherwise(F.struct(F.col("h").alias("x"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("y")))
-    posted = posted.select("h", "cid", "n", "bits", F.col("blocks") > 1, task.alias("task")).toDF("h", "cid", "n", "bits", "cut", "task")
+    posted = grouped.join(sizes, "hub").join(classes.select("cid", "n", "bits"), "cid")
+    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("hub"), F.lit(packs)).alias("x"), F.lit(-1).cast("bigint").alias("y"))).otherwise(F.struct(F.col("hub").alias("x"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("y")))
+    posted = posted.select("hub", "cid", "n", "bits", F.col("blocks") > 1, task.alias("task")).toDF("h", "cid", "n", "bits", "cut", "task")
 
     def cover(t: pa.Table) -> pa.Table:
         h, cid, size, cut_up = (t[c].to_numpy() for c in ("h", "cid", "n", "cut"))
         maps, apart = t["bits"].to_pylist(), size * (100 - percent) // percent
-        by = np.lexsort((cid, h))  # by number inside, so that n-grams of the same sets mostly take the same leaders
+        by = np.lexsort((cid, h))  # by number inside, so that groups of the same sets mostly take the same leaders
         edges: list[tuple[int, int]] = []
         out: list[tuple] = []
         for rows in np.split(by, np.flatnonzero(np.diff(h[by])) + 1):
@@ -353,9 +357,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("a", "b", "h", "radius", "most", "bits"), cols, kinds)})
 
     near = work.cut(posted.groupBy("task").applyInArrow(cover, "a bigint, b bigint, h bigint, radius bigint, most bigint, bits binary"), "near")
-    work.drop("prefixes", "hubs")
+    work.drop("grouped", "sizes")
 
-    # leaders of n-grams whose classes lie in several groups, each size of bitmap for itself
+    # leaders of groups that lie in several parts, each size of bitmap for itself
     leaders = near.where("h IS NOT NULL").withColumn("w", F.octet_length("bits"))
     met = leaders.join(leaders.groupBy("h", "w").agg(F.ceil(F.count("*") / GROUP).alias("blocks")), ["h", "w"])
     own = F.pmod(F.xxhash64("a"), F.col("blocks"))
