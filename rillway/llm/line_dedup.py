@@ -9,6 +9,7 @@ from rillway.llm.common import Work
 
 KEY = ["doc_id", "text_hash"]
 LINE_BITS = 26  # a place is a document's number and a line's number in so many bits
+SIEVE = 1 << 24  # bits
 FEW_BITS = 14  # running sums go over up to 2 ** FEW_BITS ranks at a time, then over those sums
 
 
@@ -118,7 +119,9 @@ def _runs(work: Work, levels: list[DataFrame], min_lines: int, min_words: int) -
         there = levels[k].select(F.col("p").alias("of_at"), F.col("lo").alias("b"))
         runs = runs.withColumn("at", F.col("p") + F.col("length")).withColumn("of_at", F.col("of") + F.col("length"))
         runs = runs.join(here, "at", "left").join(there, "of_at", "left")
-        runs = work.cut(runs.select("p", "of", (F.col("length") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0)).alias("length")), "runs")
+        runs = runs.select("p", "of", (F.col("length") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0)).alias("length"))
+        if k % 4 == 0:
+            runs = work.cut(runs, "runs")
     return runs
 
 
@@ -157,7 +160,17 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int =
     gone = F.flatten(F.transform(F.collect_list(F.struct("a", "b")), lambda r: F.sequence(r["a"], r["b"] - 1)))
     marks = marks.groupBy(*KEY).agg(gone.alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
     d = _keyed(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns]).alias("_row")))
-    j = d.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    marks = Work(docs.sparkSession).cut(marks, "marks")
+    # a bitmap of fixed size tells most documents without marks: only the others' texts are shuffled for the exact join
+    bit = F.pmod(F.xxhash64("_id", "_hash"), F.lit(SIEVE)) + 1
+    sieve = marks.groupBy(F.bitmap_bucket_number(bit).alias("_n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))  # SIEVE / 32768 rows of 4 KB at most
+    mine = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SIEVE)) + 1
+    d = d.withColumn("_n", F.bitmap_bucket_number(mine)).withColumn("_pos", F.bitmap_bit_position(mine)).join(F.broadcast(sieve), "_n", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_pos", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    d = d.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(F.expr("shiftright(_byte, cast(_pos % 8 AS int)) % 2 = 1"), F.lit(False)))
+    d = d.select("doc_id", "text", "text_hash", "_row", "_maybe")
+    looked = d.where("_maybe").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    j = looked.select("text", "_row", "_gone").unionByName(d.where("NOT _maybe").select("text", "_row", F.lit(None).cast("array<bigint>").alias("_gone")))
     j = j.withColumn("_lines", F.split("text", "\n")).withColumn("_worded", _worded(F.col("text")))
     at = F.transform("_gone", lambda i: F.get("_worded", i.cast("int"))["at"])
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), at)
