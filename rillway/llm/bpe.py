@@ -8,10 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm.common import kept
+
 #: Fixed value: how byte-level BPE files cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KNOWN = 150_000  # words whose ids a task keeps for later batches
@@ -154,24 +157,19 @@ class Encoder:
         return [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in ids]
 
 
-_held: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
-    if path not in _held:
-        _held[path] = Encoder(path)
-    return _held[path]
+    return kept(f"bpe {path}", lambda: Encoder(path))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches whose last column, a text, has about so many characters; one text stays whole."""
+def in_slices(batches: Iterator[pa.RecordBatch], size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose last column, a text, has about so many bytes; one text stays whole."""
     for b in batches:
-        sizes = np.cumsum([len(x) if x else 0 for x in b.column(b.num_columns - 1).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy().astype(np.int64))
         start = 0
         while start < b.num_rows:
             base = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, base + chars)))
+            end = max(start + 1, int(np.searchsorted(sizes, base + size)))
             yield b.slice(start, end - start)
             start = end
 

@@ -63,6 +63,17 @@ class Work:
         return out
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make):
+    """What an operator keeps in a Python worker from one task to the next. Another operator's goes first, so that it doesn't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import Work, free_name, mix, word_bounds, word_hashes
+from rillway.llm.common import Work, free_name, kept, mix, word_bounds, word_hashes
 
 SAMPLE = 0.2  # share of the hash range whose n-grams are counted
 SIEVE = 1 << 24  # bits
@@ -290,6 +290,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     bound = np.uint64(int(SAMPLE * 2**64))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard", dict)
         with np.errstate(over="ignore"):
             for b in batches:
                 names, sizes, first, then, maps = [], [], [], [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.bpe import in_slices
-from rillway.llm.common import cut, scratch
+from rillway.llm.common import cut, kept, scratch
 
 MAGIC = b"EFIDS\x01"
 SAMPLE = 128  # a select sample for so many values
@@ -233,9 +233,6 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-_held: dict[str, WordTokenizer] = {}
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str, end: int) -> DataFrame:
     """Encode docs and write token files under path, a folder that all executors share.
 
@@ -248,8 +245,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int) -> DataFra
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _held:
-            _held[tokenizer] = WordTokenizer(tokenizer)
+        words = kept(f"words {tokenizer}", lambda: WordTokenizer(tokenizer))
         fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
         fs.create_dir(folder, recursive=True)
         part, number, names, ids, held, rows = TaskContext.get().partitionId(), 0, [], [], 0, []
@@ -267,7 +263,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int) -> DataFra
 
         for b in in_slices(batches, 4_000_000):
             names += b.column(0).to_pylist()
-            new = _held[tokenizer].encode_batch([t or "" for t in b.column(1).to_pylist()], end)
+            new = words.encode_batch([t or "" for t in b.column(1).to_pylist()], end)
             ids += new
             held += sum(map(len, new)) // 4
             if held >= FILE_IDS:
