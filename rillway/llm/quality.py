@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 SPACE = "[ \\t-\\r]"
 SYMBOL = "[#*$%&|<>]"
 ENDINGS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]")
-#: Phrases of page furniture, lower case.
+#: Phrases of page furniture in the corpus's four languages, lower case.
 BOILERPLATE = (
     "cookie policy", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
     "all rights reserved", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "skip to content",
+    "cookie-richtlinie", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten",
+    "javascript aktivieren", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    "politique de cookies", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation",
+    "tous droits réservés", "activer javascript", "cliquez ici", "abonnez-vous à notre", "aller au contenu",
+    "política de cookies", "aceptar cookies", "aceptar todas las cookies", "política de privacidad", "términos de uso",
+    "todos los derechos reservados", "habilitar javascript", "haga clic aquí", "suscríbete a nuestro", "saltar al contenido",
 )
 
 
@@ -129,7 +135,11 @@ def base_figures(d: DataFrame, text: str) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame, **how) -> DataFrame:
-    """The documents that pass, with their failing lines removed and n_chars counted again."""
+    """The documents that pass, with their failing lines removed and n_chars counted again.
+
+    Null and empty texts have no words and go; equal rows share their fate; texts are judged whole; an empty table stays
+    empty; columns of any name pass through.
+    """
     cols = docs.columns
     rest = [c for c in cols if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
