@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -77,8 +78,10 @@ def format_conversations(conversations: DataFrame, render: Callable[[Messages],
     """One row for each conversation: text, turn spans, spans under the loss mask (code points, end exclusive).
 
     Rows are taken by turn; equal turns by role, then text. Null turns come first, null roles and texts count as
-    empty; rows with a null conv_id make one conversation of their own. Repeated rows are repeated turns.
-    A conversation is one value of the result, so it is the unit of work; conversations spread over the cluster.
+    empty; a row without a conv_id is a conversation of its own. Repeated rows are repeated turns, an empty table gives
+    an empty result, other columns are not looked at.
+    A conversation is one value of the result, so it is the unit of work; conversations spread over the cluster. Each
+    prefix is rendered twice, so a conversation of t turns costs t times its text.
     """
 
     def one(t: pa.Table) -> pa.Table:
@@ -99,4 +102,4 @@ def format_conversations(conversations: DataFrame, render: Callable[[Messages],
         )
 
     d = conversations.selectExpr("cast(conv_id AS bigint) AS conv_id", "cast(turn AS bigint) AS turn", "role", "text")
-    return d.groupBy("conv_id").applyInArrow(one, SCHEMA)
+    return d.groupBy("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())).applyInArrow(one, SCHEMA)
