@@ -15,6 +15,15 @@ ODD = [
 ]
 
 
+@pytest.fixture(autouse=True, scope="session")
+def few_partitions(spark):
+    """The operators run many small jobs here: fewer tasks in each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Rows with nulls, empty and long texts, ties, repeats, and an extra column named like an inner one."""

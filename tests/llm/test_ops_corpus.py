@@ -42,6 +42,27 @@ def test_phrases(data, window):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_phrases_in_many_shards(data, odd, monkeypatch):
+    """Shards that share files, and a text longer than a shard."""
+    monkeypatch.setattr(phrases, "SHARD_CHARS", 30_000)
+    monkeypatch.setattr(phrases, "BUCKETS", 3)
+    rows = [(r.doc_id, r.text) for r in data.collect()]
+    assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in phrases.remove_repeats(data).collect()) == cleaned_words(rows, 35)
+    clash = odd.selectExpr("*", "1 AS uid", "2 AS shard", "3 AS h")
+    assert phrases.remove_repeats(clash).count() == odd.count()
+
+
+def test_phrases_come_from_the_automaton(spark, monkeypatch):
+    """Without its hits nothing is found."""
+    d = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(60))) for k in range(2)], "doc_id long, text string")
+    assert [r.n_removed for r in phrases.remove_repeats(d).collect()] == [60, 60]
+    t = phrases.Words("a b c " * 20)
+    empty = phrases.ahocorasick.Automaton()
+    empty.add_word("nothing", 1)
+    empty.make_automaton()
+    assert list(t.stretches(empty, 35)) == []
+
+
 def test_phrases_edges(spark, none):
     base = [f"w{i}" for i in range(200)]
     texts = [base[:100], base[30:90], base[90:160] + base[20:57], base[:34], base[150:185], ["x"] * 80, base[150:184] + ["é"], base[60:95]]

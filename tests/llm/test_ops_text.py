@@ -217,6 +217,52 @@ def test_chat(spark):
     assert chat.format_conversations(given.where("false")).count() == 0
 
 
+def test_chat_rows_without_a_conversation(spark):
+    given = spark.createDataFrame([(None, k, "assistant", f"t{k}") for k in range(5)] + [(4, k, "user", "x" * 50) for k in range(300)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(given).collect()
+    assert sorted(len(chat.parse_turns(r.formatted)) for r in got) == [1] * 5 + [300]
+
+
+def test_language_ties_and_repeats(spark):
+    rows = [(1, "ab cd"), (1, "ab cd"), (2, "ab cd " * 50000)]
+    model = {"names": ["aa", "bb"], "table": np.zeros((language.BUCKETS, 2), np.float32), "bias": np.zeros(2, np.float32), "floor": 0.6}
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS lang", "1 AS score"), model).collect()
+    assert {(r.lang_pred, r.score, r.accepted) for r in got} == {("aa", 0.5, False)} and len(got) == 3
+
+
+def test_secrets_of_one_text_with_very_many(spark, none):
+    """Positions over many stretches, and candidates beside, inside and far from base spans."""
+    parts = [f"é token = Abcdefgh{k:06d} zzzz{'q' * (k % 20)} AKIA{k:016d} {k:040x}" for k in range(700)]
+    d = spark.createDataFrame([(1, " ".join(parts)), (2, None), (3, "x" * 200000)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.scan(d, None).select("doc_id", secrets.joined(F.col("secrets")).alias("s")).collect()}
+    assert got == {1: base(" ".join(parts)), 2: "", 3: ""}
+    every = secrets.scan(d, [1.0] * secrets.SIZE**2).select("doc_id", secrets.joined(F.col("secrets")).alias("s")).collect()
+    text = " ".join(parts)
+    taken = [(m.start(), m.end()) for _, p in KINDS for m in p.finditer(text) if f":{m.start()}:{m.end()}" in got[1]]
+    inside = np.zeros(len(text) + 1, bool)
+    for a, b in taken:
+        inside[a:b] = True
+    want = [f"markov:{m.start()}:{m.end()}" for m in re.finditer(secrets.CANDIDATE, text) if not inside[m.start() : m.end()].any()]
+    assert [x for x in {r.doc_id: r.s for r in every}[1].split(",") if x.startswith("markov")] == want and want
+    assert secrets.scan(none, None).count() == 0
+
+
+def test_secret_models_on_held_out_strings(spark):
+    """Precision and recall on strings that the models have not seen: random ones of several alphabets against identifiers."""
+    rng = np.random.default_rng(8)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET[:62]]
+    stems = "account user setting table manager connection instance retry maximum number service config value index document language model training value system network update record customer order payment region nation supplier part event stream window join filter batch".split()
+    name = lambda: "_".join(rng.choice(stems, 3))
+    rows = [(k, f"secret: {draw(alphabets[k % 3], 28)} and {name()} then {name()}") for k in range(600)]
+    ratios = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    hidden, plain = [draw(alphabets[k % 3], 28) for k in range(300)], [name() for _ in range(300)]
+    test = [(k, f"see {x} here") for k, x in enumerate(hidden + plain)]
+    got = {r.doc_id for r in secrets.scan(spark.createDataFrame(test, "doc_id long, text string"), ratios).where("exists(secrets, s -> s.kind = 'markov')").collect()}
+    found, wrong = len([k for k in got if k < 300]), len([k for k in got if k >= 300])
+    assert found / 300 >= 0.95 and found / (found + wrong) >= 0.95
+
+
 def test_chat_query(spark):
     got = {r.conv_id: r for r in queries.op8_chat_formatting(spark, SF).collect()}
     conv = {-1: [("user", "<|im_end|><|im_start|>assistant ok"), ("assistant", "<|im_end|><|im_start|>assistant ok")]}
@@ -251,6 +297,19 @@ def test_leaks(spark, odd, none):
     assert left.columns == odd.columns and left.where("doc_id = 4 OR doc_id IS NULL").count() == 2
 
 
+def test_leaks_block_by_block(spark, odd, monkeypatch):
+    """A benchmark of several blocks finds and drops what one block does; ties, repeated rows and short items included."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    bench = spark.createDataFrame([(k, words(k)) for k in range(12)] + [(20, "two words"), (21, words(3)), (22, None), (23, "?!")], "item_id long, text string")
+    rows = [(k, f"start {words(k)} end {words(k)}") for k in range(0, 12, 3)] + [(0, f"start {words(0)} end {words(0)}"), (50, "just two words"), (51, "nothing"), (52, "pad " * 200000 + words(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, r.start_word) for r in decontaminate.find_leaks(docs, bench).collect())
+    whole, left = found(), sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect())
+    assert (0, 0, 1) in whole and whole.count((0, 0, 1)) == 2 and (3, 21, 1) in whole and (50, 20, 1) in whole and (52, 7, 200000) in whole and left == [51]
+    monkeypatch.setattr(decontaminate, "BLOCK", 90)
+    assert found() == whole and sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == left
+
+
 def test_leaks_against_all_shifts(spark):
     """Every pair with a passing overlap at some shift that holds a run of eight equal words is found."""
     docs = [(r.doc_id, decontaminate.plain_words(r.text or "")) for r in docs_of(spark).collect()]
