@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillway.operators.search import tokens
+
 
 def day(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
@@ -35,8 +37,64 @@ def date_columns(df: DataFrame, key: str, at: str) -> DataFrame:
     )
 
 
+#: The digits of a phone number that stay, and what stands for the others.
+PHONE, MASKED = r"(\d{3})\d{4}(\d{3})", "$1****$2"
+
+
+def seconds_between(a: Column, b: Column) -> Column:
+    """Whole seconds from a to b."""
+    return F.timestamp_diff("SECOND", a, b)
+
+
+def date_of_days(c: Column) -> Column:
+    """A date that a change feed gives as days since 1970."""
+    return F.date_from_unix_date(c)
+
+
+def local_datetime(ms: Column, hours: int = 8) -> Column:
+    """A local date-time that a change feed gives as if it were UTC."""
+    return F.timestamp_millis(ms) - F.make_dt_interval(hours=F.lit(hours))
+
+
+def local_timestamp(text: Column, hours: int = 8) -> Column:
+    """A time written with Z, moved to local time."""
+    return F.to_timestamp(text) + F.make_dt_interval(hours=F.lit(hours))
+
+
+def camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(x[:1].upper() + x[1:] for x in rest)
+
+
+def camel_columns(df: DataFrame) -> DataFrame:
+    return df.toDF(*map(camel, df.columns))
+
+
+def first_of(a: Column, b: Column, fields: list[str]) -> Column:
+    """A struct whose fields are a's where they are set, b's otherwise."""
+    return F.struct(*[F.coalesce(a[f], b[f]).alias(f) for f in fields])
+
+
+def name_values(c: Column, null: str = "\\N") -> Column:
+    """An array of (name, value) as a map; nulls are written out."""
+    return F.map_from_arrays(F.transform(c, lambda x: x["name"]), F.transform(c, lambda x: F.coalesce(x["value"], F.lit(null))))
+
+
+class SplitWords:
+    """Table function: a text's words with their lengths, or, with a second argument, only words of that length."""
+
+    def eval(self, text: str, length: int = 0):
+        for word in (text or "").split():
+            if not length or len(word) == length:
+                yield word, len(word)
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    spark.udtf.register("split_words", F.udtf(SplitWords, returnType="word string, n int"))
+
+
 def mask_phone(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\d{3})\d{4}(\d{3})", "$1****$2")
+    return F.regexp_replace(c, PHONE, MASKED)
 
 
 def pairs(c: Column, key: str) -> Column:
@@ -63,6 +121,7 @@ def math_columns(lines: DataFrame) -> DataFrame:
     return lines.select(
         "l_orderkey", "l_linenumber", F.expr("l_partkey div 7").alias("whole"), F.ceil(F.col("l_quantity") / 4).alias("up"), F.floor(F.col("l_quantity") / 4).alias("down"),
         F.pow("l_linenumber", F.lit(3)).cast("bigint").alias("cubed"), F.abs(F.col("l_linenumber") - 4).cast("bigint").alias("distance"), (F.col("l_suppkey") % 5).alias("rest"),
+        (F.col("l_partkey") / F.lit(7.0)).alias("ratio"), F.round(F.col("l_quantity") / 4, 1).alias("rounded"),
     )
 
 
@@ -82,16 +141,18 @@ def decrypt(c: Column, key: str) -> Column:
 
 def keywords(text: str) -> Column:
     """Rows of a text's lower-case words; the whole text where there is none."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
+    words = F.filter(tokens(text), lambda w: w != "")
     return F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(text)))
 
 
 @F.pandas_udf(T.StringType())
 def middle(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
+    if begin.nunique() == 1 and end.nunique() == 1:
+        return text.str.slice(int(begin.iloc[0]), int(end.iloc[0]))
     return pd.Series([None if t is None else t[b:e] for t, b, e in zip(text, begin, end)])
 
 
 @F.pandas_udf(T.DoubleType())
-def truncated_mean(v: pd.Series) -> float:
-    """Grouped aggregate: the mean of whole numbers, cut to a whole number."""
-    return float(int(v.sum()) // max(1, len(v)))
+def truncated_mean(total: pd.Series, n: pd.Series) -> float:
+    """Grouped aggregate of partial sums and counts: the mean of whole numbers, cut to a whole number."""
+    return float(int(total.sum()) // max(1, int(n.sum())))

@@ -9,8 +9,14 @@ from rillway.operators.parsing import prune_map
 from rillway.operators.state import latest_by
 
 
-def normalize(records: DataFrame) -> DataFrame:
-    """before/after records (columns before, after maps; source struct<db,table>; op; ts_ms) as database, table, type, data, ts."""
+def normalize(records: DataFrame, databases: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+    """before/after records (columns before, after maps; source struct<db,table>; op; ts_ms) as database, table, type, data, ts.
+
+    With databases or tables, only theirs.
+    """
+    for column, wanted in (("source.db", databases), ("source.table", tables)):
+        if wanted is not None:
+            records = records.where(F.col(column).isin(wanted))
     kind = F.when(F.col("op").isin("r", "c"), "insert").when(F.col("op") == "u", "update").otherwise("delete")
     return records.select(
         F.col("source.db").alias("database"), F.col("source.table").alias("table"), kind.alias("type"),
@@ -18,6 +24,16 @@ def normalize(records: DataFrame) -> DataFrame:
     )
 
 
+def live(records: DataFrame) -> DataFrame:
+    """What a change feed says of rows that still are: key (after.id), op, after, ts; deletes go."""
+    return records.where("op <> 'd'").select(F.col("after")["id"].alias("key"), "op", "after", F.col("ts_ms").alias("ts"))
+
+
+def current_config(changes: DataFrame) -> DataFrame:
+    """The control table that a stream of its changes leaves; op d removes a source table."""
+    return apply_changes(changes, "source_table", "seq", "op", "d").drop("op", "seq")
+
+
 def apply_changes(feed: DataFrame, key: str, seq: str, kind: str = "type", delete: str = "delete") -> DataFrame:
     """The table that a feed of upserts and deletes leaves: the last change of each key, deletes gone."""
     return latest_by(feed, [key], [seq]).where(F.col(kind) != delete)

@@ -5,40 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillway.sources.sinks import work_folder
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, low: int, high: int, how: str = "inner") -> DataFrame:
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, low: int, high: int, how: str = "inner", row: list[str] | None = None) -> DataFrame:
     """Rows of one key whose right time lies within [left + low, left + high] seconds, both ends in.
 
     Time is cut into buckets as wide as the interval and each left row goes to the two or three buckets that it can
-    reach, so that a hot key is spread over its buckets and the join stays an equality.
+    reach, so that a hot key is spread over its buckets and the join stays an equality. how is inner, or left with row,
+    the columns that tell left rows apart.
     """
+    if how not in ("inner", "left") or (how == "left" and not row):
+        raise ValueError("how is inner, or left with the columns that tell left rows apart")
     width = max(1, high - low)
     l = left.withColumn("_n", F.explode(F.sequence(F.floor((F.col(left_s) + low) / width), F.floor((F.col(left_s) + high) / width))))
     r = right.withColumn("_m", F.floor(F.col(right_s) / width)).withColumnRenamed(key, "_key")
     on = (l[key] == r["_key"]) & (l["_n"] == r["_m"]) & r[right_s].between(l[left_s] + low, l[left_s] + high)
-    return l.join(r, on, how).drop("_n", "_m", "_key")
+    both = l.join(r, on).drop("_n", "_m", "_key")
+    if how == "inner":
+        return both
+    return both.unionByName(left.join(both.select(*row).distinct(), row, "left_anti"), allowMissingColumns=True)
+
 
+def reconcile(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, before: int, after: int, left_row: list[str], right_row: list[str]) -> DataFrame:
+    """Every row of both sides with status matched, left_only or right_only; partners lie in [left - before, left + after].
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, before: int, after: int) -> DataFrame:
-    """Every row of both sides with status matched, left_only or right_only; partners lie in [left - before, left + after]."""
-    return (
-        left.withColumnRenamed(key, "_lk")
-        .join(right.withColumnRenamed(key, "_rk"), (F.col("_lk") == F.col("_rk")) & F.col(right_s).between(F.col(left_s) - before, F.col(left_s) + after), "full")
-        .withColumn(key, F.coalesce("_lk", "_rk"))
-        .withColumn("status", F.when(F.col("_rk").isNull(), "left_only").when(F.col("_lk").isNull(), "right_only").otherwise("matched"))
-        .drop("_lk", "_rk")
-    )
+    left_row and right_row are the columns that tell each side's rows apart. A hot key is spread over buckets of time.
+    """
+    both = interval_join(left, right, key, left_s, right_s, -before, after)
+    alone = lambda side, row, status: side.join(both.select(*row).distinct(), row, "left_anti").withColumn("status", F.lit(status))
+    out = both.withColumn("status", F.lit("matched"))
+    return out.unionByName(alone(left, left_row, "left_only"), allowMissingColumns=True).unionByName(alone(right, right_row, "right_only"), allowMissingColumns=True)
 
 
-def as_of_control(main: DataFrame, control: DataFrame, main_s: str, control_s: str, word: str) -> DataFrame:
+def as_of_control(main: DataFrame, control: DataFrame, main_s: str, control_s: str, word: str, chunk: int = 3600) -> DataFrame:
     """main with the control word that held at each row's time (the last one before or at it; null if none).
 
-    control is a small table of changes: it becomes intervals and is joined by range, sent to all tasks.
+    Both are laid out by time and the last word is carried forward: inside chunks of time first, then from chunk to chunk,
+    of which there are few. Of words of the same second the largest holds.
     """
-    c = control.select(F.col(control_s).alias("_from"), word).groupBy("_from").agg(F.max(word).alias(word))
-    c = c.withColumn("_to", F.lead("_from").over(Window.orderBy("_from")))
-    on = (F.col(main_s) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(main_s) < F.col("_to")))
-    return main.join(F.broadcast(c), on, "left").drop("_from", "_to")
+    c = control.groupBy(F.col(control_s).alias("_t")).agg(F.struct(F.max(word).alias("w")).alias("_w"))
+    m = main.select(F.col(main_s).alias("_t"), F.lit(None).cast(c.schema["_w"].dataType).alias("_w"), F.struct(*main.columns).alias("_row"))
+    both = m.unionByName(c, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_t") / chunk))
+    heads = both.where("_w IS NOT NULL").groupBy("_chunk").agg(F.max_by("_w", "_t").alias("_w"))
+    chunks = both.select("_chunk").distinct().join(heads, "_chunk", "left")
+    before = F.last("_w", ignorenulls=True).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last("_w", ignorenulls=True).over(Window.partitionBy("_chunk").orderBy("_t", F.col("_row").isNotNull()))
+    carried = both.withColumn("_in", inside).join(chunks.select("_chunk", before.alias("_before")), "_chunk").where("_row IS NOT NULL")
+    return carried.select("_row.*", F.coalesce("_in", "_before")["w"].alias(word))
 
 
 def ip_to_long(ip: str):
@@ -64,7 +78,10 @@ def cogroup(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str) ->
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Rows numbered in order from 0, without one task seeing them all: counts of ranges, then places inside each."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "numbered")
+    # written first: counts and rows then come from the same ranges, whatever runs again
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
     inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = inside.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))

@@ -32,8 +32,24 @@ def json_rows(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataF
     return good, parsed.where(~F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
-def without_static(df: DataFrame, url: str = "url", endings: str = "css|js|png|ico") -> DataFrame:
-    return df.where(~F.col(url).rlike(rf"\.({endings})$"))
+def without_static(df: DataFrame, url: str = "url", endings: str = "css|js|png|ico", method: str | None = None) -> DataFrame:
+    """Rows whose url is no static resource; with method, a column, only GET requests."""
+    kept = df.where(~F.col(url).rlike(rf"\.({endings})$"))
+    return kept.where(F.col(method) == "GET") if method else kept
+
+
+def own_day(df: DataFrame, body: str) -> DataFrame:
+    """df with dt, the day of the time (ts, ms) inside a JSON body; rows whose body is no JSON go."""
+    ts = F.get_json_object(body, "$.ts").try_cast("bigint")
+    return df.where(F.try_parse_json(body).isNotNull()).withColumn("dt", F.date_format(F.timestamp_millis(ts), "yyyyMMdd"))
+
+
+def batch_rows(df: DataFrame, message: str, columns: list[str]) -> DataFrame:
+    """Text lines of the rows in messages of a change log: chosen columns, then database, table, type and time; schema changes skipped."""
+    m = F.from_json(message, "isDdl boolean, database string, `table` string, type string, ts bigint, data array<map<string,string>>")
+    d = df.select(m.alias("m")).where("NOT coalesce(m.isDdl, false)").select("m", F.explode("m.data").alias("row"))
+    d = d.select(*[F.try_element_at("row", F.lit(c)).alias(c) for c in columns], "m.database", "m.table", "m.type", "m.ts")
+    return d.select(text_rows(d, d.columns).alias("line"))
 
 
 def prune_map(data: Column, keep: Column) -> Column:

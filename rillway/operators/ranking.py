@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillway.sources.sinks import work_folder
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each group; rows beyond n are dropped before the shuffle."""
@@ -20,5 +23,14 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, cond, "left_anti")
 
 
+def keep(df: DataFrame, how: str = "persist") -> DataFrame:
+    """df for repeated use: kept by the executors (persist), or written to the shared folder (checkpoint), which outlives them."""
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = work_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

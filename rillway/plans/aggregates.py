@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rillway.adapters import events, table
 from rillway.functions.scalars import truncated_mean
 from rillway.operators import aggregates, ranking
 from rillway.registry import EV, query
+from rillway.sources.sinks import work_folder
 
 money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
 
@@ -35,7 +38,9 @@ def agg_pivot(spark, d):
 
 @query(f"WITH {EV} SELECT event_type, CAST(sum(k) AS BIGINT) AS total, CAST(5 + sum(k) AS BIGINT) AS folded, count(*) AS n, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) AS items FROM ev GROUP BY 1")
 def kv_aggs(spark, d):
-    g = events(spark, d).groupBy("event_type").agg(F.sum("k").alias("total"), F.count("*").alias("n"), F.sort_array(F.collect_set(F.col("k").cast("string"))).alias("s"))
+    # distinct values first: what a hot key gathers is its values, not its rows
+    by_item = events(spark, d).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    g = by_item.groupBy("event_type").agg(F.sum(F.col("k") * F.col("n")).alias("total"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.col("k").cast("string"))).alias("s"))
     return g.select("event_type", "total", (F.col("total") + 5).alias("folded"), "n", F.array_join("s", ",").alias("items"))
 
 
@@ -56,19 +61,36 @@ def global_agg(spark, d):
 
 @query(f"WITH {EV} SELECT event_type, CAST(sum(k) // count(k) AS DOUBLE) AS avg_k FROM ev GROUP BY 1")
 def udaf_avg(spark, d):
-    """A grouped vectorised function; it needs a key's values together, so its keys must be small. See int_avg for the built-in."""
-    return events(spark, d).groupBy("event_type").agg(truncated_mean(F.col("k")).alias("avg_k"))
+    """A grouped vectorised function over partial sums, so that a hot key comes to one task as a few rows. See int_avg for the built-in."""
+    part = events(spark, d).groupBy("event_type", F.pmod("event_id", F.lit(64)).alias("part")).agg(F.sum("k").alias("total"), F.count("k").alias("n"))
+    return part.groupBy("event_type").agg(truncated_mean(F.col("total"), F.col("n")).alias("avg_k"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (contains(p_name, 'h')) AS with_h, CAST(sum(p_size) AS BIGINT) AS sizes FROM part")
 def observe_counts(spark, d):
-    """What an accumulator would gather, as one aggregate (df.observe() gives the same during another action)."""
-    return table(spark, d, "part").agg(F.count("*").alias("n"), F.count(F.when(F.contains("p_name", F.lit("h")), 1)).alias("with_h"), F.sum("p_size").cast("bigint").alias("sizes"))
+    """What an accumulator would gather, observed while the rows are written."""
+    seen = Observation("parts")
+    p = table(spark, d, "part").observe(seen, F.count("*").alias("n"), F.count(F.when(F.contains("p_name", F.lit("h")), 1)).alias("with_h"), F.sum("p_size").cast("bigint").alias("sizes"))
+    p.write.parquet(work_folder(spark, "observed"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("n", "with_h", "sizes"))], "n bigint, with_h bigint, sizes bigint")
 
 
-@query()
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS summary, " + ", ".join(f"round(CAST({f}({c}) AS DOUBLE), 4) + 0.0 AS {c}" for c in MEASURES) + " FROM lineitem" for name, f in (("count", "count"), ("mean", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max"))))
 def describe(spark, d):
-    return table(spark, d, "lineitem").describe("l_quantity", "l_extendedprice", "l_discount")
+    t = table(spark, d, "lineitem").describe(*MEASURES)
+    return t.select("summary", *[(F.round(F.col(c).cast("double"), 4) + F.lit(0.0)).alias(c) for c in MEASURES])
+
+
+@query("SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 0.015 * (SELECT count(*) FROM lineitem)")
+def freq_items(spark, d):
+    """Values of a share of the rows: candidates from a sketch that misses none, then counted."""
+    t = table(spark, d, "lineitem").select("l_quantity")
+    few = t.stat.freqItems(["l_quantity"], 0.01).select(F.explode("l_quantity_freqItems").alias("l_quantity"))
+    total = t.count()
+    return t.join(few, "l_quantity").groupBy("l_quantity").agg(F.count("*").alias("n")).where(F.col("n") >= 0.015 * total)
 
 
 @query("SELECT lang, count(*) AS n, max(n_chars) AS longest, min(n_chars) AS shortest, CAST(sum(n_chars) AS BIGINT) AS total, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
@@ -131,11 +153,44 @@ def distinct(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderstatus").distinct()
 
 
-@query()
+@query("SELECT l_orderkey, count(*) AS n, 1::BIGINT AS parts FROM lineitem GROUP BY 1")
 def partition_sizes(spark, d):
-    """Rows in each partition after dealing by key."""
-    p = table(spark, d, "lineitem").repartition(8, "l_orderkey").groupBy(F.spark_partition_id().alias("part"))
-    return p.agg(F.count("*").alias("n"))
+    """Rows of each key after dealing by key, and in how many partitions they lie."""
+    p = table(spark, d, "lineitem").select("l_orderkey").repartition(8, "l_orderkey").withColumn("part", F.spark_partition_id())
+    return p.groupBy("l_orderkey", "part").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, CAST(max(l_partkey) AS BIGINT) AS top FROM lineitem GROUP BY 1")
+def map_partitions(spark, d):
+    """Each partition folded to a few rows by a function over its batches, then put together."""
+
+    def fold(batches):
+        seen: dict = {}
+        for b in batches:
+            for flag, g in b.groupby("l_returnflag")["l_partkey"]:
+                n, top = seen.get(flag, (0, -1))
+                seen[flag] = n + len(g), max(top, int(g.max()))
+        yield pd.DataFrame([(k, n, top) for k, (n, top) in seen.items()], columns=["flag", "n", "top"])
+
+    part = table(spark, d, "lineitem").select("l_returnflag", "l_partkey").coalesce(4).mapInPandas(fold, "flag string, n bigint, top bigint")
+    return part.groupBy("flag").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def sort_global(spark, d):
+    """All rows in order, with their places."""
+    from rillway.operators.joins import numbered
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("down"))
+    return numbered(o, ["down", "o_orderkey"], "place").drop("down").orderBy(F.desc("o_totalprice"), "o_orderkey")
+
+
+@query("SELECT 'kept' AS how, event_type, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'checkpointed', event_type, count(*) FROM events GROUP BY 2")
+def kept_twice(spark, d):
+    """Rows kept in executors' memory and disk, and rows written to the shared folder, each used again."""
+    e = table(spark, d, "events").select("event_type")
+    how = lambda df, name: df.groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(name).alias("how"), "event_type", "n")
+    return how(ranking.keep(e, "persist"), "kept").unionByName(how(ranking.keep(e, "checkpoint"), "checkpointed"))
 
 
 @query("SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.adapters import change_feed, events, table
-from rillway.operators import cdc
+from rillway.operators import cdc, ranking
 from rillway.registry import FEED, query
 from rillway.sources import sinks
 
@@ -19,7 +19,7 @@ def cdc_normalize(spark, d):
     op = F.when(F.col("type") == "insert", "c").when(F.col("type") == "update", "u").otherwise("d")
     none = F.lit(None).cast("map<string,string>")
     records = f.select(F.struct(F.lit("shop").alias("db"), "table").alias("source"), op.alias("op"), F.when(op == "d", F.col("data")).otherwise(none).alias("before"), F.when(op != "d", F.col("data")).otherwise(none).alias("after"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return cdc.normalize(records).select("database", "table", "type", F.col("data")["id"].cast("bigint").alias("id"), F.col("data")["status"].alias("status"))
+    return cdc.normalize(records, ["shop"], ["order_info"]).select("database", "table", "type", F.col("data")["id"].cast("bigint").alias("id"), F.col("data")["status"].alias("status"))
 
 
 @query(f"WITH {FEED}, l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM feed) SELECT id, status FROM l WHERE n = 1 AND type <> 'delete'")
@@ -52,11 +52,12 @@ def keyed_upsert(spark, d):
     return cdc.upsert(c, new, "c_custkey", "v").drop("v")
 
 
-CONFIG = [("order_info", "dim_order", "id,status", "id")]
+CONFIG = [("order_info", "dim_old", "id", "id", "c", 1), ("order_info", "dim_order", "id,status", "id", "u", 2), ("user_info", "dim_user", "id", "id", "c", 3), ("user_info", "dim_user", "id", "id", "d", 4)]
 
 
 def _config(spark):
-    return spark.createDataFrame(CONFIG, "source_table string, sink_table string, sink_columns string, sink_pk string")
+    """The control table after its own changes."""
+    return cdc.current_config(spark.createDataFrame(CONFIG, "source_table string, sink_table string, sink_columns string, sink_pk string, op string, seq int"))
 
 
 @query(f"WITH {FEED} SELECT 'dim_order' AS sink_table, 'id' AS sink_pk, type, id, status, NULL::VARCHAR AS total FROM feed")
@@ -74,10 +75,12 @@ def dim_upsert(spark, d):
     return last.where("r.type <> 'delete'").select("sink_table", "id", "r.status")
 
 
-@query(f"WITH {FEED} SELECT 'dwd_order_info_' || type AS sink, count(*) AS n FROM feed GROUP BY 1")
+@query(f"WITH {FEED} SELECT 'dwd_order_info_' || type AS sink, id, seq FROM feed")
 def route_by_table(spark, d):
-    f = change_feed(spark, d)
-    return f.withColumn("sink", F.concat(F.lit("dwd_"), "table", F.lit("_"), "type")).groupBy("sink").agg(F.count("*").alias("n"))
+    """Each change in the folder that its table and type name, read back from there."""
+    f = change_feed(spark, d).select(F.concat(F.lit("dwd_"), "table", F.lit("_"), "type").alias("sink"), F.col("data")["id"].cast("bigint").alias("id"), "seq")
+    root = sinks.write_routed(f, "sink", sinks.work_folder(spark, "routed"))
+    return spark.read.schema("id bigint, seq bigint, sink string").parquet(root)
 
 
 @query("SELECT strftime(ts, '%Y%m%d') AS dt, count(*) AS n FROM events GROUP BY 1")
@@ -96,19 +99,72 @@ def compact_partition(spark, d):
     return spark.read.schema("event_id bigint, event_type string, dt string").parquet(sinks.compact(spark, path, ["dt"], sinks.work_folder(spark, "large")))
 
 
+def _new_table(spark):
+    path = sinks.work_folder(spark, "table")
+    return "rillway_" + path.rsplit("-", 1)[1], path
+
+
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def src_table(spark, d):
-    """A view registered under a name and read by SQL, filtered like a partition."""
+    """One partition of a catalog table, read by name."""
+    name, path = _new_table(spark)
+    sinks.save(table(spark, d, "events").select("event_id", "user_id", "event_type"), name, "overwrite", path, ["event_type"])
+    n = spark.table(name).where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("n"))
+    n = ranking.keep(n, "checkpoint")
+    spark.sql(f"DROP TABLE {name}")
+    return n
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
+def src_view(spark, d):
+    """A view registered under a name and read by SQL."""
     events(spark, d).createOrReplaceTempView("rillway_events")
     return spark.sql("SELECT user_id, count(*) AS n FROM rillway_events WHERE event_type = 'view' GROUP BY user_id")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y%m') AS dt FROM orders)
+ SELECT * FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT * FROM o WHERE o_orderstatus <> 'P' AND dt NOT IN (SELECT dt FROM o WHERE o_orderstatus = 'P')""")
+def write_modes(spark, d):
+    """A table written, appended to, and then partly replaced: months with an order of status P hold only those."""
+    name, path = _new_table(spark)
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyyMM").alias("dt"))
+    sinks.save(o.where("o_orderstatus = 'F'"), name, "overwrite", path, ["dt"])
+    sinks.save(o.where("o_orderstatus = 'O'"), name, "append", path, ["dt"])
+    sinks.insert(o.where("o_orderstatus = 'P'"), name, replace=True)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority AS priority FROM orders WHERE o_orderstatus <> 'P'")
+def insert_rows(spark, d):
+    """Rows inserted into a table partition by partition."""
+    name, path = _new_table(spark)
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("priority"))
+    sinks.save(o.limit(0), name, "overwrite", path, ["priority"])
+    for status in ("F", "O"):
+        sinks.insert(o.where(F.col("o_orderstatus") == status), name)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@query(f"WITH {FEED} SELECT CAST(id AS VARCHAR) AS key, CASE WHEN type = 'insert' THEN 'c' ELSE 'u' END AS op, status FROM feed WHERE type <> 'delete'")
+def cdc_live(spark, d):
+    f = change_feed(spark, d)
+    op = F.when(F.col("type") == "insert", "c").when(F.col("type") == "update", "u").otherwise("d")
+    records = f.select(op.alias("op"), F.col("data").alias("after"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return cdc.live(records).select("key", "op", F.col("after")["status"].alias("status"))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def src_formats(spark, d):
-    """The events through CSV, JSON and ORC files in turn."""
+    """The events through CSV, JSON, ORC, Parquet and text files in turn."""
     e = table(spark, d, "events").select("event_id", "event_type")
-    for kind in ("csv", "json", "orc"):
+    for kind in ("csv", "json", "orc", "parquet"):
         path = sinks.work_folder(spark, kind)
         e.write.format(kind).save(path)
         e = spark.read.format(kind).schema("event_id bigint, event_type string").load(path)
+    path = sinks.work_folder(spark, "text")
+    e.select(F.concat_ws(" ", "event_id", "event_type")).write.text(path)
+    parts = F.split("value", " ")
+    e = spark.read.text(path).select(parts[0].cast("bigint").alias("event_id"), parts[1].alias("event_type"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from rillway.adapters import change_feed, events, page_log, seconds, table
 from rillway.functions import scalars
-from rillway.operators import parsing
+from rillway.operators import joins, parsing
+from rillway.operators.search import tokens
 from rillway.registry import EV, FEED, PG, query
+from rillway.sources.sinks import work_folder
 
 
 @query(f"WITH {EV} SELECT user_id, k AS item_id, event_type AS behavior, s FROM ev")
 def src_csv(spark, d):
     e = events(spark, d)
-    lines = e.select(F.concat_ws(",", "user_id", "k", "event_type", seconds()).alias("line"))
-    out = parsing.delimited(lines, "user_id bigint, item_id bigint, behavior string, s bigint")
+    path = work_folder(spark, "lines")
+    e.select(F.concat_ws(",", "user_id", "k", "event_type", seconds())).write.text(path)
+    out = parsing.delimited(spark.read.text(path).withColumnRenamed("value", "line"), "user_id bigint, item_id bigint, behavior string, s bigint")
     return out.withColumn("s", F.unix_seconds(F.timestamp_seconds("s")))
 
 
@@ -30,8 +33,8 @@ def src_access_log(spark, d):
 def src_range(spark, d):
     """Numbers below the largest order key that no order has."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    ids = o.agg(F.max("id").alias("m")).where("m > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("id"))
-    return ids.join(o, "id", "left_anti").select(F.col("id").alias("missing"))
+    top = o.agg(F.max("id")).first()[0] or 0
+    return spark.range(top).join(o, "id", "left_anti").select(F.col("id").alias("missing"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0")
@@ -48,11 +51,11 @@ def dirty_rows(spark, d):
     return bad.select("event_id", "j")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_id % 7 <> 0")
+@query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0")
 def json_ok(spark, d):
     e = table(spark, d, "events").withColumn("j", F.when(F.col("event_id") % 7 == 0, F.lit("oops")).otherwise(F.col("props")))
     good, _ = parsing.json_rows(e, "j", "k bigint")
-    return good.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return good.select("event_id", "user_id", "row.k")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-03-15'")
@@ -72,12 +75,12 @@ def mock_visits(spark, d):
     return a.select("user_id", "session", "step", "action", F.when(F.col("action") == "search", roll(2, 50)).alias("keyword_id"), F.when(F.col("action") != "search", roll(3, 1000)).alias("item_id"))
 
 
-WORDS = "SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents WHERE lang = 'en'"
+WORDS = "SELECT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) AS w FROM documents"
 
 
 @query(f"SELECT w AS word, count(*) AS n FROM ({WORDS}) WHERE w <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 def word_flatmap(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("word"))
+    t = table(spark, d, "documents").select(F.explode(tokens("text")).alias("word"))
     return t.where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
@@ -100,9 +103,9 @@ def map_prune(spark, d):
     return f.select("seq", at("id").alias("id"), at("status").alias("status"), at("total").alias("total"), F.size("m").cast("bigint").alias("n"))
 
 
-@query("SELECT DISTINCT c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_nationkey + 100 AS nation FROM customer WHERE c_custkey % 2 = 1")
+@query("SELECT DISTINCT c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_nationkey + 100 AS nation FROM customer")
 def proj_basic(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 2 = 1").withColumnRenamed("c_mktsegment", "segment")
+    c = table(spark, d, "customer").withColumnRenamed("c_mktsegment", "segment")
     band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
     return c.withColumn("band", band).withColumn("nation", F.col("c_nationkey") + 100).select("segment", "band", "nation").distinct()
 
@@ -147,9 +150,9 @@ def log_split_page(spark, d):
     return parsing.split_log(_log(spark, d))["page"].select("common.mid", "page.page_id", "page.last_page_id", "page.during_time", "ts")
 
 
-@query(f"WITH {FEED} SELECT type, count(*) AS n FROM feed WHERE type IN ('insert', 'update', 'bootstrap-insert') GROUP BY 1")
+@query(f"WITH {FEED} SELECT type, id, seq FROM feed WHERE type IN ('insert', 'update', 'bootstrap-insert')")
 def cdc_clean(spark, d):
-    return change_feed(spark, d).where(F.col("type").isin("insert", "update", "bootstrap-insert")).groupBy("type").agg(F.count("*").alias("n"))
+    return change_feed(spark, d).where(F.col("type").isin("insert", "update", "bootstrap-insert")).select("type", F.col("data")["id"].cast("bigint").alias("id"), "seq")
 
 
 @query(f"WITH {EV}, v AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 15) || '.' || (k % 9) END AS version, k FROM ev) SELECT event_id, version FROM v WHERE version IS NULL OR k % 15 < 11 OR (k % 15 >= 11 AND k % 9 < 6)")
@@ -163,12 +166,17 @@ def type_tag(spark, d):
     return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", parsing.type_tag(F.col("text"), "st").alias("tag"))
 
 
-@query(f"WITH {EV} SELECT event_id, '1.' || (user_id % 3) AS v, event_type AS event, CAST(k AS VARCHAR) AS item, '-' AS client FROM ev UNION ALL SELECT event_id, '1.' || (user_id % 3), 'extra', '-', '-' FROM ev")
+@query(f"""WITH {EV}, l AS (SELECT event_id, '1.' || (user_id % 3) AS v, event_type, CAST(k AS VARCHAR) AS k, strftime(ts, '%Y%m%d') AS dt, n_name AS province FROM ev LEFT JOIN nation ON n_nationkey = user_id % 40)
+ SELECT event_id, v, event_type AS event, k AS item, '-' AS client, dt, province FROM l UNION ALL SELECT event_id, v, 'extra', '-', '-', dt, province FROM l""")
 def nginx_events(spark, d):
+    """Log lines with their day and the place of their address."""
     e = events(spark, d)
     array = F.to_json(F.array(F.create_map(F.lit("event"), F.col("event_type"), F.lit("item"), F.col("k").cast("string")), F.create_map(F.lit("event"), F.lit("extra"))))
     body = F.concat(F.lit("v=1."), F.col("user_id") % 3, F.lit("&e="), F.url_encode(array))
-    return parsing.request_body(e.select("event_id", body.alias("request_body")), "request_body", ["v", "event", "item", "client"])
+    line = e.select("event_id", F.date_format("ts", "yyyyMMdd").alias("dt"), joins.ip_to_long(F.concat(F.lit("10.0.0."), F.col("user_id") % 40)).alias("ip"), body.alias("request_body"))
+    places = table(spark, d, "nation").select(F.col("n_name").alias("province"), (F.col("n_nationkey") + 167772160).cast("bigint").alias("low"), (F.col("n_nationkey") + 167772160).cast("bigint").alias("high"))
+    line = joins.range_join(line, "ip", places, "low", "high", bucket=256).select("event_id", "dt", "province", "request_body")
+    return parsing.request_body(line, "request_body", ["v", "event", "item", "client"])
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) || chr(1) || CASE WHEN o_orderstatus = 'O' THEN '\\N' ELSE o_orderstatus END || chr(1) || replace(o_orderpriority, '-', '') AS line FROM orders")
@@ -177,6 +185,24 @@ def canal_rows(spark, d):
     return o.select(parsing.text_rows(o, ["o_orderkey", "status", "priority"]).alias("line"))
 
 
+@query("SELECT strftime(ts, '%Y%m%d') AS dt, event_id FROM events WHERE event_id % 7 <> 0")
+def log_day(spark, d):
+    """The day of a log line by its own time; lines that are no JSON go."""
+    good = F.to_json(F.struct("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts")))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("oops")).otherwise(good).alias("body"))
+    return parsing.own_day(e, "body").select("dt", "event_id")
+
+
+@query("""SELECT o_orderkey || chr(1) || '\\N' || chr(1) || 'shop' || chr(1) || 'orders' || chr(1) || 'INSERT' || chr(1) || '7' AS line FROM orders WHERE o_orderkey % 10 <> 0
+ UNION ALL SELECT (o_orderkey + 1) || chr(1) || o_orderstatus || chr(1) || 'shop' || chr(1) || 'orders' || chr(1) || 'INSERT' || chr(1) || '7' FROM orders WHERE o_orderkey % 10 <> 0""")
+def canal_batches(spark, d):
+    """Messages of two rows each; every tenth is a schema change."""
+    at = lambda i: (F.col("o_orderkey") + i).cast("string")
+    rows = F.array(F.create_map(F.lit("id"), at(0)), F.create_map(F.lit("id"), at(1), F.lit("status"), F.col("o_orderstatus")))
+    m = F.struct((F.col("o_orderkey") % 10 == 0).alias("isDdl"), F.lit("shop").alias("database"), F.lit("orders").alias("table"), F.lit("INSERT").alias("type"), F.lit(7).cast("bigint").alias("ts"), rows.alias("data"))
+    return parsing.batch_rows(table(spark, d, "orders").select(F.to_json(m).alias("message")), "message", ["id", "status"])
+
+
 DATES = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
@@ -189,6 +215,36 @@ def fn_date(spark, d):
     return scalars.date_columns(table(spark, d, "orders"), "o_orderkey", "o_orderdate")
 
 
+@query("""SELECT o_orderkey, CAST(date_diff('second', o_orderdate, TIMESTAMP '1998-12-01') AS BIGINT) AS seconds, o_orderdate < TIMESTAMP '1995-01-01' AS before, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS at_s,
+ strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date, CAST(floor(epoch(o_orderdate)) AS BIGINT) - 28800 AS datetime_s, CAST(floor(epoch(o_orderdate)) AS BIGINT) + 28800 AS timestamp_s FROM orders""")
+def fn_date_more(spark, d):
+    """Differences, comparisons, and the three kinds of times that a change feed writes."""
+    at, fixed = F.col("o_orderdate").cast("timestamp"), lambda s: F.lit(s).cast("timestamp")
+    ms = F.unix_millis(at)
+    return table(spark, d, "orders").select(
+        "o_orderkey", scalars.seconds_between(at, fixed("1998-12-01")).alias("seconds"), (at < fixed("1995-01-01")).alias("before"), F.unix_seconds(F.to_timestamp_ltz(at.cast("string"))).alias("at_s"),
+        F.date_format(scalars.date_of_days(F.unix_date(F.to_date(at))), "yyyy-MM-dd").alias("date"), F.unix_seconds(scalars.local_datetime(ms)).alias("datetime_s"),
+        F.unix_seconds(scalars.local_timestamp(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("timestamp_s"),
+    )
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'none') AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN '\\N' ELSE c_mktsegment END AS listed FROM customer")
+def fn_merge(spark, d):
+    """Two records made one, field by field; and a list of names and values made a map."""
+    a = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("segment"))
+    one = scalars.first_of(a, F.struct(F.lit("none").alias("name"), F.col("c_mktsegment").alias("segment")), ["name", "segment"])
+    listed = scalars.name_values(F.array(F.struct(F.lit("segment").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("value"))))
+    return table(spark, d, "customer").select("c_custkey", one["name"].alias("name"), one["segment"].alias("segment"), listed["segment"].alias("listed"))
+
+
+@query("SELECT p_partkey, w AS word, CAST(length(w) AS INTEGER) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) UNION ALL SELECT p_partkey, w, 4 FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) = 4")
+def udtf_split(spark, d):
+    """A table function registered for SQL, in both of its forms."""
+    scalars.register_table_functions(spark)
+    table(spark, d, "part").createOrReplaceTempView("rillway_part")
+    return spark.sql("SELECT p_partkey, w.word, w.n FROM rillway_part, LATERAL split_words(p_name) w UNION ALL SELECT p_partkey, w.word, w.n FROM rillway_part, LATERAL split_words(p_name, 4) w")
+
+
 @query("""SELECT c_custkey, 'v' || c_custkey AS looked_up, '138****' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS masked, c_name AS trimmed, 'a b' AS cleaned, 'x=1&y z' AS decoded,
  upper(substr(c_name, 1, 4)) AS head, starts_with(c_name, 'Cust') AS starts, contains(c_name, '1') AS has_one, replace(c_mktsegment, 'A', 'a') AS replaced FROM customer""")
 def fn_string(spark, d):
@@ -196,7 +252,7 @@ def fn_string(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey // 7 AS whole, CAST(ceil(l_quantity / 4) AS BIGINT) AS up, CAST(floor(l_quantity / 4) AS BIGINT) AS down, CAST(pow(l_linenumber, 3) AS BIGINT) AS cubed,
- CAST(abs(l_linenumber - 4) AS BIGINT) AS distance, l_suppkey % 5 AS rest FROM lineitem""")
+ CAST(abs(l_linenumber - 4) AS BIGINT) AS distance, l_suppkey % 5 AS rest, l_partkey / 7.0 AS ratio, round(l_quantity / 4, 1) AS rounded FROM lineitem""")
 def fn_math(spark, d):
     return scalars.math_columns(table(spark, d, "lineitem"))
 
@@ -214,11 +270,11 @@ def fn_crypto(spark, d):
 
 @query(f"SELECT w AS keyword, count(*) AS n FROM ({WORDS}) WHERE w <> '' GROUP BY 1")
 def keyword_split(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'")
+    t = table(spark, d, "documents")
     return t.select(scalars.keywords("text").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT p_partkey, substr(p_name, 3, 4) AS part FROM part")
 def udf_scalar(spark, d):
     """A vectorised function of two arguments, for what no built-in says."""
     return table(spark, d, "part").select("p_partkey", scalars.middle("p_name", F.lit(2), F.lit(6)).alias("part"))

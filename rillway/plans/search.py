@@ -8,16 +8,19 @@ from rillway.adapters import table
 from rillway.operators import search
 from rillway.registry import query
 
-TOK = "regexp_split_to_array(lower(text), '[^a-z0-9_]+')"
+TOK = "regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')"
 
 
-def _docs(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'")
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'licensed') OR list_contains({TOK}, 'ningin')")
+def doc_match(spark, d):
+    return table(spark, d, "documents").where(search.match("text", ["licensed", "ningin"])).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE lang = 'en' AND (list_contains({TOK}, 'licensed') OR list_contains({TOK}, 'ningin'))")
-def doc_match(spark, d):
-    return _docs(spark, d).where(search.match("text", ["licensed", "ningin"])).select("doc_id")
+@query(f"SELECT page_id FROM pages WHERE list_contains({TOK.replace('text', 'html')}, 'table') OR list_contains({TOK.replace('text', 'url')}, 'example') OR list_contains({TOK.replace('text', 'url')}, 'table')")
+def page_multi_match(spark, d):
+    """Pages with a word in either column."""
+    found = search.multi_match(["html", "url"], ["table"]) | search.multi_match(["url"], ["example"])
+    return table(spark, d, "pages").where(found).select("page_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'the and')")
@@ -30,9 +33,9 @@ def doc_terms(spark, d):
     return table(spark, d, "documents").where(F.col("lang").isin("de", "fr") & (F.col("source") == "src3") & F.col("n_chars").between(500, 3000)).select("doc_id", "lang")
 
 
-@query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents WHERE lang = 'en') WHERE length(w) BETWEEN 5 AND 9 AND levenshtein(w, 'thereof') <= 2")
+@query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) WHERE length(w) BETWEEN 5 AND 9 AND levenshtein(w, 'thereof') <= 2")
 def doc_fuzzy(spark, d):
-    t = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(search.tokens("text"))).alias("w"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens("text"))).alias("w"))
     return t.where(search.fuzzy("w", "thereof", 2)).select("doc_id").distinct()
 
 

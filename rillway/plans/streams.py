@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rillway.registry import ORACLES, query
-from rillway.streaming import twins
+from rillway.operators.ranking import top_n
+from rillway.operators.state import latest_by
+from rillway.registry import EV, ORACLES, query
+from rillway.streaming import stateful, twins
 
 
 def twin(name: str):
@@ -24,9 +27,8 @@ def stream_slide_count(spark, d):
 
 @twin("session_count")
 def stream_session_count(spark, d):
-    rows = twins.drain(twins.session_counts(twins.event_stream(spark, d), "6 hours", "user_id"), "complete")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(last, "batch").drop("batch")
+    """Each session once, when it is over."""
+    return twins.drain(twins.session_counts(twins.event_stream(spark, d, closing=True), "6 hours", "user_id", "10 minutes"), "append").drop("batch")
 
 
 @twin("uv_hourly")
@@ -43,13 +45,78 @@ def stream_interval_join(spark, d):
     return twins.drain(j.select("user_id", "a_id", "b_id"), "append").drop("batch")
 
 
-@query("SELECT count(DISTINCT (event_type, user_id)) AS n FROM events")
+@query(f"WITH {EV} SELECT event_id, k, s FROM ev QUALIFY row_number() OVER (PARTITION BY k, s // 86400 ORDER BY ts, event_id) = 1")
 def stream_first_by_key(spark, d):
-    """Keys that arrived, each once."""
-    rows = twins.drain(twins.first_by_key(twins.event_stream(spark, d), ["event_type", "user_id"], "400 days"), "append")
-    return rows.agg(F.count("*").alias("n"))
+    """The first row of each item and day, held back until it is known to be the first."""
+    return twins.drain(stateful.first_of_day(twins.event_stream(spark, d, closing=True), "k", "10 minutes"), "append").where("event_id >= 0").drop("batch")
+
+
+@twin("latest_by_key")
+def stream_latest_by_key(spark, d):
+    """The last row of each item, sent when none came for a day; the last one sent stays."""
+    rows = twins.drain(stateful.last_after_wait(twins.event_stream(spark, d, closing=True), "k", 86400, "10 minutes"), "append")
+    return latest_by(rows, ["k"], ["s", "event_id"]).select("event_id", "event_type", "k")
 
 
 @twin("login_fail3")
 def stream_login_fail3(spark, d):
-    return twins.drain(twins.consecutive_fails(twins.event_stream(spark, d), 3, 86400), "append").drop("batch")
+    return twins.drain(stateful.consecutive_fails(twins.event_stream(spark, d, closing=True), 3, 86400, "10 minutes"), "append").drop("batch")
+
+
+@twin("order_timeout")
+def stream_order_timeout(spark, d):
+    return twins.drain(stateful.paid_or_timeout(twins.event_stream(spark, d, closing=True), "signup", "purchase", 86400, "10 minutes"), "append").drop("batch")
+
+
+@twin("uv_daily")
+def stream_uv_daily(spark, d):
+    return twins.drain(stateful.daily_entries(twins.event_stream(spark, d, closing=True), "10 minutes"), "append").select(F.col("user_id").alias("mid"), "page_id", "s")
+
+
+@twin("hot_pages")
+def stream_hot_pages(spark, d):
+    """Counts corrected by late rows, then ranked."""
+    c = twins.folded(twins.window_counts(twins.event_stream(spark, d), "1 hour", "10 minutes", ["event_type"], "10 minutes"), ["start_s", "end_s", "event_type"])
+    return top_n(c, ["start_s", "end_s"], [F.desc("cnt"), F.col("event_type")], 2).select("end_s", F.col("event_type").alias("url"), "cnt", "rank")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_state_count(spark, d):
+    """Running totals since the start."""
+    return twins.folded(twins.running_counts(twins.event_stream(spark, d), ["event_type"]), ["event_type"])
+
+
+@query("SELECT event_type AS word, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+def stream_batch_sql(spark, d):
+    """Counts of each micro-batch by SQL over a view, added up."""
+    rows = twins.each_batch_by_sql(twins.event_stream(spark, d), "SELECT event_type AS word, count(*) AS n FROM rillway_batch WHERE event_type <> 'error' GROUP BY 1", "rillway_batch", "word string, n bigint")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@twin("tumble_count")
+def stream_union_count(spark, d):
+    e = twins.event_stream(spark, d)
+    views = F.col("event_type").isin("view", "click")
+    return twins.folded(twins.both_counts(e.where(views), e.where(~views), "10 minutes", "20 minutes", "1 hour", ["event_type"]), ["start_s", "end_s", "event_type"])
+
+
+@twin("tumble_count")
+def stream_sql_table(spark, d):
+    """A named stream with a time column that is computed and watermarked, read by SQL."""
+    e = twins.event_stream(spark, d).withColumn("at", F.unix_micros("ts")).drop("ts")
+    e.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes").createOrReplaceTempView("rillway_stream")
+    g = spark.sql("SELECT window AS w, event_type, count(*) AS cnt FROM rillway_stream GROUP BY window(ts, '1 hour'), event_type")
+    return twins.folded(g.select(F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "event_type", "cnt"), ["start_s", "end_s", "event_type"])
+
+
+@query("SELECT count(*) AS n FROM events")
+def stream_arrival_count(spark, d):
+    """Windows of processing time differ from run to run; together they hold every row once."""
+    return twins.folded(twins.arrival_counts(twins.event_stream(spark, d), "1 minute"), ["start_s"]).agg(F.sum("cnt").alias("n"))
+
+
+@twin("running_avg")
+def stream_running_avg(spark, d):
+    b = twins.folded(twins.bucket_sums(twins.event_stream(spark, d), "1 day", "event_type", "k", "10 minutes"), ["event_type", "start_s"])
+    w = Window.partitionBy("event_type").orderBy("start_s")
+    return b.select("event_type", "start_s", F.round(F.sum("total").over(w) / F.sum("n").over(w), 4).alias("running_avg"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillway.adapters import events, page_log, seconds, table
 from rillway.operators import patterns, state
+from rillway.operators.search import tokens
 from rillway.registry import EV, PG, query
 
 DAY = 86400
@@ -38,17 +39,20 @@ def visitor_stats(spark, d):
 
 
 @query(f"""WITH {EV}, u AS (SELECT s // {DAY} AS day, k AS sku_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS click, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS display,
+ CASE WHEN event_type = 'click' AND k % 2 = 0 THEN 1 ELSE 0 END AS favor, CASE WHEN event_type = 'click' AND k % 2 = 1 THEN 1 ELSE 0 END AS cart, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS said, CASE WHEN event_type = 'error' AND value >= 10 THEN 1 ELSE 0 END AS good,
  CASE WHEN event_type = 'signup' THEN user_id END AS o, CASE WHEN event_type = 'purchase' THEN user_id END AS p, CASE WHEN event_type = 'error' THEN user_id END AS r FROM ev)
- SELECT day, sku_id, max(p_brand) AS brand, CAST(sum(click) AS BIGINT) AS click_ct, CAST(sum(display) AS BIGINT) AS display_ct, count(DISTINCT o) AS order_ct, count(DISTINCT p) AS paid_ct, count(DISTINCT r) AS refund_ct
+ SELECT day, sku_id, max(p_brand) AS brand, CAST(sum(click) AS BIGINT) AS click_ct, CAST(sum(display) AS BIGINT) AS display_ct, count(DISTINCT o) AS order_ct, count(DISTINCT p) AS paid_ct, count(DISTINCT r) AS refund_ct, CAST(sum(favor) AS BIGINT) AS favor_ct, CAST(sum(cart) AS BIGINT) AS cart_ct, CAST(sum(said) AS BIGINT) AS comment_ct, CAST(sum(good) AS BIGINT) AS good_comment_ct
  FROM u LEFT JOIN part ON p_partkey = sku_id GROUP BY 1, 2""")
 def product_stats(spark, d):
-    """Counts of each product and day from five kinds of rows, with its dimensions."""
+    """Counts of each product and day from seven kinds of rows, with its dimensions (favour: a click on an even item, cart: on an odd one, comment: an error)."""
     e = events(spark, d).withColumn("day", day_number())
     one = lambda kind: F.when(F.col("event_type") == kind, F.col("user_id"))
-    count = lambda kind: F.sum((F.col("event_type") == kind).cast("bigint"))
-    g = e.groupBy("day", F.col("k").alias("sku_id")).agg(count("click").alias("click_ct"), count("view").alias("display_ct"), F.count_distinct(one("signup")).alias("order_ct"), F.count_distinct(one("purchase")).alias("paid_ct"), F.count_distinct(one("error")).alias("refund_ct"))
+    count = lambda kind, more=F.lit(True): F.sum(((F.col("event_type") == kind) & more).cast("bigint"))
+    even = F.col("k") % 2 == 0
+    said = [count("click", even).alias("favor_ct"), count("click", ~even).alias("cart_ct"), count("error").alias("comment_ct"), count("error", F.col("value") >= 10).alias("good_comment_ct")]
+    g = e.groupBy("day", F.col("k").alias("sku_id")).agg(count("click").alias("click_ct"), count("view").alias("display_ct"), F.count_distinct(one("signup")).alias("order_ct"), F.count_distinct(one("purchase")).alias("paid_ct"), F.count_distinct(one("error")).alias("refund_ct"), *said)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("sku_id"), F.col("p_brand").alias("brand"))
-    return g.join(p, "sku_id", "left").select("day", "sku_id", "brand", "click_ct", "display_ct", "order_ct", "paid_ct", "refund_ct")
+    return g.join(p, "sku_id", "left").select("day", "sku_id", "brand", "click_ct", "display_ct", "order_ct", "paid_ct", "refund_ct", "favor_ct", "cart_ct", "comment_ct", "good_comment_ct")
 
 
 @query("SELECT strftime(o_orderdate, '%Y%m') AS month, n_name AS province, count(DISTINCT o_orderkey) AS order_count, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
@@ -58,12 +62,30 @@ def area_stats(spark, d):
     return o.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month"), F.col("n_name").alias("province")).agg(F.count_distinct("o_orderkey").alias("order_count"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
 
 
-@query("SELECT source, w AS keyword, count(*) AS cnt FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) > 6 GROUP BY ALL HAVING count(*) > 2")
+@query("SELECT source, w AS keyword, count(*) AS cnt FROM (SELECT source, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) AS w FROM documents) WHERE length(w) > 6 GROUP BY ALL HAVING count(*) > 2")
 def keyword_stats(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("source", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("keyword"))
+    t = table(spark, d, "documents").select("source", F.explode(tokens("text")).alias("keyword"))
     return t.where("length(keyword) > 6").groupBy("source", "keyword").agg(F.count("*").alias("cnt")).where("cnt > 2")
 
 
+@query(f"WITH {EV}, w AS (SELECT s - s % 21600 AS start_s, unnest(string_split(p_name, ' ')) AS keyword FROM ev JOIN part ON p_partkey = k WHERE event_type = 'view') SELECT start_s, start_s + 21600 AS end_s, keyword, count(*) AS cnt FROM w WHERE keyword <> '' GROUP BY ALL")
+def keyword_windows(spark, d):
+    """Words of what was looked at on the search page (view), by window, through SQL's own window function."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    w = events(spark, d).where("event_type = 'view'").join(p, "k").select("ts", F.explode(F.split("p_name", " ")).alias("keyword")).where("keyword <> ''")
+    w.createOrReplaceTempView("rillway_searches")
+    return spark.sql("SELECT unix_timestamp(cast(window.start AS timestamp)) AS start_s, unix_timestamp(cast(window.end AS timestamp)) AS end_s, keyword, count(*) AS cnt FROM rillway_searches GROUP BY window(ts, '6 hours'), keyword")
+
+
+@query("""SELECT s - s % 2592000 AS start_s, s - s % 2592000 + 2592000 AS end_s, n_name AS province, count(DISTINCT o_orderkey) AS order_count FROM (SELECT *, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS s FROM orders)
+ JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def area_windows(spark, d):
+    """Orders by place and window of 30 days."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = o.groupBy(F.window(F.col("o_orderdate").cast("timestamp"), "30 days").alias("w"), F.col("n_name").alias("province")).agg(F.count_distinct("o_orderkey").alias("order_count"))
+    return g.select(F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "province", "order_count")
+
+
 @query(f"WITH {EV} SELECT s // {DAY} AS day, count(DISTINCT user_id) AS cart_uv FROM ev WHERE event_type = 'click' GROUP BY 1")
 def cart_stats(spark, d):
     e = events(spark, d).where("event_type = 'click'").withColumn("day", day_number())

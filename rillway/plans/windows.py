@@ -12,6 +12,10 @@ def count():
     return F.count("*").alias("cnt")
 
 
+def _of(e, behavior):
+    return e.where(F.col("event_type") == behavior) if behavior else e
+
+
 def _s(df):
     """Window ends as whole seconds."""
     return df.withColumn("start_s", seconds("window_start")).withColumn("end_s", seconds("window_end")).drop("window_start", "window_end")
@@ -31,8 +35,9 @@ def slide_count(spark, d):
 
 
 @query(f"WITH {EV}, {SLIDE}, c AS (SELECT start_s, k, count(*) AS cnt FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY start_s ORDER BY cnt DESC, k) AS rank FROM c) SELECT start_s + 3600 AS end_s, k AS item_id, cnt, rank FROM r WHERE rank <= 3")
-def hot_items(spark, d):
-    c = windows.windowed(events(spark, d), "ts", "1 hour", "5 minutes", ["k"], [count()])
+def hot_items(spark, d, behavior=None):
+    """Top items of each window; of one kind of event with behavior."""
+    c = windows.windowed(_of(events(spark, d), behavior), "ts", "1 hour", "5 minutes", ["k"], [count()])
     top = ranking.top_n(c, ["window_start", "window_end"], [F.desc("cnt"), F.col("k")], 3)
     return _s(top).select("end_s", F.col("k").alias("item_id"), "cnt", "rank")
 
@@ -98,14 +103,15 @@ def pv_hourly(spark, d):
 
 
 @query(f"WITH {EV} SELECT s - s % 3600 AS start_s, count(DISTINCT user_id) AS uv FROM ev GROUP BY ALL")
-def uv_hourly(spark, d):
-    return windows.floored(events(spark, d), seconds(), 3600, [], [F.count_distinct("user_id").alias("uv")])
+def uv_hourly(spark, d, behavior=None):
+    return windows.floored(_of(events(spark, d), behavior), seconds(), 3600, [], [F.count_distinct("user_id").alias("uv")])
 
 
-@query()
+@query(f"WITH {EV} SELECT DISTINCT s - s % 3600 AS start_s, true AS near FROM ev")
 def uv_hourly_approx(spark, d):
-    """Distinct users by a sketch of fixed size."""
-    return windows.floored(events(spark, d), seconds(), 3600, [], [F.approx_count_distinct("user_id", 0.01).alias("uv")])
+    """Distinct users by a sketch of fixed size, and whether it lies within five in a hundred of the exact count."""
+    out = windows.floored(events(spark, d), seconds(), 3600, [], [F.approx_count_distinct("user_id", 0.01).alias("uv"), F.count_distinct("user_id").alias("exact")])
+    return out.select("start_s", (F.abs(F.col("uv") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("near"))
 
 
 @query(f"WITH {EV} SELECT event_id, event_type, k FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, event_id) = 1")

@@ -6,12 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kafka(spark: SparkSession, servers: str, topics: list[str], start: str = "latest", committed: bool = True, streaming: bool = True) -> DataFrame:
-    """value with partition and offset; null values dropped. start: earliest, latest, or JSON offsets."""
-    reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", start)
+def kafka(spark: SparkSession, servers: str, topics: list[str], start: str = "latest", committed: bool = True, streaming: bool = True, since_ms: int | None = None) -> DataFrame:
+    """value, topic, partition, offset; null and empty values dropped. start: earliest, latest, or JSON offsets; since_ms: a time to start at."""
+    reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+    reader = reader.option("startingTimestamp", str(since_ms)) if since_ms is not None else reader.option("startingOffsets", start)
     if committed:
         reader = reader.option("kafka.isolation.level", "read_committed")
-    return reader.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset").where("value IS NOT NULL")
+    return reader.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset").where("value <> ''")
+
+
+def with_position(records: DataFrame) -> DataFrame:
+    """value (a flat JSON object) with the record's partition and offset put into it; null and empty values dropped."""
+    at = F.create_map(F.lit("partition"), F.col("partition").cast("string"), F.lit("offset"), F.col("offset").cast("string"))
+    return records.where("value <> ''").select(F.to_json(F.map_concat(F.from_json("value", "map<string,string>"), at)).alias("value"))
+
+
+def generated(spark: SparkSession, rows: int, seed: int = 42, per_second: int | None = None) -> DataFrame:
+    """A bounded number of made-up rows (id, amount, kind), the same for one seed; with per_second a stream that grows at that rate up to it."""
+    ids = spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("id")).where(F.col("id") < rows) if per_second else spark.range(rows)
+    roll = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
+    return ids.select("id", (roll(1, 100_000) / 100).alias("amount"), F.concat(F.lit("kind"), roll(2, 10)).alias("kind"))
 
 
 def jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **properties: str) -> DataFrame:

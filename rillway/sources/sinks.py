@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one, kept while Python runs, only in a session of one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def to_console(df: DataFrame, rows: int = 20):
+    """Rows to the console: shown at once, or with each micro-batch."""
+    if df.isStreaming:
+        return df.writeStream.format("console").option("numRows", rows).outputMode("update").start()
+    df.show(rows, truncate=False)
+
+
+def write_routed(df: DataFrame, sink: str, root: str) -> str:
+    """Each row into the folder that one of its columns names."""
+    df.repartition(sink).write.partitionBy(sink).mode("append").parquet(root)
+    return root
+
+
+def save(df: DataFrame, name: str, mode: str, path: str, by: list[str]) -> None:
+    """A catalog table over path, partitioned by columns; mode is append, overwrite, ignore or error."""
+    df.write.mode(mode).partitionBy(*by).option("path", path).saveAsTable(name)
+
+
+def insert(df: DataFrame, name: str, replace: bool = False) -> None:
+    """Rows into a partitioned table, by place of the columns; with replace, only the partitions that the rows fall in are replaced."""
+    conf, setting = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(setting)
+    conf.set(setting, "dynamic")
+    try:
+        df.write.insertInto(name, overwrite=replace)
+    finally:
+        conf.set(setting, before)
+
+
 def write_partitioned(df: DataFrame, by: list[str], path: str, rows_per_file: int = 5_000_000) -> str:
     """Files by the values of some columns; large values are split by rows_per_file, none is written by every task."""
     df.repartition(*by).write.partitionBy(*by).option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
@@ -28,34 +64,62 @@ def compact(spark: SparkSession, path: str, by: list[str], to: str) -> str:
     return to
 
 
-def upsert_batch(path: str, key: str, version: str):
-    """For writeStream.foreachBatch: keep the newest row of each key in a Parquet table of two alternating folders."""
+def upsert_batch(path: str, key: str, version: str, buckets: int = 64):
+    """For writeStream.foreachBatch: keep the newest row of each key in a Parquet table that is partitioned by a hash of the key.
+
+    A batch reads and replaces only the buckets that its keys fall in; running one again changes nothing.
+    """
     from rillway.operators.cdc import upsert
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now, then = f"{path}/{number % 2}", f"{path}/{(number + 1) % 2}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(then)
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        old = spark.read.schema(batch.schema).parquet(then) if there else batch.limit(0)
-        upsert(old, batch, key, version).write.mode("overwrite").parquet(now)
+        touched = new.select("bucket").distinct()  # `buckets` rows at most
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi") if there else new.limit(0)
+        rows = upsert(old.select(*new.columns), new, key, version).repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
 
 
-def jdbc_upsert(url: str, table: str, key: str, version: str, batch_size: int = 100, **properties: str):
-    """For foreachBatch: the newest row of each key, appended in batches (the table's key decides what is replaced)."""
+def jdbc_append(df: DataFrame, url: str, table: str, transient: list[str] = (), batch_size: int = 100, **properties: str) -> None:
+    """Rows appended in batches, without the columns that are only marks."""
+    df.drop(*transient).write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))
+
+
+def jdbc_upsert(url: str, table: str, key: str, version: str, columns: list[str], batch_size: int = 100, **properties: str):
+    """For foreachBatch: the newest row of each key, put into a table by MERGE from a staging table that each batch writes anew."""
     from rillway.operators.state import latest_by
 
+    def merge(quote) -> str:
+        rest = [quote(c) for c in columns if c != key]
+        k, v, every = quote(key), quote(version), [quote(c) for c in columns]
+        return (
+            f"MERGE INTO {table} t USING {table}_staged s ON t.{k} = s.{k} "
+            f"WHEN MATCHED AND s.{v} >= t.{v} THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)} "
+            f"WHEN NOT MATCHED THEN INSERT ({', '.join(every)}) VALUES ({', '.join(f's.{c}' for c in every)})"
+        )
+
     def write(batch: DataFrame, number: int) -> None:
-        latest_by(batch, [key], [version]).write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))
+        latest_by(batch.select(*columns), [key], [version]).write.option("batchsize", batch_size).jdbc(url, f"{table}_staged", "overwrite", dict(properties))
+        jvm = batch.sparkSession._jvm
+        given = jvm.java.util.Properties()
+        for k, v in properties.items():
+            given.setProperty(k, v)
+        connection = jvm.java.sql.DriverManager.getConnection(url, given)
+        try:
+            connection.createStatement().executeUpdate(merge(jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier))
+        finally:
+            connection.close()
 
     return write
 
 
-def to_kafka(df: DataFrame, servers: str, topic: str, key: str | None = None, checkpoint: str | None = None):
-    """Rows as JSON, keyed by a column. Spark delivers at least once: readers fold by key."""
-    value = df.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), F.lit(topic).alias("topic"))
+def to_kafka(df: DataFrame, servers: str, topic: str | Column, key: str | None = None, checkpoint: str | None = None):
+    """Rows as JSON, keyed by a column; topic is a name, or a column that names each row's. Spark delivers at least once: readers fold by key."""
+    value = df.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), (topic if isinstance(topic, Column) else F.lit(topic)).alias("topic"))
     if df.isStreaming:
         return value.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).start()
     return value.write.format("kafka").option("kafka.bootstrap.servers", servers).save()

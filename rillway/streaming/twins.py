@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rillway.operators.state import latest_by
+from rillway.session import SETTINGS
 from rillway.sources.sinks import work_folder
 
+FILES = 2  # of a stretch of arrivals
+
+
+CLOSING = "closing"  # the type of a row far behind all others, which lets the watermark pass them
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream; times get a zone, as watermarks need one."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
+def event_stream(spark: SparkSession, sf_dir: str, stretches: int = 4, lag: int = 600, closing: bool = False) -> DataFrame:
+    """The events table as a stream of several micro-batches whose rows arrive up to lag seconds late.
 
-def drain(df: DataFrame, mode: str) -> DataFrame:
+    The table is written in stretches of arrival time, one after the other, and each becomes a micro-batch. With closing,
+    a row of another type follows far behind, so that a bounded replay ends with every window closed.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    e = e.withColumn("_arrival", F.unix_seconds("ts") + F.col("event_id") * 7919 % lag)
+    low, high, last = e.agg(F.min("_arrival"), F.max("_arrival"), F.max("ts")).first()
+    path = work_folder(spark, "arrivals")
+    for i in range(stretches if low is not None else 0):
+        part = e.where(F.floor((F.col("_arrival") - low) * stretches / (high - low + 1)) == i).drop("_arrival")
+        if closing and i == stretches - 1:
+            end = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 40 DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("k"), F.lit(CLOSING).alias("event_type"))
+            part = part.unionByName(end, allowMissingColumns=True)
+        part.repartition(FILES).write.mode("append").parquet(path)
+    e.drop("_arrival").limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.drop("_arrival").schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | None = None) -> DataFrame:
     """Run a stream over what is there; each micro-batch lands in its own folder, so running one again changes nothing.
 
+    place is a checkpoint to go on from; interval triggers micro-batches of a running stream instead of draining one.
     Returns all rows with the number of their batch.
     """
     spark = df.sparkSession
-    path, place = work_folder(spark, "stream"), work_folder(spark, "progress")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    path, place = work_folder(spark, "stream"), place or work_folder(spark, "progress")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
-    q.awaitTermination()
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", place).trigger(**trigger).start()
+    if interval:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
     spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{path}/batch=-1")  # a stream without rows writes nothing
-    return spark.read.schema(df.schema.add("batch", "integer")).parquet(path)
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(path)
+
+
+def each_batch_by_sql(events: DataFrame, sql: str, view: str, schema: str) -> DataFrame:
+    """Each micro-batch as a view that SQL reads; all results, with the number of their batch."""
+    spark = events.sparkSession
+    path = work_folder(spark, "by_sql")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.createOrReplaceTempView(view)
+        batch.sparkSession.sql(sql).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch=-1")
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
 
 
 def folded(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
@@ -47,8 +86,33 @@ def window_counts(events: DataFrame, size: str, slide: str | None, keys: list[st
     return g.select(F.unix_timestamp("window.start").alias("start_s"), F.unix_timestamp("window.end").alias("end_s"), *keys, "cnt")
 
 
-def session_counts(events: DataFrame, gap: str, key: str) -> DataFrame:
-    g = events.groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("cnt"))
+def running_counts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals since the start, sent again for the keys that change."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def both_counts(a: DataFrame, b: DataFrame, a_delay: str, b_delay: str, size: str, keys: list[str]) -> DataFrame:
+    """Counts over two streams with delays of their own: the smaller watermark holds for both."""
+    both = a.withWatermark("ts", a_delay).unionByName(b.withWatermark("ts", b_delay))
+    g = both.groupBy(F.window("ts", size), *keys).agg(F.count("*").alias("cnt"))
+    return g.select(F.unix_timestamp("window.start").alias("start_s"), F.unix_timestamp("window.end").alias("end_s"), *keys, "cnt")
+
+
+def arrival_counts(events: DataFrame, size: str) -> DataFrame:
+    """Counts by windows of the time at which rows are processed."""
+    g = events.withColumn("_now", F.current_timestamp()).withWatermark("_now", "0 seconds").groupBy(F.window("_now", size)).agg(F.count("*").alias("cnt"))
+    return g.select(F.unix_timestamp("window.start").alias("start_s"), "cnt")
+
+
+def bucket_sums(events: DataFrame, size: str, key: str, value: str, delay: str) -> DataFrame:
+    """Sums and counts by window, of which running averages are made."""
+    g = events.withWatermark("ts", delay).groupBy(F.window("ts", size), key).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+    return g.select(key, F.unix_timestamp("window.start").alias("start_s"), "total", "n")
+
+
+def session_counts(events: DataFrame, gap: str, key: str, delay: str) -> DataFrame:
+    """Sessions, sent once the watermark has passed their gap."""
+    g = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("cnt"))
     return g.select(key, F.unix_timestamp("session_window.start").alias("start_s"), "cnt")
 
 
@@ -69,27 +133,3 @@ def first_by_key(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key to arrive; the key is forgotten once the watermark passes it by the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
-
-FAILS = "user_id bigint, first_s bigint, last_s bigint"
-STATE = "hits array<bigint>"
-
-
-def consecutive_fails(events: DataFrame, times: int, within: int) -> DataFrame:
-    """user_id, first_s, last_s of each run of failures, from state that holds the last few failures of a user.
-
-    A micro-batch is taken in order of time; rows that come in a later batch than newer ones are taken as they come.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for s, failed in zip(rows["s"].tolist(), rows["failed"].tolist()):
-            hits = [*hits, s][-times:] if failed else []
-            if len(hits) == times and hits[-1] - hits[0] <= within:
-                out.append((key[0], hits[0], s))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["user_id", "first_s", "last_s"])
-
-    e = events.select("user_id", "event_id", "ts", F.unix_timestamp("ts").alias("s"), (F.col("event_type") == "error").alias("failed"))
-    return e.groupBy("user_id").applyInPandasWithState(step, FAILS, STATE, "append", "NoTimeout")

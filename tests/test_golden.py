@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from rillway.catalog import QUERIES
 from rillway.functions import scalars
 from rillway.operators import aggregates, cdc, joins, parsing, patterns, ranking, state, windows
-from rillway.streaming import twins
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,9 +83,9 @@ def test_parsing(spark):
     assert ids(parsing.without_static(urls), "url") == ["/b.html", "/css"]
     v = spark.createDataFrame([(None,), ("10.9",), ("11.5",), ("11.6",), ("12.3",), ("x.y",)], "v string")
     assert {r.v for r in parsing.version_gate(v, "v").collect()} == {None, "10.9", "11.5", "12.3"}
-    line = spark.createDataFrame([("83.149.9.216 - - 17/05/2015:10:05:03 +0000 GET /presentations/a.png",)], "line string")
+    line = spark.createDataFrame([("192.0.2.7 - - 03/02/2021:11:12:13 +0000 GET /shop/list",)], "line string")
     r = parsing.access_log(line).first()
-    assert (r.ip, r.method, r.url, str(r.ts)) == ("83.149.9.216", "GET", "/presentations/a.png", "2015-05-17 10:05:03")
+    assert (r.ip, r.method, r.url, str(r.ts)) == ("192.0.2.7", "GET", "/shop/list", "2021-02-03 11:12:13")
     body = spark.createDataFrame([("v=1&e=%5B%7B%22a%22%3A%22x%22%7D%2C%7B%22b%22%3A%22y%22%7D%5D",)], "request_body string")
     assert ids(parsing.request_body(body, "request_body", ["v", "a", "b"]), "v", "a", "b") == [("1", "-", "y"), ("1", "x", "-")]
     text = spark.createDataFrame([("a\nb", None)], "x string, y string")
@@ -96,10 +95,10 @@ def test_parsing(spark):
 def test_scalars(spark):
     one = spark.range(1)
     got = one.select(
-        scalars.pairs(F.lit("k1=v1&k2=v2"), "k2").alias("a"), scalars.decode_url(F.lit("100%&x%3D1")).alias("b"), scalars.oplog_seconds(F.lit(1663512114 << 32 | 7)).alias("c"),
+        scalars.pairs(F.lit("left=3&right=4"), "right").alias("a"), scalars.decode_url(F.lit("100%&x%3D1")).alias("b"), scalars.oplog_seconds(F.lit(1700000001 << 32 | 7)).alias("c"),
         scalars.mask_phone(F.lit("1381234567")).alias("d"), scalars.decrypt(scalars.encrypt(F.lit("x"), "0123456789abcdef"), "0123456789abcdef").alias("e"),
     ).first()
-    assert tuple(got) == ("v2", "100%&x=1", 1663512114, "138****567", "x")
+    assert tuple(got) == ("4", "100%&x=1", 1700000001, "138****567", "x")
 
 
 def test_numbered_and_ranges(spark):
@@ -118,14 +117,41 @@ def test_plans(spark, name):
         assert "WindowGroupLimit" in plan and "partial_count" in plan
 
 
-def test_stream_in_several_batches(spark, tmp_path):
-    """Rows in shuffled order over several files: counts folded by window equal the batch."""
-    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("o", F.col("event_id") * 7919 % 97)
-    for i in range(4):
-        e.where(F.col("o") % 4 == i).drop("o").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
-    got = twins.folded(twins.window_counts(twins.event_stream(spark, str(tmp_path)), "1 day", None, [], "400 days"), ["start_s", "end_s"])
-    want = e.groupBy((F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("bigint").alias("d")).count()
-    assert ids(got, "start_s", "cnt") == sorted((r.d * 86400, r["count"]) for r in want.collect())
+def test_left_interval_join(spark):
+    a = spark.createDataFrame([(1, "u", 100), (2, "u", 5000), (3, None, 5)], "row int, k string, a int")
+    b = spark.createDataFrame([("u", 90), ("u", 110)], "k string, b int")
+    got = joins.interval_join(a, b, "k", "a", "b", -20, 20, "left", ["row"])
+    assert sorted((r.row, r.b or 0) for r in got.collect()) == [(1, 90), (1, 110), (2, 0), (3, 0)]
+    with pytest.raises(ValueError):
+        joins.interval_join(a, b, "k", "a", "b", -20, 20, "full")
+
+
+def test_reconcile(spark):
+    a = spark.createDataFrame([(1, "u", 100), (2, "u", 9000), (3, "v", 100)], "a_id int, k string, a int")
+    b = spark.createDataFrame([(7, "u", 95), (8, "w", 100), (9, "u", 111)], "b_id int, k string, b int")
+    got = joins.reconcile(a, b, "k", "a", "b", 5, 10, ["a_id"], ["b_id"])
+    assert sorted((r.k, r.a_id or 0, r.b_id or 0, r.status) for r in got.collect()) == [("u", 0, 9, "right_only"), ("u", 1, 7, "matched"), ("u", 2, 0, "left_only"), ("v", 3, 0, "left_only"), ("w", 0, 8, "right_only")]
+
+
+def test_control_holds_from_its_time(spark):
+    m = spark.createDataFrame([(i, s) for i, s in enumerate((5, 10, 19, 20, 90, 4000))], "i int, s int")
+    c = spark.createDataFrame([(10, "x"), (20, "y"), (20, "z"), (50, None)], "f int, word string")
+    for chunk in (7, 3600):
+        assert [(r.i, r.word) for r in joins.as_of_control(m, c, "s", "f", "word", chunk).orderBy("i").collect()] == [(0, None), (1, "x"), (2, "x"), (3, "z"), (4, None), (5, None)]
+
+
+def test_camel_names(spark):
+    assert scalars.camel_columns(spark.createDataFrame([(1, 2)], "order_id int, user_phone_no int")).columns == ["orderId", "userPhoneNo"]
+
+
+def test_kept_rows(spark):
+    d = spark.range(10)
+    assert ranking.keep(d).count() == ranking.keep(d, "checkpoint").count() == 10
+
+
+def test_config_that_is_removed(spark):
+    changes = spark.createDataFrame([("a", "x", "c", 1), ("b", "y", "c", 2), ("a", "z", "u", 3), ("b", "y", "d", 4)], "source_table string, sink_table string, op string, seq int")
+    assert ids(cdc.current_config(changes), "source_table", "sink_table") == [("a", "z")]
 
 
 def test_upsert_batches(spark, tmp_path):
@@ -134,10 +160,24 @@ def test_upsert_batches(spark, tmp_path):
     write = upsert_batch(str(tmp_path / "t"), "id", "v")
     for n, rows in enumerate([[(1, 1), (2, 1)], [(2, 3), (3, 1)], [(2, 2), (1, 5)]]):
         write(spark.createDataFrame(rows, "id int, v int"), n)
-    assert ids(spark.read.parquet(f"{tmp_path}/t/0"), "id", "v") == [(1, 5), (2, 3), (3, 1)]
+    assert ids(spark.read.parquet(f"{tmp_path}/t"), "id", "v") == [(1, 5), (2, 3), (3, 1)]
 
 
 def test_sources_need_no_connector_to_import():
     from rillway.sources import readers, sinks
 
     assert callable(readers.kafka) and callable(sinks.to_kafka)
+
+
+def test_made_up_visits(spark):
+    """Ten sessions a user, up to five steps in each, columns by the action."""
+    v = QUERIES["mock_visits"](spark, SF)
+    users = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert v.select("user_id", "session").distinct().count() == 10 * users
+    assert v.where("step NOT BETWEEN 0 AND 4 OR (action = 'search') <> (keyword_id IS NOT NULL) OR (action = 'search') <> (item_id IS NULL)").count() == 0
+    assert v.collect() == QUERIES["mock_visits"](spark, SF).collect()
+
+
+def test_sample_share(spark):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert 0.07 * n < QUERIES["sample"](spark, SF).count() < 0.13 * n
