@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -82,6 +83,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_fields(schema: StructType, fields: str) -> StructType:
+    """A schema with more fields, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillway.llm import bpe, chat, decontaminate, jaccard, language, line_dedup, phrases, quality, secrets, token_store
+from rillway.llm import bpe, chat, codes, decontaminate, jaccard, language, line_dedup, near_vectors, phrases, quality, secrets, spelling, token_store
 from rillway.llm.common import documents
 from rillway.llm.sql import ORACLES
 
@@ -120,6 +120,21 @@ def op9_quality_rules(spark, sf_dir):
     )
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Each word of the vocabulary with its frequent near word, and where following such words ends."""
+    return spelling.group_variants(documents(spark, sf_dir).select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_embedding_near_dedup(spark, sf_dir):
+    """Vectors with a cosine of 0.95 or more, counted and grouped."""
+    return near_vectors.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    """Codes of all vectors from codebooks of 8 parts and 16 entries after 6 rounds."""
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

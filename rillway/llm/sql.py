@@ -70,4 +70,51 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documen
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND CASE WHEN n_failed_lines = 0 THEN true ELSE CAST(lost AS DOUBLE) / word_chars <= 0.3 END AS kept FROM x"""
 
-ORACLES = {"op2_phrase_dedup": PHRASES, "op3_jaccard_join": JACCARD, "op6_line_dedup": LINE_RUNS, "op8_chat_formatting": CHAT, "op9_quality_rules": QUALITY}
+SPELLING = r"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+ -- CRC-32 by its table of 256, from UTF-8 bytes of letters below U+0800
+ z AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS z FROM range(256) r(i)),
+ y AS (SELECT DISTINCT doc_id, run, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END)) AS bytes FROM r WHERE length(run) >= 7),
+ h AS MATERIALIZED (SELECT doc_id, run, xor(list_reduce(bytes, lambda c, b: xor(z[(xor(c, CAST(b AS BIGINT)) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h FROM y, z),
+ x AS (SELECT r.run, h.h FROM r JOIN h ON h.doc_id = r.doc_id AND h.run = r.run),
+ l AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM x),
+ v AS MATERIALIZED (SELECT word, count(*) AS n FROM l WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+ c AS MATERIALIZED (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+ g AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS cut FROM c),
+ m AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '?' || substr(word, i + 2) AS mask FROM c),
+ p AS (SELECT a.word, b.word AS near, b.n FROM m a JOIN m b ON a.mask = b.mask AND a.word <> b.word
+  UNION ALL SELECT v.word, g.word, g.n FROM v JOIN g ON v.word = g.cut UNION ALL SELECT g.word, v.word, v.n FROM v JOIN g ON v.word = g.cut),
+ b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS best, max(n) AS best_n FROM p GROUP BY 1),
+ f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+ t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+ e AS (SELECT t.word, t.root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word"""
+
+VECTORS = """
+WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ g AS (SELECT vec_id, e FROM d WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ t AS (SELECT vec_id AS a, vec_id AS b FROM d UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+ c AS (SELECT a, min(b) AS component_id FROM t GROUP BY 1),
+ k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT d.vec_id, coalesce(k.n, 0) AS n_links, component_id, d.vec_id = component_id AS kept FROM d JOIN c ON c.a = d.vec_id LEFT JOIN k ON k.a = d.vec_id"""
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    assigned = lambda book: f"""(SELECT x.vec_id, x.part, min(struct_pack(d := list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.entry)) AS a
+     FROM x JOIN {book} b ON b.part = x.part GROUP BY 1, 2)"""
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, part, list_transform(embedding[part * len(embedding) // {parts} + 1:(part + 1) * len(embedding) // {parts}], lambda v: CAST(floor(CAST(v AS DOUBLE) * 4096) AS BIGINT)) AS c FROM d, range({parts}) r(part)),
+ b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, c FROM x QUALIFY entry < {entries})"""]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED {assigned(f"b{i}")},
+ s{i} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM (SELECT x.part, a.e AS entry, i, CAST(floor(sum(c[i]) / count(*)) AS BIGINT) AS v FROM a{i} JOIN x ON x.vec_id = a{i}.vec_id AND x.part = a{i}.part, range(1, len(c) + 1) r(i) GROUP BY ALL) GROUP BY 1, 2),
+ b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.c, b.c) AS c FROM b{i} b LEFT JOIN s{i} s ON s.part = b.part AND s.entry = b.entry)""")
+    return f"""
+WITH d AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)),
+ {", ".join(steps)},
+ z AS (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY part) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM {assigned(f"b{rounds}")} GROUP BY 1),
+ h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT z.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM z JOIN d ON d.vec_id = z.vec_id, h"""
+
+
+ORACLES = {"op2_phrase_dedup": PHRASES, "op3_jaccard_join": JACCARD, "op6_line_dedup": LINE_RUNS, "op8_chat_formatting": CHAT, "op9_quality_rules": QUALITY, "op11_spelling_variants": SPELLING, "op12_embedding_near_dedup": VECTORS, "op13_vector_codes": _codes()}
