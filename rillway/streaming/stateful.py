@@ -8,45 +8,76 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 DAY, SIX_HOURS = 86400, 6 * 3600
-ROW = "at_ms bigint, at_us bigint, event_id bigint, s bigint, event_type string"
+ROW = "event_id bigint, s bigint, event_type string"
+STRETCH_KEY = StructType([StructField("stretch", LongType())])
+STRETCH = 60_000  # ms of a key's rows that are held together
 
 #: A step takes (key, memory or None, rows in order, watermark in ms) and gives (memory or None, rows out, when to be called again in ms or None).
+#: A row is (ms, us, the columns of ROW or of another row type).
 Step = Callable[[tuple, tuple | None, list[tuple], int], tuple[tuple | None, list[tuple], int | None]]
 
 
+def names(ddl: str) -> list[str]:
+    return StructType.fromDDL(ddl).fieldNames()
+
+
 class InOrder(StatefulProcessor):
     """Holds rows until the watermark passes them, so that the result doesn't depend on how they were cut into micro-batches.
 
-    Rows later than the watermark are dropped by Spark. A step that gives None for its memory leaves no state behind.
+    Rows are held by stretches of time: a micro-batch adds to the stretches that its rows fall in, an expiry reads those that are due
+    and leaves the others alone. Rows later than the watermark are dropped by Spark. A step that gives None for its memory leaves no
+    state behind. With an initial state, a key's memory is what a batch table holds for it when the query starts.
     """
 
-    def __init__(self, step: Step, memory: str, columns: list[str]):
-        self.step, self.memory_schema, self.columns = step, memory, columns
+    def __init__(self, step: Step, memory: str, columns: list[str], row: str = ROW):
+        # schemas are made here: a worker has no session to read DDL with
+        fields = StructType.fromDDL(f"at_ms bigint, at_us bigint, {row}")
+        self.step, self.columns, self.row_names = step, columns, fields.fieldNames()
+        self.memory_schema, self.held_schema = StructType.fromDDL(memory), StructType([StructField("rows", ArrayType(fields))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ROW)
+        self.rows = handle.getMapState("rows", STRETCH_KEY, self.held_schema)
         self.memory = handle.getValueState("memory", self.memory_schema)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = next(initialState[self.memory_schema.fieldNames()].itertuples(index=False), None)
+        if row is not None:
+            self.memory.update(tuple(v.item() if hasattr(v, "item") else v for v in row))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ROW.split(", ")]
-        new = [t for f in rows for t in zip(*(f[c].tolist() for c in names))]
-        self.rows.appendList(new)
-        self.handle.registerTimer(max(t[0] for t in new))
+        new: dict[int, list[tuple]] = {}
+        last = 0
+        for f in rows:
+            for t in zip(*(f[c].astype(object).where(f[c].notna(), None).tolist() for c in self.row_names)):
+                new.setdefault(t[0] // STRETCH, []).append(t)
+                last = max(last, t[0])
+        for stretch, added in new.items():
+            held = self.rows.getValue((stretch,))[0] if self.rows.containsKey((stretch,)) else []
+            self.rows.updateValue((stretch,), ([*map(tuple, held), *added],))
+        self.handle.registerTimer(last)
         yield pd.DataFrame([], columns=self.columns, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(map(tuple, self.rows.get()), key=lambda r: r[1:3]) if self.rows.exists() else []
-        due, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        now, due, next_ = timerValues.getCurrentWatermarkInMs(), [], None
+        for (stretch,) in sorted(map(tuple, self.rows.keys())):
+            if stretch * STRETCH > now:
+                next_ = (stretch + 1) * STRETCH
+                break
+            held = [tuple(r) for r in self.rows.getValue((stretch,))[0]]
+            due += [r for r in held if r[0] <= now]
+            if later := [r for r in held if r[0] > now]:
+                self.rows.updateValue((stretch,), (later,))
+                next_ = max(r[0] for r in later)
+                break
+            self.rows.removeKey((stretch,))
+        due.sort(key=lambda r: r[1:3])
         memory, out, wake = self.step(key, tuple(self.memory.get()) if self.memory.exists() else None, due, now)
-        if later:
-            self.rows.put(later)
-            self.handle.registerTimer(max(r[0] for r in later))
-        else:
-            self.rows.clear()
+        if next_ is not None:
+            self.handle.registerTimer(next_)
         if memory is None:
             self.memory.clear()
         else:
@@ -59,11 +90,18 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(events: DataFrame, key: str, delay: str, step: Step, memory: str, out: str) -> DataFrame:
-    """step applied to each key's rows of an event stream (ts, event_id, event_type), rows later than the delay dropped."""
-    e = events.withWatermark("ts", delay).select(key, "ts", F.unix_millis("ts").alias("at_ms"), F.unix_micros("ts").alias("at_us"), "event_id", F.unix_seconds("ts").alias("s"), "event_type")
-    columns = [c.split()[0] for c in out.split(", ")]
-    return e.groupBy(key).transformWithStateInPandas(statefulProcessor=InOrder(step, memory, columns), outputStructType=out, outputMode="Append", timeMode="EventTime")
+def in_order(events: DataFrame, key: str | list[str], delay: str, step: Step, memory: str, out: str, row: str = ROW, initial: DataFrame | None = None) -> DataFrame:
+    """step applied to each key's rows of a stream with an event time ts, rows later than the delay dropped; rows of one time by the first column of row.
+
+    initial has the columns of the key and of the memory, one row a key: the memory that the query starts with.
+    """
+    keys = [key] if isinstance(key, str) else key
+    at = [F.unix_millis("ts").alias("at_ms"), F.unix_micros("ts").alias("at_us")]
+    given = events if "s" in events.columns else events.withColumn("s", F.unix_seconds("ts"))
+    e = given.withWatermark("ts", delay).select(*keys, "ts", *at, *[c for c in names(row)])
+    step_ = InOrder(step, memory, names(out), row)
+    start = initial.select(*keys, *names(memory)).groupBy(*keys) if initial is not None else None
+    return e.groupBy(*keys).transformWithStateInPandas(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
 
 
 def consecutive_fails(events: DataFrame, times: int, within: int, delay: str) -> DataFrame:
