@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.sources.sinks import work_folder
+from rillway.operators.ranges import before_range, in_ranges
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, low: int, high: int, how: str = "inner", row: list[str] | None = None) -> DataFrame:
@@ -38,20 +38,19 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s:
     return out.unionByName(alone(left, left_row, "left_only"), allowMissingColumns=True).unionByName(alone(right, right_row, "right_only"), allowMissingColumns=True)
 
 
-def as_of_control(main: DataFrame, control: DataFrame, main_s: str, control_s: str, word: str, chunk: int = 3600) -> DataFrame:
+def as_of_control(main: DataFrame, control: DataFrame, main_s: str, control_s: str, word: str, chunk: int | None = None) -> DataFrame:
     """main with the control word that held at each row's time (the last one before or at it; null if none).
 
-    Both are laid out by time and the last word is carried forward: inside chunks of time first, then from chunk to chunk,
-    of which there are few. Of words of the same second the largest holds.
+    Both are laid out by time and the last word is carried forward: inside ranges of time that hold about as many rows
+    each, then from range to range, of which there are few. Of words of the same second the largest holds.
     """
     c = control.groupBy(F.col(control_s).alias("_t")).agg(F.struct(F.max(word).alias("w")).alias("_w"))
     m = main.select(F.col(main_s).alias("_t"), F.lit(None).cast(c.schema["_w"].dataType).alias("_w"), F.struct(*main.columns).alias("_row"))
-    both = m.unionByName(c, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_t") / chunk))
-    heads = both.where("_w IS NOT NULL").groupBy("_chunk").agg(F.max_by("_w", "_t").alias("_w"))
-    chunks = both.select("_chunk").distinct().join(heads, "_chunk", "left")
-    before = F.last("_w", ignorenulls=True).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.last("_w", ignorenulls=True).over(Window.partitionBy("_chunk").orderBy("_t", F.col("_row").isNotNull()))
-    carried = both.withColumn("_in", inside).join(chunks.select("_chunk", before.alias("_before")), "_chunk").where("_row IS NOT NULL")
+    both = m.unionByName(c, allowMissingColumns=True).withColumn("_main", F.col("_row").isNotNull())
+    both = in_ranges(both, ["_t", "_main"], chunk)
+    before = before_range(both, F.max_by("_w", F.when(F.col("_w").isNotNull(), F.col("_t"))), lambda f: F.last(f, ignorenulls=True))
+    inside = F.last("_w", ignorenulls=True).over(Window.partitionBy("_p").orderBy("_t", "_main"))
+    carried = both.withColumn("_in", inside).join(before, "_p").where("_main")
     return carried.select("_row.*", F.coalesce("_in", "_before")["w"].alias(word))
 
 
@@ -78,11 +77,7 @@ def cogroup(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str) ->
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Rows numbered in order from 0, without one task seeing them all: counts of ranges, then places inside each."""
-    spark, path = df.sparkSession, work_folder(df.sparkSession, "numbered")
-    # written first: counts and rows then come from the same ranges, whatever runs again
-    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
-    parts = spark.read.parquet(path)
+    parts = in_ranges(df, order)
     inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = inside.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return inside.join(before, "_p").withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("bigint")).drop("_p", "_i", "_before")
+    before = before_range(parts, F.count("*"), F.sum)
+    return inside.join(before, "_p").withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_i") - 1).cast("bigint")).drop("_p", "_i", "_before")

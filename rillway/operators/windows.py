@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillway.operators.ranges import before_range, in_ranges
+
 
 def windowed(df: DataFrame, ts: str, size: str, slide: str | None, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Aggregates for each window and key: window_start, window_end, keys, aggs. Partial sums run before the shuffle."""
@@ -37,18 +39,43 @@ def running_average(df: DataFrame, secs: Column, bucket: int, value: str, key: s
     return b.select(key, "start_s", (F.sum("s").over(w) / F.sum("n").over(w)).alias("running_avg"))
 
 
-def late_rows(df: DataFrame, arrival: str, secs: str, size: int, slide: int, delay: int, lateness: int, chunk: int = 4096) -> DataFrame:
-    """Rows all of whose windows were closed when they arrived.
+def mark_late(df: DataFrame, arrival: str, secs: str, size: int, slide: int, delay: int, lateness: int, seen: int | None = None, chunk: int | None = None) -> DataFrame:
+    """df with `late`: all windows of the row were closed when it arrived.
 
     A row is late if its last window's end + lateness is at most the largest event time that arrived before, less the
-    delay. That running maximum is taken in two steps: maxima of chunks of the arrival order, then inside each chunk.
+    delay; seen is the largest one of before these rows. That running maximum is taken in two steps: maxima of ranges of the
+    arrival order, which hold about as many rows each, then inside each range.
     """
-    d = df.withColumn("_chunk", F.floor(F.col(arrival) / chunk))
-    heads = d.groupBy("_chunk").agg(F.max(secs).alias("_m"))
-    # one row for each chunk: small enough for an ordered window
-    before = heads.select("_chunk", F.max("_m").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    inside = F.max(secs).over(Window.partitionBy("_chunk").orderBy(arrival, secs).rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_inside", inside).join(before, "_chunk")
+    d = in_ranges(df, [arrival, secs], chunk)
+    inside = F.max(secs).over(Window.partitionBy("_p").orderBy(arrival, secs).rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_inside", inside).join(before_range(d, F.max(secs), F.max), "_p")
     last_end = F.col(secs) - F.pmod(F.col(secs), F.lit(slide)) + size
-    seen = F.greatest("_before", "_inside")
-    return d.where(last_end + lateness <= seen - delay).select(*df.columns)
+    so_far = F.greatest("_before", "_inside", F.lit(seen).cast("bigint"))
+    return d.withColumn("late", F.coalesce(last_end + lateness <= so_far - delay, F.lit(False))).select(*df.columns, "late")
+
+
+def late_rows(df: DataFrame, arrival: str, secs: str, size: int, slide: int, delay: int, lateness: int, chunk: int | None = None) -> DataFrame:
+    """Rows all of whose windows were closed when they arrived."""
+    return mark_late(df, arrival, secs, size, slide, delay, lateness, chunk=chunk).where("late").drop("late")
+
+
+def panes(df: DataFrame, secs: Column, size: int, slide: int, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """start_s, end_s, keys, sums for each sliding window with rows in it; each row is added once, to its pane of one slide.
+
+    A pane's sums enter the running sums with the first window that holds it and are taken out again behind the last one.
+    Between two such points the sums stay as they are, and the windows that start there are written out. size is a
+    multiple of slide. Sums of floating-point numbers come out only nearly equal, as what is taken out may not cancel.
+    """
+    if size % slide:
+        raise ValueError("the window's size must be a multiple of its slide")
+    pane = (secs - F.pmod(secs, F.lit(slide))).alias("_pane")
+    p = df.groupBy(pane, *keys).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    names = ["_rows", *sums]
+    change = lambda at, sign: F.struct((F.col("_pane") + at).alias("start_s"), *[(sign * F.coalesce(n, F.lit(0))).alias(n) for n in names])
+    steps = p.select(*keys, F.explode(F.array(change(slide - size, 1), change(slide, -1))).alias("_c")).select(*keys, "_c.*")
+    steps = steps.groupBy(*keys, "start_s").agg(*[F.sum(n).alias(n) for n in names])
+    w = Window.partitionBy(*keys).orderBy("start_s")
+    so_far = [F.sum(n).over(w).alias(n) for n in names]
+    held = steps.select(*keys, "start_s", F.lead("start_s").over(w).alias("_next"), *so_far).where("_rows > 0")
+    out = held.withColumn("start_s", F.explode(F.sequence("start_s", F.col("_next") - slide, F.lit(slide))))
+    return out.select("start_s", (F.col("start_s") + size).alias("end_s"), *keys, *sums)

@@ -31,22 +31,21 @@ SLIDE = "w AS (SELECT k, s - s % 300 - 300 * j AS start_s FROM ev, (SELECT unnes
 
 @query(f"WITH {EV}, {SLIDE} SELECT start_s, start_s + 3600 AS end_s, count(*) AS cnt FROM w GROUP BY ALL")
 def slide_count(spark, d):
-    return _s(windows.windowed(events(spark, d), "ts", "1 hour", "5 minutes", [], [count()]))
+    """Counts by panes of five minutes, each taken out again when it leaves the window."""
+    return windows.panes(events(spark, d), seconds(), 3600, 300, [], {"cnt": F.lit(1)})
 
 
 @query(f"WITH {EV}, {SLIDE}, c AS (SELECT start_s, k, count(*) AS cnt FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY start_s ORDER BY cnt DESC, k) AS rank FROM c) SELECT start_s + 3600 AS end_s, k AS item_id, cnt, rank FROM r WHERE rank <= 3")
 def hot_items(spark, d, behavior=None):
     """Top items of each window; of one kind of event with behavior."""
-    c = windows.windowed(_of(events(spark, d), behavior), "ts", "1 hour", "5 minutes", ["k"], [count()])
-    top = ranking.top_n(c, ["window_start", "window_end"], [F.desc("cnt"), F.col("k")], 3)
-    return _s(top).select("end_s", F.col("k").alias("item_id"), "cnt", "rank")
+    c = windows.panes(_of(events(spark, d), behavior), seconds(), 3600, 300, ["k"], {"cnt": F.lit(1)})
+    return ranking.top_n(c, ["start_s", "end_s"], [F.desc("cnt"), F.col("k")], 3).select("end_s", F.col("k").alias("item_id"), "cnt", "rank")
 
 
 @query(f"WITH {EV}, w AS (SELECT event_type, s - s % 600 - 600 * j AS start_s FROM ev, (SELECT unnest(range(6)) AS j)), c AS (SELECT start_s, event_type, count(*) AS cnt FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY start_s ORDER BY cnt DESC, event_type) AS rank FROM c) SELECT start_s + 3600 AS end_s, event_type AS url, cnt, rank FROM r WHERE rank <= 2")
 def hot_pages(spark, d):
-    c = windows.windowed(events(spark, d), "ts", "1 hour", "10 minutes", ["event_type"], [count()])
-    top = ranking.top_n(c, ["window_start", "window_end"], [F.desc("cnt"), F.col("event_type")], 2)
-    return _s(top).select("end_s", F.col("event_type").alias("url"), "cnt", "rank")
+    c = windows.panes(events(spark, d), seconds(), 3600, 600, ["event_type"], {"cnt": F.lit(1)})
+    return ranking.top_n(c, ["start_s", "end_s"], [F.desc("cnt"), F.col("event_type")], 2).select("end_s", F.col("event_type").alias("url"), "cnt", "rank")
 
 
 @query(f"WITH {EV}, g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600 THEN 0 ELSE 1 END AS n FROM ev), h AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM g) SELECT user_id, min(s) AS start_s, count(*) AS cnt FROM h GROUP BY user_id, g")

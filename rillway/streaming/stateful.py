@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -43,25 +42,23 @@ class InOrder(StatefulProcessor):
         self.rows = handle.getMapState("rows", STRETCH_KEY, self.held_schema)
         self.memory = handle.getValueState("memory", self.memory_schema)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = next(initialState[self.memory_schema.fieldNames()].itertuples(index=False), None)
-        if row is not None:
-            self.memory.update(tuple(v.item() if hasattr(v, "item") else v for v in row))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.memory.update(tuple(initialState[c] for c in self.memory_schema.fieldNames()))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new: dict[int, list[tuple]] = {}
         last = 0
-        for f in rows:
-            for t in zip(*(f[c].astype(object).where(f[c].notna(), None).tolist() for c in self.row_names)):
-                new.setdefault(t[0] // STRETCH, []).append(t)
-                last = max(last, t[0])
+        for r in rows:
+            t = tuple(r[c] for c in self.row_names)
+            new.setdefault(t[0] // STRETCH, []).append(t)
+            last = max(last, t[0])
         for stretch, added in new.items():
             held = self.rows.getValue((stretch,))[0] if self.rows.containsKey((stretch,)) else []
             self.rows.updateValue((stretch,), ([*map(tuple, held), *added],))
         self.handle.registerTimer(last)
-        yield pd.DataFrame([], columns=self.columns, dtype=object)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, due, next_ = timerValues.getCurrentWatermarkInMs(), [], None
         for (stretch,) in sorted(map(tuple, self.rows.keys())):
             if stretch * STRETCH > now:
@@ -84,7 +81,7 @@ class InOrder(StatefulProcessor):
             self.memory.update(memory)
             if wake is not None:
                 self.handle.registerTimer(max(wake, now + 1))
-        yield pd.DataFrame(out, columns=self.columns, dtype=object)
+        return iter([Row(**dict(zip(self.columns, r))) for r in out])
 
     def close(self) -> None:
         pass
@@ -101,7 +98,7 @@ def in_order(events: DataFrame, key: str | list[str], delay: str, step: Step, me
     e = given.withWatermark("ts", delay).select(*keys, "ts", *at, *[c for c in names(row)])
     step_ = InOrder(step, memory, names(out), row)
     start = initial.select(*keys, *names(memory)).groupBy(*keys) if initial is not None else None
-    return e.groupBy(*keys).transformWithStateInPandas(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
+    return e.groupBy(*keys).transformWithState(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
 
 
 def consecutive_fails(events: DataFrame, times: int, within: int, delay: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from rillway.operators.state import latest_by
+from rillway.operators.windows import mark_late
 from rillway.session import SETTINGS
 from rillway.sources.sinks import work_folder
 
@@ -16,27 +19,34 @@ FILES = 2  # of a stretch of arrivals
 CLOSING = "closing"  # the type of a row far behind all others, which lets the watermark pass them
 
 
-def event_stream(spark: SparkSession, sf_dir: str, stretches: int = 4, lag: int = 600, closing: bool = False) -> DataFrame:
-    """The events table as a stream of several micro-batches whose rows arrive up to lag seconds late.
+def arrivals(df: DataFrame, ts: str, late_by: Column, stretches: int = 4, closing: dict[str, Column] | None = None, days: int = 40) -> DataFrame:
+    """A table with an event time ts as a stream of several micro-batches whose rows arrive up to some seconds late.
 
-    The table is written in stretches of arrival time, one after the other, and each becomes a micro-batch. With closing,
-    a row of another type follows far behind, so that a bounded replay ends with every window closed.
+    The table is written in stretches of arrival time, one after the other, and each becomes a micro-batch. With closing, a row with
+    these columns follows some days behind all others, so that a bounded replay ends with every window closed.
     """
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    e = e.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    e = e.withColumn("_arrival", F.unix_seconds("ts") + F.col("event_id") * 7919 % lag)
-    low, high, last = e.agg(F.min("_arrival"), F.max("_arrival"), F.max("ts")).first()
+    spark = df.sparkSession
+    e = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_arrival", F.unix_seconds(F.col(ts).cast("timestamp")) + late_by)
+    low, high, last = e.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts)).first()
     path = work_folder(spark, "arrivals")
     for i in range(stretches if low is not None else 0):
         part = e.where(F.floor((F.col("_arrival") - low) * stretches / (high - low + 1)) == i).drop("_arrival")
-        if closing and i == stretches - 1:
-            end = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 40 DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("k"), F.lit(CLOSING).alias("event_type"))
+        if closing is not None and i == stretches - 1:
+            end = spark.range(1).select((F.lit(last) + F.expr(f"INTERVAL {days} DAYS")).alias(ts), *[c.cast(e.schema[n].dataType).alias(n) for n, c in closing.items()])
             part = part.unionByName(end, allowMissingColumns=True)
         part.repartition(FILES).write.mode("append").parquet(path)
     e.drop("_arrival").limit(0).write.mode("append").parquet(path)
     return spark.readStream.schema(e.drop("_arrival").schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
+def event_stream(spark: SparkSession, sf_dir: str, stretches: int = 4, lag: int = 600, closing: bool = False) -> DataFrame:
+    """The events table as such a stream, its rows up to lag seconds late."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    end = {"event_id": F.lit(-1), "user_id": F.lit(-1), "k": F.lit(-1), "event_type": F.lit(CLOSING)}
+    return arrivals(e, "ts", F.col("event_id") * 7919 % lag, stretches, end if closing else None)
+
+
 def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | None = None) -> DataFrame:
     """Run a stream over what is there; each micro-batch lands in its own folder, so running one again changes nothing.
 
@@ -61,6 +71,71 @@ def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | No
     return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(path)
 
 
+def drain_split(df: DataFrame, mode: str, by: str, values: list[str], place: str | None = None) -> dict[str, DataFrame]:
+    """One stream into several outputs: each micro-batch is computed once, kept, and written for each value of a column."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    path = work_folder(spark, "outputs")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for v in values:
+                batch.where(F.col(by) == v).write.mode("overwrite").parquet(f"{path}/{v}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", place or work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+    for v in values:
+        spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{path}/{v}/batch=-1")
+    return {v: spark.read.schema(schema).parquet(f"{path}/{v}") for v in values}
+
+
+def late_split(events: DataFrame, arrival: str, secs: str, size: int, slide: int, delay: int, lateness: int, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of a stream whose micro-batches come in order of arrival; together they hold every row.
+
+    A row is late if all its windows were closed, by the largest event time that had arrived before it. That maximum is
+    carried from one micro-batch to the next and kept with its number, so that a micro-batch that runs again sees what it saw before. No
+    watermark is set before: Spark would drop the rows that are looked for.
+    """
+    spark, path = events.sparkSession, work_folder(events.sparkSession, "split")
+    top = spark.createDataFrame([], "seen bigint")
+    top.write.parquet(f"{path}/seen/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("seen bigint, batch int").parquet(f"{path}/seen").where(F.col("batch") < number).agg(F.max("seen")).first()[0]
+        batch.persist()
+        try:
+            marked = mark_late(batch, arrival, secs, size, slide, delay, lateness, seen)
+            marked.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={number}")
+            batch.agg(F.max(secs).cast("bigint").alias("seen")).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        finally:
+            batch.unpersist()
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", place or work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], events.schema).withColumn("late", F.lit(False)).write.partitionBy("late").mode("append").parquet(f"{path}/rows/batch=-1")
+    rows = spark.read.schema(StructType([*events.schema.fields, StructField("batch", IntegerType()), StructField("late", BooleanType())])).parquet(f"{path}/rows")
+    return rows.where("NOT late").drop("late"), rows.where("late").drop("late")
+
+
+def looked_up(df: DataFrame, dictionary: Callable[[], DataFrame], on: list[str], how: str = "inner", place: str | None = None) -> DataFrame:
+    """Each micro-batch joined with a dictionary as it is when the micro-batch runs: dictionary() reads it anew.
+
+    Rows that were joined before keep what they got. Returns all rows with the number of their batch.
+    """
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "looked_up")
+    schema = df.limit(0).join(dictionary(), on, how).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.join(dictionary(), on, how).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", place or work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch=-1")
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(path)
+
+
 def each_batch_by_sql(events: DataFrame, sql: str, view: str, schema: str) -> DataFrame:
     """Each micro-batch as a view that SQL reads; all results, with the number of their batch."""
     spark = events.sparkSession
@@ -127,9 +202,3 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     l = left.withWatermark(left_ts, delay).withColumnRenamed(key, "_l")
     r = right.withWatermark(right_ts, delay).withColumnRenamed(key, "_r")
     return l.join(r, F.expr(f"_l = _r AND {right_ts} BETWEEN {left_ts} + INTERVAL {low} AND {left_ts} + INTERVAL {high}")).withColumnRenamed("_l", key).drop("_r")
-
-
-def first_by_key(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """The first row of each key to arrive; the key is forgotten once the watermark passes it by the delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
