@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ def to_console(df: DataFrame, rows: int = 20):
 
 
 def write_routed(df: DataFrame, sink: str, root: str) -> str:
-    """Each row into the folder that one of its columns names."""
-    df.repartition(sink).write.partitionBy(sink).mode("append").parquet(root)
+    """Each row into the folder that one of its columns names. A folder's rows are dealt to as many tasks as they need."""
+    df.hint("rebalance", sink).write.partitionBy(sink).mode("append").parquet(root)
     return root
 
 
@@ -52,8 +53,8 @@ def insert(df: DataFrame, name: str, replace: bool = False) -> None:
 
 
 def write_partitioned(df: DataFrame, by: list[str], path: str, rows_per_file: int = 5_000_000) -> str:
-    """Files by the values of some columns; large values are split by rows_per_file, none is written by every task."""
-    df.repartition(*by).write.partitionBy(*by).option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
+    """Files by the values of some columns. Rebalance splits a value with many rows over tasks and joins small ones, so that none is written by every task."""
+    df.hint("rebalance", *by).write.partitionBy(*by).option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
     return path
 
 
@@ -105,18 +106,85 @@ def jdbc_upsert(url: str, table: str, key: str, version: str, columns: list[str]
     def write(batch: DataFrame, number: int) -> None:
         latest_by(batch.select(*columns), [key], [version]).write.option("batchsize", batch_size).jdbc(url, f"{table}_staged", "overwrite", dict(properties))
         jvm = batch.sparkSession._jvm
-        given = jvm.java.util.Properties()
-        for k, v in properties.items():
-            given.setProperty(k, v)
-        connection = jvm.java.sql.DriverManager.getConnection(url, given)
-        try:
+        with _connection(jvm, url, properties) as connection:
             connection.createStatement().executeUpdate(merge(jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier))
-        finally:
-            connection.close()
 
     return write
 
 
+def jdbc_once(url: str, table: str, query: str, ledger: str = "batches", batch_size: int = 100, **properties: str):
+    """For foreachBatch: rows appended exactly once, with the number of their micro-batch in the same transaction.
+
+    Tasks write the rows to a staging table, which holds one micro-batch at a time. One transaction then copies them into the table
+    and puts the micro-batch's number into the ledger; a number that is there already means that the rows are too, and nothing is
+    written. The ledger, (query, batch), is made at the first call. last_batch() reads where a query stands.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        jvm = batch.sparkSession._jvm
+        quote = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+        with _connection(jvm, url, properties) as connection:
+            _ledger(connection, ledger)
+            if _booked(connection, ledger, query, number):
+                return
+        batch.write.option("batchsize", batch_size).jdbc(url, f"{table}_staged", "overwrite", dict(properties))
+        columns = ", ".join(map(quote, batch.columns))
+        with _connection(jvm, url, properties) as connection:
+            if not connection.getMetaData().getTables(None, None, table.upper(), None).next() and not connection.getMetaData().getTables(None, None, table, None).next():
+                batch.limit(0).write.jdbc(url, table, "append", dict(properties))
+            connection.setAutoCommit(False)
+            try:
+                # the ledger's row comes first: its key keeps a second writer of the same micro-batch out
+                booking = connection.prepareStatement(f"INSERT INTO {ledger} (query, batch) VALUES (?, ?)")
+                booking.setString(1, query)
+                booking.setLong(2, number)
+                booking.executeUpdate()
+                connection.createStatement().executeUpdate(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {table}_staged")
+                connection.commit()
+            except BaseException:
+                connection.rollback()
+                raise
+
+    return write
+
+
+def last_batch(spark: SparkSession, url: str, query: str, ledger: str = "batches", **properties: str) -> int | None:
+    """The largest number of a query's micro-batches whose rows are written."""
+    with _connection(spark._jvm, url, properties) as connection:
+        _ledger(connection, ledger)
+        asked = connection.prepareStatement(f"SELECT MAX(batch) FROM {ledger} WHERE query = ?")
+        asked.setString(1, query)
+        found = asked.executeQuery()
+        found.next()
+        top = found.getLong(1)
+        return None if found.wasNull() else top
+
+
+@contextmanager
+def _connection(jvm, url: str, properties: dict[str, str]):
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        yield connection
+    finally:
+        connection.close()
+
+
+def _ledger(connection, ledger: str) -> None:
+    there = connection.getMetaData()
+    if not any(there.getTables(None, None, name, None).next() for name in (ledger, ledger.upper())):
+        connection.createStatement().executeUpdate(f"CREATE TABLE {ledger} (query VARCHAR(200) NOT NULL, batch BIGINT NOT NULL, PRIMARY KEY (query, batch))")
+
+
+def _booked(connection, ledger: str, query: str, number: int) -> bool:
+    asked = connection.prepareStatement(f"SELECT 1 FROM {ledger} WHERE query = ? AND batch = ?")
+    asked.setString(1, query)
+    asked.setLong(2, number)
+    return asked.executeQuery().next()
+
+
 def to_kafka(df: DataFrame, servers: str, topic: str | Column, key: str | None = None, checkpoint: str | None = None):
     """Rows as JSON, keyed by a column; topic is a name, or a column that names each row's. Spark delivers at least once: readers fold by key."""
     value = df.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), (topic if isinstance(topic, Column) else F.lit(topic)).alias("topic"))

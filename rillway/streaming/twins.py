@@ -47,10 +47,11 @@ def event_stream(spark: SparkSession, sf_dir: str, stretches: int = 4, lag: int
     return arrivals(e, "ts", F.col("event_id") * 7919 % lag, stretches, end if closing else None)
 
 
-def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | None = None) -> DataFrame:
+def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | None = None, only_data: bool = False) -> DataFrame:
     """Run a stream over what is there; each micro-batch lands in its own folder, so running one again changes nothing.
 
     place is a checkpoint to go on from; interval triggers micro-batches of a running stream instead of draining one.
+    only_data runs no micro-batches without rows: with state of processing time Spark would start them for ever.
     Returns all rows with the number of their batch.
     """
     spark = df.sparkSession
@@ -60,8 +61,11 @@ def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | No
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    trigger, setting = {"processingTime": interval} if interval else {"availableNow": True}, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(not only_data).lower())
     q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", place).trigger(**trigger).start()
+    spark.conf.set(setting, before)  # the query has its own copy
     if interval:
         q.processAllAvailable()
         q.stop()
