@@ -51,7 +51,7 @@ def locate(render: Callable[[Messages], str], messages: Messages) -> tuple[str,
     Returns the whole text, each turn's span, the span of each turn's own text inside it, and whether the template
     rewrote what it had written for earlier turns (their spans then start where the two outputs part).
     The text's span comes from rendering the same prefix with a sentinel in its place, so nothing is assumed about
-    the template's marks.
+    the template's marks. If earlier turns are rewritten, every text is located once more in the whole output.
     """
     before, turns, bodies, rewrites = "", [], [], False
     for k, (role, _) in enumerate(messages):
@@ -68,6 +68,15 @@ def locate(render: Callable[[Messages], str], messages: Messages) -> tuple[str,
         turns.append((start, len(now)))
         bodies.append((at, len(now) - (len(probe) - at - len(mark))) if at >= 0 else (len(now), len(now)))
         before = now
+    if rewrites:  # earlier texts may have moved: each is located again in the last rendering
+        bodies = []
+        for k, (role, _) in enumerate(messages):
+            mark = SENTINEL
+            while mark in before:
+                mark += SENTINEL
+            probe = render([*messages[:k], (role, mark), *messages[k + 1 :]])
+            at = probe.find(mark)
+            bodies.append((at, len(before) - (len(probe) - at - len(mark))) if at >= 0 else (len(before), len(before)))
     return before, turns, bodies, rewrites
 
 

@@ -265,7 +265,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Words are runs of characters other than space and \\t-\\r with A-Z lower-cased; a document's set holds its distinct
     n-word shingles, or all its words as one if there are fewer. Two documents link when 100 * intersection >=
-    percent * union. component_id is the smallest doc_id reachable by links, the document's own included (null doc_ids
+    percent * union (percent from 50 to 100). component_id is the smallest doc_id reachable by links, the document's own included (null doc_ids
     count as the largest); n_links counts linked different sets. Null and empty texts, and texts without a word, have no
     shingles, no links and a component of their own. Rows with equal sets are one class: they share a component; a
     repeated row is a document like any other. An empty table gives an empty result, other columns are not looked at.
@@ -285,6 +285,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     A set is sent once for each block of its own cluster; clusters of one block travel together.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies from 50 to 100: bitmaps compare sets whose sizes differ by a factor of two at most")
     spark = docs.sparkSession
     work = Work(spark)
     bound = np.uint64(int(SAMPLE * 2**64))

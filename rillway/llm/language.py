@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, WIDTH, LONGEST = 1 << 13, 16, 4
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _TO_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SEED = np.uint32(0x9E3779B1)
 

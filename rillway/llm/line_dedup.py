@@ -48,7 +48,8 @@ def line_places(work: Work, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = work.cut(given.join(F.broadcast(parts), part == F.col("part")).select(*KEY, "lines", number.alias("number")), "numbered")
     work.drop("sorted")
     exploded = numbered.select("number", F.posexplode("lines").alias("i", "line"))
-    return numbered.select(*KEY, "number"), exploded.select((F.shiftleft("number", LINE_BITS) + F.col("i")).alias("p"), "line.*")
+    place = F.when(F.col("i") < 1 << LINE_BITS, F.shiftleft("number", LINE_BITS) + F.col("i")).otherwise(F.raise_error(F.lit(f"a text has more than {1 << LINE_BITS} worded lines")))
+    return numbered.select(*KEY, "number"), exploded.select(place.alias("p"), "line.*")
 
 
 def _intervals(classes: DataFrame, order: list[str], chunk: Column) -> DataFrame:
@@ -148,7 +149,7 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int =
     text hash and line, and that has min_lines lines or more, or min_words words or more; copies inside one document
     count. Lines without a word are not part of runs and stay. Null text counts as empty and gives clean_text "". Rows
     equal in doc_id and text are one document and get the same result. Lines are compared by 128-bit hashes. Texts are
-    taken whole, whatever their length; an empty table gives an empty result. Other columns pass through, of any name;
+    taken whole, up to 2^26 worded lines each (more are refused); an empty table gives an empty result. Other columns pass through, of any name;
     columns named like the three new ones give way.
     """
     marks = repeated_runs(docs, min_lines, min_words)

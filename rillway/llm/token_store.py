@@ -29,6 +29,8 @@ _HEAD = struct.Struct("<6sBBQQQq")  # magic, id width, flags, documents, null do
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]{1,99}$"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: place of each set bit of a byte
+_SET_BIT = np.array([([b for b in range(8) if i >> b & 1] + [0] * 8)[:8] for i in range(256)], np.int64)
 
 
 class EliasFano:
@@ -81,6 +83,23 @@ class EliasFano:
             low |= (int(self.low[at + k >> 3]) >> (at + k & 7) & 1) << k
         return high << self.low_bits | low
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at many places: the samples say where to start, counts of set bits by byte lead to the byte, a table into it."""
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError(int(i.max()))
+        start = self.samples[i // SAMPLE].astype(np.int64) >> 3
+        upto = np.concatenate([[0], np.cumsum(_ONES[self.high], dtype=np.int64)])
+        # the byte with the (i + 1)-th set bit lies at or behind the sample's
+        byte = np.maximum(start, np.searchsorted(upto, i, side="right") - 1)
+        high = byte * 8 + _SET_BIT[self.high[byte], i - upto[byte]] - i
+        out = high.astype(np.uint64) << np.uint64(self.low_bits)
+        for k in range(self.low_bits):
+            at = i * self.low_bits + k
+            out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(k)
+        return out
+
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
@@ -156,6 +175,8 @@ class WordTokenizer:
         # ids that end a word; words of letters can then be encoded in one call, joined by spaces, and told apart
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        #: found in texts as they are, before they are lower-cased
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known = known
         self._keep({"": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64))
 
@@ -212,7 +233,15 @@ class WordTokenizer:
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
         if len(self.slots) > self.known:
             self._forget()
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        given = pa.array(texts, pa.large_string())
+        lower = pc.ascii_lower(given)
+        last = struct.pack("<I", end)
+        # where lower-casing makes or hides an added token, the text's parts are not what the library sees
+        odd = np.zeros(len(texts), bool)
+        for token in self.added:
+            odd |= np.asarray(pc.not_equal(pc.count_substring(lower, token), pc.count_substring(given, token)))
+        whole = {i: np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + last for i in np.flatnonzero(odd).tolist()}
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", lower))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         # marks behind a word of letters are a part of their own
@@ -224,8 +253,7 @@ class WordTokenizer:
         sizes = self.sizes[each]
         ids = self.flat[_spans(self.starts[each], sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])[2 * lists.offsets.to_numpy()].tolist()
-        last = struct.pack("<I", end)
-        return [ids[a:b].tobytes() + last for a, b in zip(upto, upto[1:])]
+        return [whole[i] if i in whole else ids[a:b].tobytes() + last for i, (a, b) in enumerate(zip(upto, upto[1:]))]
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -290,7 +318,7 @@ def read_store(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 f = TokenFile(raw.as_py())
-                ends = f.ends.all().astype(np.int64)
+                ends = f.ends.select_many(np.arange(f.n)).astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 wide = f.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:e]) for a, e in zip(starts, ends)]
@@ -304,7 +332,11 @@ def read_store(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, tokenizer: str, end: int, path: str | None = None) -> DataFrame:
-    """Write docs as token files under path (a new shared folder if none is given) and read them back."""
+    """Write docs as token files under path (a new shared folder if none is given) and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id alone; texts are taken whole, however long. Rows that share a doc_id, or have none, are documents
+    of their own, null doc_ids first; equal rows are stored each. An empty table gives an empty result. Other columns are not looked at.
+    """
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
