@@ -19,7 +19,7 @@ from rillway.llm.jaccard import components
 
 MOST_NUMBERS = 4_000_000  # in all centres: what tasks get with their code
 FIT_ROWS = 100_000  # vectors that centres are fitted on, about
-CELL = 1024  # vectors of a cell at least, on average: smaller products cost more in visitors than they save
+SPREAD = 4  # a cell has about so many times sqrt(n) vectors: smaller cells cost more in visitors than they save in products
 BLOCK = 4096  # vectors on each side of a product
 SLACK = 1e-6  # radians granted to rounding, where cells are ruled out
 
@@ -117,8 +117,8 @@ def _products(width: int, least: float):
 
 
 def _fitted(classes: DataFrame, n: int, width: int) -> np.ndarray:
-    """Centres of cells of about sqrt(n) vectors and at least CELL, by spherical k-means on a sample of FIT_ROWS chosen by hash. Every vector is assigned later."""
-    k = max(1, min(round(n / CELL), round(math.sqrt(n)), MOST_NUMBERS // width))
+    """Centres of cells of about SPREAD * sqrt(n) vectors, by spherical k-means on a sample of FIT_ROWS chosen by hash. Every vector is assigned later."""
+    k = max(1, min(round(math.sqrt(n) / SPREAD), MOST_NUMBERS // width))
     if k == 1:
         return np.eye(1, width)
     some = classes.where(F.pmod("h1", F.lit(1 << 20)) <= (1 << 20) * FIT_ROWS // n) if n > FIT_ROWS else classes
