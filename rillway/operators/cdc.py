@@ -39,6 +39,17 @@ def apply_changes(feed: DataFrame, key: str, seq: str, kind: str = "type", delet
     return latest_by(feed, [key], [seq]).where(F.col(kind) != delete)
 
 
+def handover(snapshot: DataFrame, feed: DataFrame, position: int, seq: str = "seq", kind: str = "type", insert: str = "insert") -> DataFrame:
+    """A snapshot as inserts, then the changes of the feed behind the position at which it was taken.
+
+    What the feed still holds of before that position is in the snapshot already, and goes; nothing is missed, as the
+    feed is read from the position on or from earlier. feed may be a stream, the snapshot's rows then come before it.
+    """
+    start = snapshot.withColumn(kind, F.lit(insert)).withColumn(seq, F.lit(position).cast(feed.schema[seq].dataType))
+    later = feed.where(F.col(seq) > position)
+    return later if feed.isStreaming else start.select(*feed.columns).unionByName(later)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """old with the rows of new put in by key; the larger version wins, new on ties."""
     both = old.withColumn("_g", F.lit(0)).unionByName(new.withColumn("_g", F.lit(1)))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rillway.adapters import change_feed, events, table
 from rillway.operators import cdc, ranking
-from rillway.registry import FEED, query
+from rillway.registry import FEED, ORACLES, query
 from rillway.sources import sinks
+from rillway.streaming import twins
 
 def _flat():
     return [F.col("data")["id"].cast("bigint").alias("id"), F.col("data")["status"].alias("status"), "type", "seq"]
@@ -168,3 +169,26 @@ def src_formats(spark, d):
     parts = F.split("value", " ")
     e = spark.read.text(path).select(parts[0].cast("bigint").alias("event_id"), parts[1].alias("event_type"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(ORACLES["cdc_apply"])
+def cdc_handover(spark, d):
+    """A snapshot of the table at the middle of its feed, then the rest of the feed."""
+    feed = change_feed(spark, d).select(*_flat())
+    middle = feed.agg(F.floor(F.avg("seq"))).first()[0] or 0
+    snapshot = cdc.apply_changes(feed.where(F.col("seq") <= middle), "id", "seq").select("id", "status")
+    return cdc.apply_changes(cdc.handover(snapshot, feed, middle), "id", "seq").select("id", "status")
+
+
+@query(ORACLES["cdc_apply"])
+def stream_cdc_handover(spark, d):
+    """The same with the feed as a stream, read from its start, into an upserting table that the snapshot fills first."""
+    feed = change_feed(spark, d).select(*_flat(), "ts")
+    middle = feed.agg(F.floor(F.avg("seq"))).first()[0] or 0
+    snapshot = cdc.apply_changes(feed.where(F.col("seq") <= middle).drop("ts"), "id", "seq").select("id", "status")
+    path = sinks.work_folder(spark, "handed_over")
+    sinks.upsert_batch(path, "id", "seq")(cdc.handover(snapshot, feed.drop("ts").where("false"), middle), -1)
+    stream = twins.arrivals(feed, "ts", F.col("seq") * 7919 % 86400)
+    later = cdc.handover(snapshot, stream.drop("ts"), middle)
+    later.writeStream.foreachBatch(sinks.upsert_batch(path, "id", "seq")).option("checkpointLocation", sinks.work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id bigint, status string, type string, seq bigint, bucket int").parquet(path).where("type <> 'delete'").select("id", "status")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.adapters import events, page_log, seconds
-from rillway.operators import joins, patterns
-from rillway.registry import EV, PG, query
+from rillway.operators import joins, patterns, sequences
+from rillway.registry import EV, ORACLES, PG, query
 
 DAY = 86400
 ORDER = ["ts", "event_id"]
@@ -76,3 +76,23 @@ def pat_not_followed(spark, d):
     e = events(spark, d).withColumn("s", seconds())
     out = patterns.followed_by(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "s", "s", DAY)
     return out.where("then_s IS NULL").select("user_id", F.col("first_s").alias("view_s"))
+
+
+@query(ORACLES["login_fail3"])
+def pattern_fail3(spark, d):
+    """Three failures in a row within a day, as a stage that is strictly repeated."""
+    e = events(spark, d).withColumn("s", seconds())
+    # ids in the order of time, so that rows of one second keep it
+    ordered = e.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000 * 1_000_000_000 + F.col("event_id"))
+    fails = sequences.Stage(F.col("event_type") == "error", times=(3, 3), again=sequences.STRICT)
+    return sequences.detect(ordered, "user_id", "at", "s", [fails], 86400).select("user_id", "first_s", "last_s")
+
+
+@query(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS i FROM ev), b AS (SELECT a.user_id, a.i, a.s, a.event_id AS a_id, min(b.i) AS j FROM n a JOIN n b ON b.user_id = a.user_id AND b.i > a.i AND b.event_type IN ('view', 'click') WHERE a.event_type = 'signup' GROUP BY ALL)
+ SELECT b.user_id, b.s AS first_s, c.s AS last_s, a_id, m.event_id AS b_id, c.event_id AS c_id FROM b JOIN n m ON m.user_id = b.user_id AND m.i = b.j JOIN n c ON c.user_id = b.user_id AND c.i > b.j AND c.event_type = 'purchase' AND c.s - b.s <= 172800""")
+def pattern_funnel(spark, d):
+    """A signup, the next view or click after it, then each purchase within two days of the signup."""
+    kind = lambda *k: F.col("event_type").isin(*k)
+    stages = [sequences.Stage(kind("signup")), sequences.Stage(kind("view") | kind("click")), sequences.Stage(kind("purchase"), after=sequences.ANY)]
+    out = sequences.detect(events(spark, d).withColumn("s", seconds()), "user_id", "event_id", "s", stages, 172800)
+    return out.select("user_id", "first_s", "last_s", *[F.col("ids")[i].alias(f"{n}_id") for i, n in enumerate("abc")])

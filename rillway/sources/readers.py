@@ -16,9 +16,17 @@ def kafka(spark: SparkSession, servers: str, topics: list[str], start: str = "la
 
 
 def with_position(records: DataFrame) -> DataFrame:
-    """value (a flat JSON object) with the record's partition and offset put into it; null and empty values dropped."""
-    at = F.create_map(F.lit("partition"), F.col("partition").cast("string"), F.lit("offset"), F.col("offset").cast("string"))
-    return records.where("value <> ''").select(F.to_json(F.map_concat(F.from_json("value", "map<string,string>"), at)).alias("value"))
+    """value (a JSON object) with the record's partition and offset put into it; null and empty values dropped.
+
+    The object's text stays as it is, so that numbers and nested values keep their types. A value that is no JSON object is
+    passed on unchanged.
+    """
+    text = F.rtrim("value")
+    at = F.format_string('"partition":"%s","offset":"%s"}', F.col("partition").cast("string"), F.col("offset").cast("string"))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    body = F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - 1))
+    put = F.concat(body, F.when(body.endswith("{") & (F.ltrim(body) == "{"), "").otherwise(","), at)
+    return records.where("value <> ''").select(F.when(is_object, put).otherwise(F.col("value")).alias("value"))
 
 
 def generated(spark: SparkSession, rows: int, seed: int = 42, per_second: int | None = None) -> DataFrame:
