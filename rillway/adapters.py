@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+def fresh_name() -> str:
+    """A name for a view or table of which a second run in the same session takes another."""
+    return f"rillway_{uuid.uuid4().hex}"
+
+
 def seconds(c: str = "ts"):
     """Whole seconds since 1970 of a time without zone."""
     return F.unix_timestamp(F.col(c).cast("timestamp"))

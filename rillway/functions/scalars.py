@@ -125,6 +125,26 @@ def math_columns(lines: DataFrame) -> DataFrame:
     )
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A number in [0, 1) for each key and seed, evenly spread; unlike rand(seed) it doesn't depend on how rows are dealt to tasks. Null for a null key."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+
+
+def seeded_between(key: Column, seed: int, low: int, high: int) -> Column:
+    """A whole number from low to high, both in."""
+    return (F.floor(seeded(key, seed) * (high - low + 1)) + low).cast("bigint")
+
+
+def seeded_choice(key: Column, seed: int, shares: dict[str, float]) -> Column:
+    """One of the names, each as often as its share of all shares; the last for a null key."""
+    roll, names, total, below = seeded(key, seed), list(shares), sum(shares.values()), 0.0
+    out = None
+    for name in names[:-1]:
+        below += shares[name] / total
+        out = F.when(roll < below, name) if out is None else out.when(roll < below, name)
+    return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
+
+
 def json_columns(events: DataFrame) -> DataFrame:
     row = F.from_json("props", "k bigint, missing string")
     named = F.map_from_arrays(F.array(F.lit("type")), F.array("event_type"))

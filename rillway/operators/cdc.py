@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.operators.parsing import prune_map
 from rillway.operators.state import latest_by
+from rillway.sources.sinks import upsert_batch
 
 
 def normalize(records: DataFrame, databases: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
@@ -50,10 +51,10 @@ def handover(snapshot: DataFrame, feed: DataFrame, position: int, seq: str = "se
     return later if feed.isStreaming else start.select(*feed.columns).unionByName(later)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], version: str) -> DataFrame:
     """old with the rows of new put in by key; the larger version wins, new on ties."""
     both = old.withColumn("_g", F.lit(0)).unionByName(new.withColumn("_g", F.lit(1)))
-    return latest_by(both, [key], [version, "_g"]).drop("_g")
+    return latest_by(both, [key] if isinstance(key, str) else key, [version, "_g"]).drop("_g")
 
 
 def route_dimensions(feed: DataFrame, config: DataFrame) -> DataFrame:
@@ -64,3 +65,19 @@ def route_dimensions(feed: DataFrame, config: DataFrame) -> DataFrame:
     """
     c = config.withColumnRenamed("source_table", "table")
     return feed.join(c, "table").select("sink_table", "sink_pk", "type", prune_map(F.col("data"), F.col("sink_columns")).alias("data"), "seq")
+
+
+def dimension_rows(routed: DataFrame) -> DataFrame:
+    """Routed changes with the value of the key that their sink is keyed by: sink_table, pk, type, data, seq; rows without that value go."""
+    return routed.select("sink_table", F.try_element_at("data", F.col("sink_pk")).alias("pk"), "type", "data", "seq").where("pk IS NOT NULL")
+
+
+def write_dimensions(root: str):
+    """For foreachBatch, over dimension_rows: each row put into the table that it names, by its key; a delete stays as a mark, so that an older change that comes late doesn't bring the row back."""
+    return upsert_batch(root, "pk", "seq", within=["sink_table"])
+
+
+def read_dimensions(spark: SparkSession, root: str) -> DataFrame:
+    """What the tables under root hold: sink_table, pk, data. A filter on sink_table reads that table's folder alone."""
+    rows = spark.read.schema("sink_table string, pk string, type string, data map<string,string>, seq bigint, of int, bucket int").parquet(root)
+    return rows.where("type <> 'delete'").select("sink_table", "pk", "data")

@@ -75,6 +75,23 @@ def cogroup(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str) ->
     return x.join(y, key, "full").select(key, F.coalesce("left", F.array()).alias("left"), F.coalesce("right", F.array()).alias("right"))
 
 
+def cogroup_parts(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str, size: int = 10_000) -> DataFrame:
+    """cogroup for keys of any number of rows: key, part (from 0), left, right; part i holds the sorted values i * size and on of each side.
+
+    Values are numbered by ranges of (key, value), so that no task gathers a key and no row holds more than size values of a side;
+    equal values are dealt over several ranges. Null values are left out, as collect_list does; null keys match nothing.
+    """
+
+    def side(df: DataFrame, value: str, name: str) -> DataFrame:
+        rows = numbered(df.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.rand(7).alias("_u")).where("_v IS NOT NULL"), ["_k", "_v", "_u"])
+        first = rows.groupBy(F.col("_k").alias("_f")).agg(F.min("idx").alias("_low"))
+        rows = rows.join(first, F.col("_k").eqNullSafe(F.col("_f"))).withColumn("part", F.floor((F.col("idx") - F.col("_low")) / size))
+        return rows.groupBy(F.col("_k").alias(key), "part").agg(F.sort_array(F.collect_list("_v")).alias(name))
+
+    both = side(a, value_a, "left").join(side(b, value_b, "right"), [key, "part"], "full")
+    return both.select(key, "part", F.coalesce("left", F.array()).alias("left"), F.coalesce("right", F.array()).alias("right"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Rows numbered in order from 0, without one task seeing them all: counts of ranges, then places inside each."""
     parts = in_ranges(df, order)

@@ -66,6 +66,7 @@ def version_gate(df: DataFrame, version: str, major: int = 11, minor: int = 6) -
 
 
 def type_tag(body: Column, word: str = "start") -> Column:
+    """word where the body holds it, event otherwise and for a null body."""
     return F.when(F.contains(body, F.lit(word)), word).otherwise("event")
 
 

@@ -156,7 +156,7 @@ def distinct(spark, d):
 @query("SELECT l_orderkey, count(*) AS n, 1::BIGINT AS parts FROM lineitem GROUP BY 1")
 def partition_sizes(spark, d):
     """Rows of each key after dealing by key, and in how many partitions they lie."""
-    p = table(spark, d, "lineitem").select("l_orderkey").repartition(8, "l_orderkey").withColumn("part", F.spark_partition_id())
+    p = table(spark, d, "lineitem").select("l_orderkey").repartition("l_orderkey").withColumn("part", F.spark_partition_id())
     return p.groupBy("l_orderkey", "part").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
 
 
@@ -172,7 +172,7 @@ def map_partitions(spark, d):
                 seen[flag] = n + len(g), max(top, int(g.max()))
         yield pd.DataFrame([(k, n, top) for k, (n, top) in seen.items()], columns=["flag", "n", "top"])
 
-    part = table(spark, d, "lineitem").select("l_returnflag", "l_partkey").coalesce(4).mapInPandas(fold, "flag string, n bigint, top bigint")
+    part = table(spark, d, "lineitem").select("l_returnflag", "l_partkey").mapInPandas(fold, "flag string, n bigint, top bigint")
     return part.groupBy("flag").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 

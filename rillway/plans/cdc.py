@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillway.adapters import change_feed, events, table
+from rillway.adapters import change_feed, events, fresh_name, table
 from rillway.operators import cdc, ranking
 from rillway.registry import FEED, ORACLES, query
 from rillway.sources import sinks
@@ -70,10 +70,10 @@ def dim_route(spark, d):
 
 @query(f"WITH {FEED}, l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM feed) SELECT 'dim_order' AS sink_table, id, status FROM l WHERE n = 1 AND type <> 'delete'")
 def dim_upsert(spark, d):
-    r = cdc.route_dimensions(change_feed(spark, d), _config(spark))
-    f = r.select("sink_table", F.col("data")["id"].cast("bigint").alias("id"), F.col("data")["status"].alias("status"), "type", "seq")
-    last = f.groupBy("sink_table", "id").agg(F.max_by(F.struct("status", "type"), "seq").alias("r"))
-    return last.where("r.type <> 'delete'").select("sink_table", "id", "r.status")
+    """Each change put into the table that its row names, read back from there."""
+    root = sinks.work_folder(spark, "dimensions")
+    cdc.write_dimensions(root)(cdc.dimension_rows(cdc.route_dimensions(change_feed(spark, d), _config(spark))), 0)
+    return cdc.read_dimensions(spark, root).select("sink_table", F.col("pk").cast("bigint").alias("id"), F.try_element_at("data", F.lit("status")).alias("status"))
 
 
 @query(f"WITH {FEED} SELECT 'dwd_order_info_' || type AS sink, id, seq FROM feed")
@@ -96,13 +96,12 @@ def sink_partitioned(spark, d):
 def compact_partition(spark, d):
     """Small files of each day rewritten as one; the rows are the same."""
     e = events(spark, d).select("event_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("dt"))
-    path = sinks.write_partitioned(e.repartition(4), ["dt"], sinks.work_folder(spark, "small"))
+    path = sinks.write_partitioned(e.repartition("event_id"), ["dt"], sinks.work_folder(spark, "small"))
     return spark.read.schema("event_id bigint, event_type string, dt string").parquet(sinks.compact(spark, path, ["dt"], sinks.work_folder(spark, "large")))
 
 
 def _new_table(spark):
-    path = sinks.work_folder(spark, "table")
-    return "rillway_" + path.rsplit("-", 1)[1], path
+    return fresh_name(), sinks.work_folder(spark, "table")
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -119,8 +118,11 @@ def src_table(spark, d):
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def src_view(spark, d):
     """A view registered under a name and read by SQL."""
-    events(spark, d).createOrReplaceTempView("rillway_events")
-    return spark.sql("SELECT user_id, count(*) AS n FROM rillway_events WHERE event_type = 'view' GROUP BY user_id")
+    name = fresh_name()
+    events(spark, d).createOrReplaceTempView(name)
+    n = spark.sql(f"SELECT user_id, count(*) AS n FROM {name} WHERE event_type = 'view' GROUP BY user_id")
+    spark.catalog.dropTempView(name)
+    return n
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y%m') AS dt FROM orders)
@@ -190,5 +192,5 @@ def stream_cdc_handover(spark, d):
     sinks.upsert_batch(path, "id", "seq")(cdc.handover(snapshot, feed.drop("ts").where("false"), middle), -1)
     stream = twins.arrivals(feed, "ts", F.col("seq") * 7919 % 86400)
     later = cdc.handover(snapshot, stream.drop("ts"), middle)
-    later.writeStream.foreachBatch(sinks.upsert_batch(path, "id", "seq")).option("checkpointLocation", sinks.work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id bigint, status string, type string, seq bigint, bucket int").parquet(path).where("type <> 'delete'").select("id", "status")
+    twins.upserted(later, sinks.upsert_batch(path, "id", "seq"))
+    return spark.read.schema("id bigint, status string, type string, seq bigint, of int, bucket int").parquet(path).where("type <> 'delete'").select("id", "status")

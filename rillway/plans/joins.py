@@ -94,6 +94,18 @@ def cogroup(spark, d):
     return g.select("nation", F.array_join("left", ",").alias("left"), F.array_join("right", ",").alias("right"))
 
 
+@query("""WITH s AS (SELECT l_suppkey AS k, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1) // 50 AS part, l_partkey AS v FROM lineitem),
+ e AS (SELECT user_id AS k, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 AS part, event_id AS v FROM events),
+ l AS (SELECT k, part, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS l FROM s GROUP BY ALL), r AS (SELECT k, part, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS r FROM e GROUP BY ALL)
+ SELECT coalesce(l.k, r.k) AS key, coalesce(l.part, r.part) AS part, coalesce(l, '') AS "left", coalesce(r, '') AS "right" FROM l FULL JOIN r ON l.k = r.k AND l.part = r.part""")
+def cogroup_parts(spark, d):
+    """The parts that each supplier ships beside the events of the user of the same number, fifty of each in a row."""
+    parts = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "key")
+    seen = table(spark, d, "events").withColumnRenamed("user_id", "key")
+    g = joins.cogroup_parts(parts, seen, "key", "l_partkey", "event_id", 50)
+    return g.select("key", "part", F.array_join("left", ",").alias("left"), F.array_join("right", ",").alias("right"))
+
+
 @query("SELECT r_name, n_name FROM region, nation")
 def cross_join(spark, d):
     """A product of two dimension tables of fixed size, the only kind of table it is meant for."""

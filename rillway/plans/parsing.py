@@ -161,9 +161,9 @@ def version_gate(spark, d):
     return parsing.version_gate(e, "version").select("event_id", "version")
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(text, 'st') THEN 'st' ELSE 'event' END AS tag FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, CASE WHEN contains(text, 'st') THEN 'st' ELSE 'event' END AS tag FROM conversations")
 def type_tag(spark, d):
-    return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", parsing.type_tag(F.col("text"), "st").alias("tag"))
+    return table(spark, d, "conversations").select("conv_id", "turn", parsing.type_tag(F.col("text"), "st").alias("tag"))
 
 
 @query(f"""WITH {EV}, l AS (SELECT event_id, '1.' || (user_id % 3) AS v, event_type, CAST(k AS VARCHAR) AS k, strftime(ts, '%Y%m%d') AS dt, n_name AS province FROM ev LEFT JOIN nation ON n_nationkey = user_id % 40)
@@ -241,8 +241,7 @@ def fn_merge(spark, d):
 def udtf_split(spark, d):
     """A table function registered for SQL, in both of its forms."""
     scalars.register_table_functions(spark)
-    table(spark, d, "part").createOrReplaceTempView("rillway_part")
-    return spark.sql("SELECT p_partkey, w.word, w.n FROM rillway_part, LATERAL split_words(p_name) w UNION ALL SELECT p_partkey, w.word, w.n FROM rillway_part, LATERAL split_words(p_name, 4) w")
+    return spark.sql("SELECT p_partkey, w.word, w.n FROM {part}, LATERAL split_words(p_name) w UNION ALL SELECT p_partkey, w.word, w.n FROM {part}, LATERAL split_words(p_name, 4) w", part=table(spark, d, "part"))
 
 
 @query("""SELECT c_custkey, 'v' || c_custkey AS looked_up, '138****' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS masked, c_name AS trimmed, 'a b' AS cleaned, 'x=1&y z' AS decoded,
@@ -257,6 +256,14 @@ def fn_math(spark, d):
     return scalars.math_columns(table(spark, d, "lineitem"))
 
 
+@query("""WITH r AS (SELECT o_orderkey, CAST('0x' || substr(md5(o_orderkey || ':7'), 1, 8) AS BIGINT) / 4294967296.0 AS share, CAST('0x' || substr(md5(o_orderkey || ':8'), 1, 8) AS BIGINT) / 4294967296.0 AS other FROM orders)
+ SELECT o_orderkey, share, CAST(1 + floor(other * 6) AS BIGINT) AS die, CASE WHEN other < 0.5 THEN 'a' WHEN other < 0.8 THEN 'b' ELSE 'c' END AS picked FROM r""")
+def fn_random(spark, d):
+    """Numbers that look random and are the same for a key and seed in every run, however the rows are dealt."""
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", scalars.seeded(key, 7).alias("share"), scalars.seeded_between(key, 8, 1, 6).alias("die"), scalars.seeded_choice(key, 8, {"a": 0.5, "b": 0.3, "c": 0.2}).alias("picked"))
+
+
 @query(f"WITH {EV} SELECT event_id, k, '{{\"k\":' || k || '}}' AS dropped, '{{\"k\":' || k || ',\"missing\":null}}' AS kept, event_type AS named FROM ev")
 def fn_json(spark, d):
     return scalars.json_columns(table(spark, d, "events"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rillway.adapters import change_feed, page_log
+from rillway.adapters import change_feed, fresh_name, page_log
+from rillway.operators import cdc
 from rillway.operators.ranking import top_n
 from rillway.operators.state import latest_by, repair_is_new
 from rillway.operators.windows import floored
 from rillway.plans.windows import LATE
 from rillway.registry import EV, FEED, ORACLES, query
+from rillway.sources.sinks import work_folder
 from rillway.streaming import keyed, stateful, twins
 
 
@@ -92,7 +94,7 @@ def stream_state_count(spark, d):
 @query("SELECT event_type AS word, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
 def stream_batch_sql(spark, d):
     """Counts of each micro-batch by SQL over a view, added up."""
-    rows = twins.each_batch_by_sql(twins.event_stream(spark, d), "SELECT event_type AS word, count(*) AS n FROM rillway_batch WHERE event_type <> 'error' GROUP BY 1", "rillway_batch", "word string, n bigint")
+    rows = twins.each_batch_by_sql(twins.event_stream(spark, d), "SELECT event_type AS word, count(*) AS n FROM {batch} WHERE event_type <> 'error' GROUP BY 1", "word string, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -107,8 +109,9 @@ def stream_union_count(spark, d):
 def stream_sql_table(spark, d):
     """A named stream with a time column that is computed and watermarked, read by SQL."""
     e = twins.event_stream(spark, d).withColumn("at", F.unix_micros("ts")).drop("ts")
-    e.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes").createOrReplaceTempView("rillway_stream")
-    g = spark.sql("SELECT window AS w, event_type, count(*) AS cnt FROM rillway_stream GROUP BY window(ts, '1 hour'), event_type")
+    e.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes").createOrReplaceTempView(name := fresh_name())
+    g = spark.sql(f"SELECT window AS w, event_type, count(*) AS cnt FROM {name} GROUP BY window(ts, '1 hour'), event_type")
+    spark.catalog.dropTempView(name)
     return twins.folded(g.select(F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "event_type", "cnt"), ["start_s", "end_s", "event_type"])
 
 
@@ -118,6 +121,13 @@ def stream_arrival_count(spark, d):
     return twins.folded(twins.arrival_counts(twins.event_stream(spark, d), "1 minute"), ["start_s"]).agg(F.sum("cnt").alias("n"))
 
 
+@query(f"WITH {EV}, a AS (SELECT s + event_id * 7919 % 600 AS a FROM ev) SELECT a - a % 1800 AS start_s, count(*) AS cnt FROM a GROUP BY 1")
+def stream_clock_count(spark, d):
+    """Windows of processing time by a clock that can be read again: each row's arrival."""
+    clock = F.timestamp_seconds(F.unix_seconds("ts") + F.col("event_id") * 7919 % 600)
+    return twins.folded(twins.arrival_counts(twins.event_stream(spark, d), "30 minutes", clock), ["start_s"])
+
+
 @twin("running_avg")
 def stream_running_avg(spark, d):
     b = twins.folded(twins.bucket_sums(twins.event_stream(spark, d), "1 day", "event_type", "k", "10 minutes"), ["event_type", "start_s"])
@@ -158,16 +168,35 @@ def _routes(spark, rows):
     return spark.createDataFrame([("order_info", *r) for r in rows], "source_table string, at string, sink_table string, sink_columns string, sink_pk string, op string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
 
 
-@query(f"WITH {FEED} SELECT CASE WHEN ts >= TIMESTAMP '1994-06-01' THEN 'dim_order' ELSE 'dim_old' END AS sink_table, 'id' AS sink_pk, type, id, CASE WHEN ts BETWEEN TIMESTAMP '1994-06-01' AND TIMESTAMP '1996-12-31 23:59:59' THEN status END AS status, CASE WHEN ts >= TIMESTAMP '1998-03-01' THEN CAST(round(total) AS BIGINT) END AS total FROM feed WHERE ts >= TIMESTAMP '1992-01-01' AND NOT ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-02-28 23:59:59'")
-def stream_dim_route(spark, d):
-    """Changes of orders, each to the sink that their table had at the time; the first setting is there when the stream starts."""
+ROUTED = """routed AS (SELECT CASE WHEN ts >= TIMESTAMP '1994-06-01' THEN 'dim_order' ELSE 'dim_old' END AS sink_table, 'id' AS sink_pk, type, id, CASE WHEN ts BETWEEN TIMESTAMP '1994-06-01' AND TIMESTAMP '1996-12-31 23:59:59' THEN status END AS status,
+ CASE WHEN ts >= TIMESTAMP '1998-03-01' THEN CAST(round(total) AS BIGINT) END AS total, seq FROM feed WHERE ts >= TIMESTAMP '1992-01-01' AND NOT ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-02-28 23:59:59')"""
+
+
+def _routed(spark, d):
     feed = change_feed(spark, d).withColumn("table", F.lit("order_info"))
     late = F.col("seq") * 7919 % 86400
     data = twins.arrivals(feed, "ts", late, closing={"table": F.lit("none"), "seq": F.lit(-1)})
     told = twins.arrivals(_routes(spark, ROUTES[1:]), "ts", F.lit(3600), closing={"source_table": F.lit("none"), "op": F.lit("d")})
-    out = twins.drain(keyed.route_dimensions(data, told, "1 day", _routes(spark, ROUTES[:1])), "append")
-    at = lambda k: F.try_element_at("data", F.lit(k))
-    return out.select("sink_table", "sink_pk", "type", at("id").cast("bigint").alias("id"), at("status").alias("status"), at("total").cast("bigint").alias("total"))
+    return keyed.route_dimensions(data, told, "1 day", _routes(spark, ROUTES[:1]))
+
+
+def _value(k):
+    return F.try_element_at("data", F.lit(k))
+
+
+@query(f"WITH {FEED}, {ROUTED} SELECT * EXCLUDE (seq) FROM routed")
+def stream_dim_route(spark, d):
+    """Changes of orders, each to the sink that their table had at the time; the first setting is there when the stream starts."""
+    out = twins.drain(_routed(spark, d), "append")
+    return out.select("sink_table", "sink_pk", "type", _value("id").cast("bigint").alias("id"), _value("status").alias("status"), _value("total").cast("bigint").alias("total"))
+
+
+@query(f"WITH {FEED}, {ROUTED}, l AS (SELECT *, row_number() OVER (PARTITION BY sink_table, id ORDER BY seq DESC) AS n FROM routed) SELECT sink_table, id, status, total FROM l WHERE n = 1 AND type <> 'delete'")
+def stream_dim_upsert(spark, d):
+    """The same, each micro-batch put into the tables that its rows name."""
+    root = work_folder(spark, "dimensions")
+    twins.upserted(cdc.dimension_rows(_routed(spark, d)), cdc.write_dimensions(root))
+    return cdc.read_dimensions(spark, root).select("sink_table", F.col("pk").cast("bigint").alias("id"), _value("status").alias("status"), _value("total").cast("bigint").alias("total"))
 
 
 @twin("control_filter")

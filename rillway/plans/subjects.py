@@ -62,10 +62,10 @@ def area_stats(spark, d):
     return o.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month"), F.col("n_name").alias("province")).agg(F.count_distinct("o_orderkey").alias("order_count"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
 
 
-@query("SELECT source, w AS keyword, count(*) AS cnt FROM (SELECT source, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) AS w FROM documents) WHERE length(w) > 6 GROUP BY ALL HAVING count(*) > 2")
+@query("SELECT source, w AS keyword, count(*) AS cnt FROM (SELECT source, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL")
 def keyword_stats(spark, d):
     t = table(spark, d, "documents").select("source", F.explode(tokens("text")).alias("keyword"))
-    return t.where("length(keyword) > 6").groupBy("source", "keyword").agg(F.count("*").alias("cnt")).where("cnt > 2")
+    return t.where("keyword <> ''").groupBy("source", "keyword").agg(F.count("*").alias("cnt"))
 
 
 @query(f"WITH {EV}, w AS (SELECT s - s % 21600 AS start_s, unnest(string_split(p_name, ' ')) AS keyword FROM ev JOIN part ON p_partkey = k WHERE event_type = 'view') SELECT start_s, start_s + 21600 AS end_s, keyword, count(*) AS cnt FROM w WHERE keyword <> '' GROUP BY ALL")
@@ -73,8 +73,7 @@ def keyword_windows(spark, d):
     """Words of what was looked at on the search page (view), by window, through SQL's own window function."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
     w = events(spark, d).where("event_type = 'view'").join(p, "k").select("ts", F.explode(F.split("p_name", " ")).alias("keyword")).where("keyword <> ''")
-    w.createOrReplaceTempView("rillway_searches")
-    return spark.sql("SELECT unix_timestamp(cast(window.start AS timestamp)) AS start_s, unix_timestamp(cast(window.end AS timestamp)) AS end_s, keyword, count(*) AS cnt FROM rillway_searches GROUP BY window(ts, '6 hours'), keyword")
+    return spark.sql("SELECT unix_timestamp(cast(window.start AS timestamp)) AS start_s, unix_timestamp(cast(window.end AS timestamp)) AS end_s, keyword, count(*) AS cnt FROM {searches} GROUP BY window(ts, '6 hours'), keyword", searches=w)
 
 
 @query("""SELECT s - s % 2592000 AS start_s, s - s % 2592000 + 2592000 AS end_s, n_name AS province, count(DISTINCT o_orderkey) AS order_count FROM (SELECT *, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS s FROM orders)

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -65,26 +66,43 @@ def compact(spark: SparkSession, path: str, by: list[str], to: str) -> str:
     return to
 
 
-def upsert_batch(path: str, key: str, version: str, buckets: int = 64):
+def upsert_batch(path: str, key: str, version: str, within: list[str] = (), buckets: int | None = None, rows_per_bucket: int = 1_000_000):
     """For writeStream.foreachBatch: keep the newest row of each key in a Parquet table that is partitioned by a hash of the key.
 
-    A batch reads and replaces only the buckets that its keys fall in; running one again changes nothing.
+    With within, each value of those columns is a table of its own in a folder of its name. A batch reads and replaces only
+    the buckets that its keys fall in; running one again changes nothing. A bucket with many rows is written by several tasks.
+    The table's first batch, best a snapshot, sets the number of buckets if none is named: one for each rows_per_bucket rows,
+    64 at least. The number stands in the folders (of=64/bucket=3) and later writers follow it; rebucket() changes it.
     """
     from rillway.operators.cdc import upsert
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        touched = new.select("bucket").distinct()  # `buckets` rows at most
-        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi") if there else new.limit(0)
-        rows = upsert(old.select(*new.columns), new, key, version).repartition("bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        made = spark.read.schema("of int, bucket int").parquet(path).select("of").first() if there else None
+        of = made[0] if made else buckets or max(64, -(-batch.count() // rows_per_bucket))
+        new, place = _in_buckets(batch, key, of), [*within, "of", "bucket"]
+        touched = new.select(*place).distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(touched, place, "left_semi") if made else new.limit(0)
+        rows = upsert(old.select(*new.columns), new, [*within, key], version).hint("rebalance", *place)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
 
     return write
 
 
+def rebucket(spark: SparkSession, path: str, to: str, key: str, schema: StructType, buckets: int, within: list[str] = ()) -> str:
+    """A table of upsert_batch that has outgrown its buckets, with its schema (of, bucket left out), written anew with another number of them."""
+    rows = _in_buckets(spark.read.schema(schema).parquet(path).select(*schema.names), key, buckets)
+    place = [*within, "of", "bucket"]
+    rows.hint("rebalance", *place).write.partitionBy(*place).parquet(to)
+    return to
+
+
+def _in_buckets(df: DataFrame, key: str, of: int) -> DataFrame:
+    return df.withColumn("of", F.lit(of)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(of)).cast("int"))
+
+
 def jdbc_append(df: DataFrame, url: str, table: str, transient: list[str] = (), batch_size: int = 100, **properties: str) -> None:
     """Rows appended in batches, without the columns that are only marks."""
     df.drop(*transient).write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))

@@ -13,7 +13,7 @@ from rillway.operators.windows import mark_late
 from rillway.session import SETTINGS
 from rillway.sources.sinks import work_folder
 
-FILES = 2  # of a stretch of arrivals
+FILES, FILE_ROWS = 2, 1_000_000  # files of a stretch of arrivals: two at least, and one for that many rows
 
 
 CLOSING = "closing"  # the type of a row far behind all others, which lets the watermark pass them
@@ -27,16 +27,17 @@ def arrivals(df: DataFrame, ts: str, late_by: Column, stretches: int = 4, closin
     """
     spark = df.sparkSession
     e = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_arrival", F.unix_seconds(F.col(ts).cast("timestamp")) + late_by)
-    low, high, last = e.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts)).first()
+    low, high, last, rows = e.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts), F.count("*")).first()
+    files = max(FILES, -(-rows // (stretches * FILE_ROWS)))
     path = work_folder(spark, "arrivals")
     for i in range(stretches if low is not None else 0):
         part = e.where(F.floor((F.col("_arrival") - low) * stretches / (high - low + 1)) == i).drop("_arrival")
         if closing is not None and i == stretches - 1:
             end = spark.range(1).select((F.lit(last) + F.expr(f"INTERVAL {days} DAYS")).alias(ts), *[c.cast(e.schema[n].dataType).alias(n) for n, c in closing.items()])
             part = part.unionByName(end, allowMissingColumns=True)
-        part.repartition(FILES).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
     e.drop("_arrival").limit(0).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.drop("_arrival").schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    return spark.readStream.schema(e.drop("_arrival").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, stretches: int = 4, lag: int = 600, closing: bool = False) -> DataFrame:
@@ -75,6 +76,13 @@ def drain(df: DataFrame, mode: str, place: str | None = None, interval: str | No
     return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(path)
 
 
+def upserted(df: DataFrame, write: Callable[[DataFrame, int], None], place: str | None = None) -> None:
+    """Run a stream over what is there, each micro-batch put into a keyed table by write."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    df.writeStream.foreachBatch(write).option("checkpointLocation", place or work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain_split(df: DataFrame, mode: str, by: str, values: list[str], place: str | None = None) -> dict[str, DataFrame]:
     """One stream into several outputs: each micro-batch is computed once, kept, and written for each value of a column."""
     spark = df.sparkSession
@@ -140,14 +148,13 @@ def looked_up(df: DataFrame, dictionary: Callable[[], DataFrame], on: list[str],
     return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(path)
 
 
-def each_batch_by_sql(events: DataFrame, sql: str, view: str, schema: str) -> DataFrame:
-    """Each micro-batch as a view that SQL reads; all results, with the number of their batch."""
+def each_batch_by_sql(events: DataFrame, sql: str, schema: str) -> DataFrame:
+    """Each micro-batch read by SQL as {batch}; all results, with the number of their batch."""
     spark = events.sparkSession
     path = work_folder(spark, "by_sql")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.createOrReplaceTempView(view)
-        batch.sparkSession.sql(sql).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.sparkSession.sql(sql, batch=batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     events.writeStream.foreachBatch(write).option("checkpointLocation", work_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch=-1")
@@ -177,9 +184,9 @@ def both_counts(a: DataFrame, b: DataFrame, a_delay: str, b_delay: str, size: st
     return g.select(F.unix_timestamp("window.start").alias("start_s"), F.unix_timestamp("window.end").alias("end_s"), *keys, "cnt")
 
 
-def arrival_counts(events: DataFrame, size: str) -> DataFrame:
-    """Counts by windows of the time at which rows are processed."""
-    g = events.withColumn("_now", F.current_timestamp()).withWatermark("_now", "0 seconds").groupBy(F.window("_now", size)).agg(F.count("*").alias("cnt"))
+def arrival_counts(events: DataFrame, size: str, clock: Column | None = None) -> DataFrame:
+    """Counts by windows of the time at which rows are processed; clock is a column of arrival times to take instead of the machine's."""
+    g = events.withColumn("_now", F.current_timestamp() if clock is None else clock).withWatermark("_now", "0 seconds").groupBy(F.window("_now", size)).agg(F.count("*").alias("cnt"))
     return g.select(F.unix_timestamp("window.start").alias("start_s"), "cnt")
 
 

@@ -38,6 +38,7 @@ def test_interval_join_bounds(spark):
 
 def test_late_rows(spark):
     at = lambda h, m, s: h * 3600 + m * 60 + s
+    # fixed values: a worked example whose outcome must be the same
     times = [at(10, 25, 49), at(10, 25, 50), at(10, 25, 51), at(10, 26, 1), at(10, 25, 46), at(10, 15, 51)]
     d = spark.createDataFrame(list(enumerate(times)), "n long, s long")
     got = windows.late_rows(d, "n", "s", size=600, slide=5, delay=1, lateness=60, chunk=2)
@@ -47,6 +48,7 @@ def test_late_rows(spark):
 
 
 def test_bounces(spark):
+    # fixed values: a worked example whose outcome must be the same
     rows = [("101", 1, None, 10), ("102", 2, None, 12), ("102", 3, None, 15), ("102", 4, "detail", 30)]
     p = spark.createDataFrame(rows, "mid string, event_id int, last_page_id string, s int")
     assert ids(patterns.bounces(p, "mid", ["s"], "s", 10), "event_id") == [1, 2, 3]
@@ -163,6 +165,74 @@ def test_upsert_batches(spark, tmp_path):
     assert ids(spark.read.parquet(f"{tmp_path}/t"), "id", "v") == [(1, 5), (2, 3), (3, 1)]
 
 
+def test_buckets_follow_the_table(spark, tmp_path):
+    from rillway.sources.sinks import rebucket, upsert_batch
+
+    path, frame = str(tmp_path / "t"), lambda *rows: spark.createDataFrame(list(rows), "id int, v int")
+    upsert_batch(path, "id", "v")(frame(), 0)  # no rows, no table yet
+    upsert_batch(path, "id", "v", rows_per_bucket=2, buckets=5)(frame(*[(i, 1) for i in range(40)]), 0)
+    upsert_batch(path, "id", "v", buckets=9)(frame((3, 2), (50, 1)), 1)
+    schema = "id int, v int, of int, bucket int"
+    got = spark.read.schema(schema).parquet(path)
+    assert {(r.of, r.bucket < 5) for r in got.collect()} == {(5, True)}
+    want = sorted((i, 2 if i == 3 else 1) for i in [*range(40), 50])
+    assert ids(got, "id", "v") == want
+    to = rebucket(spark, path, str(tmp_path / "u"), "id", frame().schema, 7)
+    upsert_batch(to, "id", "v")(frame((3, 1), (4, 9)), 2)
+    got = spark.read.schema(schema).parquet(to)
+    assert {r.of for r in got.collect()} == {7}
+    assert ids(got, "id", "v") == sorted((i, 9 if i == 4 else v) for i, v in want)
+
+
+def test_first_rows_set_the_buckets(spark, tmp_path):
+    from rillway.sources.sinks import upsert_batch
+
+    upsert_batch(str(tmp_path / "t"), "id", "id", rows_per_bucket=3)(spark.range(300), 0)
+    assert spark.read.schema("of int").parquet(str(tmp_path / "t")).first().of == 100
+
+
+def test_dimensions_by_table(spark, tmp_path):
+    """Each row in the table that it names: keys of two tables stay apart, deletes hold against older changes that come late."""
+    root, write = str(tmp_path / "t"), cdc.write_dimensions(str(tmp_path / "t"))
+
+    def changes(*rows):
+        d = spark.createDataFrame(list(rows), "sink_table string, sink_pk string, type string, id string, x string, seq long")
+        return cdc.dimension_rows(d.withColumn("data", F.create_map(F.lit("id"), "id", F.lit("x"), "x")))
+
+    write(changes(("a", "id", "insert", "1", "p", 1), ("b", "id", "insert", "1", "q", 2), ("b", "x", "insert", "1", "r", 3), ("b", "none", "insert", "7", "r", 3)), 0)
+    write(changes(("a", "id", "delete", "1", None, 5), ("b", "id", "update", "1", "s", 4)), 1)
+    write(changes(("a", "id", "update", "1", "late", 4), ("a", "id", "insert", "2", "t", 6)), 2)
+    got = cdc.read_dimensions(spark, root).select("sink_table", "pk", F.col("data")["x"].alias("x"))
+    assert ids(got, "sink_table", "pk", "x") == [("a", "2", "t"), ("b", "1", "s"), ("b", "r", "r")]
+    assert (tmp_path / "t" / "sink_table=a").is_dir()
+    plan = got.where("sink_table = 'a'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(sink_table" in plan
+
+
+def test_cogroup_in_parts(spark):
+    """A key of many rows in several rows, repeated values too; null keys match nothing, null values are left out."""
+    a = spark.createDataFrame([(1, v // 7) for v in range(100)] + [(2, 5), (None, 8), (3, None)], "k int, v int")
+    b = spark.createDataFrame([(1, -v) for v in range(15)] + [(4, 6), (None, 9)], "k int, w int")
+    got = {(r.k, r.part, tuple(r.left), tuple(r.right)) for r in joins.cogroup_parts(a, b, "k", "v", "w", 10).collect()}
+    left, right = sorted(v // 7 for v in range(100)), sorted(-v for v in range(15))
+    want = {(1, i, tuple(left[10 * i : 10 * i + 10]), tuple(right[10 * i : 10 * i + 10])) for i in range(10)}
+    assert got == want | {(2, 0, (5,), ()), (4, 0, (), (6,)), (None, 0, (8,), ()), (None, 0, (), (9,))}
+    assert joins.cogroup_parts(a.where("false"), b.where("false"), "k", "v", "w").count() == 0
+
+
+def test_seeded_numbers(spark):
+    """The same for a key however the rows are dealt, evenly spread, others for another seed."""
+    d = spark.range(20_000)
+    pick = lambda x: x.select("id", scalars.seeded(F.col("id"), 3).alias("u"), scalars.seeded_between(F.col("id"), 3, -1, 1).alias("n"), scalars.seeded_choice(F.col("id"), 3, {"a": 1, "b": 3}).alias("c"))
+    one = pick(d.repartition(3)).orderBy("id").collect()
+    assert one == pick(d.coalesce(1)).orderBy("id").collect()
+    assert all(0 <= r.u < 1 for r in one) and abs(sum(r.u for r in one) / len(one) - 0.5) < 0.01
+    assert {r.n for r in one} == {-1, 0, 1} and abs(sum(r.c == "a" for r in one) / len(one) - 0.25) < 0.02
+    assert one != d.select("id", scalars.seeded(F.col("id"), 4)).orderBy("id").collect()
+    none = spark.createDataFrame([(None,)], "id long").select(scalars.seeded(F.col("id"), 3).alias("u"), scalars.seeded_choice(F.col("id"), 3, {"a": 1, "b": 3}).alias("c")).first()
+    assert tuple(none) == (None, "b")
+
+
 def test_sources_need_no_connector_to_import():
     from rillway.sources import readers, sinks
 
