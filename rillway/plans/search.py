@@ -35,7 +35,7 @@ def doc_terms(spark, d):
 
 @query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) WHERE length(w) BETWEEN 5 AND 9 AND levenshtein(w, 'thereof') <= 2")
 def doc_fuzzy(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens("text"))).alias("w"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(search.tokens("text")).alias("w"))
     return t.where(search.fuzzy("w", "thereof", 2)).select("doc_id").distinct()
 
 
