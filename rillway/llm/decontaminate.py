@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import cut
+from rillway.llm.common import cut, free_name
 
 #: Which of the consecutive words a seed looks at (1) and which it ignores (0). An item's seeds are those of
 #: the first mask that the substitutions allowed for its length can't defeat (see unbeaten), a single word if none is left.
@@ -75,12 +76,12 @@ def unbeaten(masks: tuple[str, ...], n_words: int, min_words: int, min_match: fl
 class Block:
     """Some benchmark items, as word ids with the seeds of every place."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_words: int = 20, min_match: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_words: int = 20, min_match: float = 0.75, min_item_words: int = 1):
         self.given, self.vocab = masks, {}
         self.items, self.names = [], []
         for name, text in items:
             w = plain_words(text)
-            if w:
+            if len(w) >= max(1, min_item_words):
                 self.names.append(name)
                 self.items.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64))
         self._seed(min_words, min_match)
@@ -161,35 +162,29 @@ def _overlap(item: np.ndarray, ids: np.ndarray, shift: int, min_words: int, min_
     return a + shift + s, e - s, int(same[s:e].sum())
 
 
-def _blocks(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_match: float) -> Iterator[Block]:
-    """The benchmark in blocks of BLOCK words at most, streamed through the driver one block at a time."""
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_match: float, min_item_words: int) -> Iterator[Block]:
+    """The benchmark in blocks of BLOCK words at most (an item of more is a block of its own), streamed through the driver one block at a time."""
     rows, held = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        rows.append((r.item_id, r.text))
-        held += len(r.text) // 4 + 1
-        if held >= BLOCK:
-            yield Block(rows, masks, min_words, min_match)
+        n = len(plain_words(r.text))
+        if rows and held + n > BLOCK:
+            yield Block(rows, masks, min_words, min_match, min_item_words)
             rows, held = [], 0
+        rows.append((r.item_id, r.text))
+        held += n
     if rows:
-        yield Block(rows, masks, min_words, min_match)
-
-
-def _block_by_block(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, min_match: float, given: DataFrame, apply, name: str) -> Iterator[DataFrame]:
-    """apply(given or what it made last, broadcast) for each block; where there are several, one is broadcast at a time and its result written."""
-    blocks = _blocks(benchmark, masks, min_words, min_match)
-    block, after = next(blocks, None), next(blocks, None)
-    alone = after is None
-    while block is not None:
-        held = given.sparkSession.sparkContext.broadcast(block)
-        block, after = after, next(blocks, None)
-        if alone:
-            yield apply(held)
-        else:
-            yield cut(apply(held), name)
-            held.destroy()
+        yield Block(rows, masks, min_words, min_match, min_item_words)
+
 
+def _block_by_block(blocks: Iterator[Block], spark: SparkSession, apply, name: str) -> Iterator[DataFrame]:
+    """apply(block, broadcast) for each block; one is broadcast at a time and what it gives is written."""
+    for block in blocks:
+        held = spark.sparkContext.broadcast(block)
+        yield cut(apply(held), name)
+        held.destroy()
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS, min_item_words: int = 1) -> DataFrame:
     """Each (doc_id, item_id) whose texts overlap: doc_id, item_id, start_word, n_words, n_equal.
 
     Words are lower-cased and freed of ASCII punctuation. Seeds of the fixed masks, which may ignore some positions, are
@@ -199,6 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_m
     lost. The best stretch of each pair is returned, the first of equally good ones. Null and empty texts overlap with
     nothing, on either side; equal rows each give their own result; texts are taken whole, whatever their length; an
     empty table on either side gives an empty result; other columns are not looked at.
+    An item of one word overlaps with every text that holds it: min_item_words leaves items of fewer words out.
     The benchmark goes to the tasks in blocks of at most BLOCK words, one block at a time; documents never move.
     """
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint"
@@ -218,17 +214,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_m
 
         return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, schema)
 
-    parts = list(_block_by_block(benchmark, masks, min_words, min_match, docs, scanned, "leaks"))
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    spark = docs.sparkSession
+    first, rest = _first(_blocks(benchmark, masks, min_words, min_match, min_item_words))
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if rest is None:
+        return scanned(spark.sparkContext.broadcast(first))
+    return reduce(DataFrame.unionByName, _block_by_block(rest, spark, scanned, "leaks"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, min_match: float = 0.75, masks: tuple[str, ...] = MASKS, min_item_words: int = 1) -> DataFrame:
     """The documents that overlap with no benchmark item (see find_leaks), judged where they lie: nothing is shuffled.
 
-    Null and empty texts stay, equal rows share their fate, columns of any name pass through.
+    Null and empty texts stay, equal rows share their fate, columns of any name pass through. A benchmark of several blocks
+    is held against the texts block by block, which writes only digests of the texts that overlap; documents are written nowhere,
+    and one join with those digests removes them.
     """
     at = docs.columns.index("text")
-    left = docs
 
     def kept(held) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +238,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 20, mi
                 for b in batches:
                     yield b.filter(pa.array([not (t and held.value.search(t, min_words, min_match)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        return left.mapInArrow(keep, docs.schema)
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes a dot in a name for a field of a struct
+        return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+    spark, digest = docs.sparkSession, free_name(docs, "digest")
+
+    def leaking(held) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with np.errstate(over="ignore"):
+                for b in batches:
+                    found = [d for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and held.value.search(t, min_words, min_match)]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], [digest])
+
+        return docs.select("text", _digest().alias(digest)).mapInArrow(scan, f"`{digest}` string")
+
+    first, rest = _first(_blocks(benchmark, masks, min_words, min_match, min_item_words))
+    if first is None:
+        return docs
+    if rest is None:
+        return kept(spark.sparkContext.broadcast(first))
+    leaks = reduce(DataFrame.unionByName, _block_by_block(rest, spark, leaking, "leaking")).distinct()
+    return docs.withColumn(digest, _digest()).join(leaks, digest, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _digest():
+    return F.sha2(F.col("text").cast("binary"), 256)
+
 
-    for left in _block_by_block(benchmark, masks, min_words, min_match, docs, kept, "clean"):
-        pass
-    return left
+def _first(blocks: Iterator[Block]) -> tuple[Block | None, Iterator[Block] | None]:
+    """The first block, and all of them if there are several."""
+    first, second = next(blocks, None), next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)

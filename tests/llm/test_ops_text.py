@@ -310,6 +310,22 @@ def test_leaks_block_by_block(spark, odd, monkeypatch):
     assert found() == whole and sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == left
 
 
+def test_leaks_leave_other_rows_as_they_are(spark, odd, none, monkeypatch):
+    """One block or several: null and empty texts, columns of clashing names and the types stay; equal texts go together, rows that only share a doc_id don't."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    bench = spark.createDataFrame([(k, words(k)) for k in range(4)] + [(9, "The")], "item_id long, text string")
+    rows = [(1, words(1), "a"), (1, "The rest", "b"), (1, words(1), "c"), (2, None, "d"), (2, "", "e"), (3, "no leak", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("item_id", F.lit(7)).withColumn("odd name.x", F.lit(1))
+    left = lambda **k: sorted(r.digest or "" for r in decontaminate.decontaminate(docs, bench, **k).collect())
+    for block in (decontaminate.BLOCK, 31):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert left() == ["", "d", "e"] and left(min_item_words=2) == ["", "b", "d", "e"]
+        out = decontaminate.decontaminate(docs, bench)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, min_item_words=2).collect()} == {(1, 1)}
+        assert decontaminate.decontaminate(odd, bench).columns == odd.columns and decontaminate.decontaminate(none, bench).count() == 0
+
+
 def test_leaks_against_all_shifts(spark):
     """Every pair with a passing overlap at some shift that holds a run of eight equal words is found."""
     docs = [(r.doc_id, decontaminate.plain_words(r.text or "")) for r in docs_of(spark).collect()]
