@@ -39,8 +39,8 @@ def op3_jaccard_join(spark, sf_dir):
 
 def op4_secret_scan(spark, sf_dir):
     """Spans of secrets in every document."""
-    docs = documents(spark, sf_dir)
-    found = secrets.scan(docs, secrets.fit(docs))
+    seen = secrets.find_once(documents(spark, sf_dir))
+    found = secrets.judge(seen, secrets.fit_found(seen))
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select(
         "doc_id",

@@ -8,13 +8,15 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.common import cut
+from rillway.llm.common import Work, cut
 
 #: The patterns of the three base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
 #: Strings that the models judge, and the characters they know.
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+#: Whole runs of those characters that are long enough for a sample of ordinary words. Looking back keeps a short run from being tried at each of its letters.
+LONG = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 
@@ -70,13 +72,13 @@ def _outside(found: Column, drawn: Column, none: Column) -> Column:
     return F.aggregate(F.array(found), none, lambda a, c: F.aggregate(F.array(drawn), a, lambda b, m: F.filter(c, lambda s: free(s, m))))
 
 
-def base_spans(text: str) -> dict[str, Column]:
-    """The base kinds. Assignments are matched as a whole, so a value that is too short still uses its characters up."""
+def base_spans(text: str, runs: str) -> dict[str, Column]:
+    """The base kinds; runs is the column of the text's LONG runs. Assignments are matched as a whole, so a value that is too short still uses its characters up."""
     words = " OR ".join(f"contains(lower({text}), '{w}')" for w in ("passw", "secret", "token", "api"))
     assign = F.filter(spans(text, ASSIGN, "assign", words), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8)
     # for these two, a run of characters is always taken whole: asking for the length in the pattern is the same
     access = spans(text, "AKIA[A-Z0-9]{12,}", "access", f"contains({text}, 'AKIA')")
-    hexes = spans(text, "[0-9a-f]{32,}", "hex", f"{text} RLIKE '[0-9a-f]{{32}}'")
+    hexes = spans(text, "[0-9a-f]{32,}", "hex", f"exists({runs}, w -> length(w) >= 32)")
     return {"assign": assign, "access": access, "hex": hexes}
 
 
@@ -85,8 +87,40 @@ def _codes(word: Column) -> Column:
     return F.transform(F.split(word, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))
 
 
+def find(docs: DataFrame) -> DataFrame:
+    """All that the models are fitted on and judge, from one look at each whole text: doc_id, base, tried, random, ordinary.
+
+    base holds the spans of the base kinds, tried those of CANDIDATE that overlap no base span; random the values of base
+    matches, ordinary the words of 12 and more characters that hold no such value and lie in none. Null text counts as empty.
+    """
+    d = docs.select("doc_id", _free(F.coalesce("text", F.lit(""))).alias("_t"))
+    # the runs and each kind are columns used several times, so that the planner doesn't draw them again for each use
+    d = d.select("doc_id", "_t", F.expr(f"regexp_extract_all(_t, {_quoted(LONG)}, 0)").alias("_long"))
+    d = d.select("doc_id", "_t", "_long", *[c.alias(f"_{k}") for k, c in base_spans("_t", "_long").items()])
+    values = F.concat(
+        F.transform("_assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 1)),
+        F.transform(F.concat("_access", "_hex"), lambda s: s["value"]),
+    )
+    d = d.withColumn("random", values)
+    tried, none = spans("_t", CANDIDATE, "markov", "exists(_long, w -> length(w) >= 16)"), F.expr(f"cast(array() AS array<{SPAN}>)")
+    for kind in PATTERNS:  # each kind's spans are drawn once for a text, then looked at where a candidate lies
+        tried = _outside(tried, _covered(F.col(f"_{kind}")), none)
+    words = F.filter("_long", lambda w: ~F.exists("random", lambda v: F.contains(v, w) | F.contains(w, v)))
+    return d.select("doc_id", F.concat(*[F.col(f"_{k}") for k in PATTERNS]).alias("base"), tried.alias("tried"), "random", words.alias("ordinary"))
+
+
+def find_once(docs: DataFrame) -> DataFrame:
+    """find, written: fitting and judging then read spans and long words, and no text is looked at twice."""
+    return cut(find(docs), "secret-finds")
+
+
 def fit(docs: DataFrame, max_words: int = 20000) -> list[float] | None:
-    """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
+    """fit_found on the documents themselves."""
+    return fit_found(find(docs), max_words)
+
+
+def fit_found(found: DataFrame, max_words: int = 20000) -> list[float] | None:
+    """Log-likelihood ratios of character pairs, random strings against ordinary identifiers, from the table of find.
 
     Labelled samples come from all documents: values of base matches are random strings, words of 12 and more characters
     that hold no base match are ordinary; what is a value anywhere is no ordinary word. Of each class's distinct strings
@@ -94,26 +128,20 @@ def fit(docs: DataFrame, max_words: int = 20000) -> list[float] | None:
     number of binary digits of its occurrences, so that copies hardly count. None if either class has no sample, with a
     warning: the models then add nothing.
     """
-    every = docs.where("text IS NOT NULL").select(_free(F.col("text")).alias("text"))
-    base = base_spans("text")
-    values = F.concat(
-        F.transform(base["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 1)),
-        F.transform(F.concat(base["access"], base["hex"]), lambda s: s["value"]),
-    )
-    found = every.withColumn("random", values)
-    rest = F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: (F.length(w) >= 12) & ~F.exists("random", lambda v: F.contains(v, w) | F.contains(w, v)))
     strings = found.select(
         F.explode(
             F.concat(
                 F.transform("random", lambda w: F.struct(F.lit(True).alias("random"), w.alias("w"))),
-                F.transform(rest, lambda w: F.struct(F.lit(False).alias("random"), w.alias("w"))),
+                F.transform("ordinary", lambda w: F.struct(F.lit(False).alias("random"), w.alias("w"))),
             )
         ).alias("s")
     )
-    strings = cut(strings.groupBy("s.w").agg(F.max("s.random").alias("random"), F.count("*").alias("n")), "secret-words")
+    work = Work(found.sparkSession)
+    strings = work.cut(strings.groupBy("s.w").agg(F.max("s.random").alias("random"), F.count("*").alias("n")), "secret-words")
     sizes = {r.random: r["count"] for r in strings.groupBy("random").count().collect()}
     missing = [name for name, kind in (("base match", True), ("ordinary word", False)) if not sizes.get(kind)]
     if missing:
+        work.drop("secret-words")
         warnings.warn(f"no {' and no '.join(missing)} in any document: the character models can't be trained and add no spans", RuntimeWarning, stacklevel=2)
         return None
     share = F.when(F.col("random"), min(1.0, max_words / sizes[True])).otherwise(min(1.0, max_words / sizes[False]))
@@ -121,6 +149,7 @@ def fit(docs: DataFrame, max_words: int = 20000) -> list[float] | None:
     words = chosen.select("random", F.length(F.bin("n")).alias("weight"), _codes(F.col("w")).alias("c"))
     pairs = words.select("random", "weight", F.explode(F.expr("zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (a, b) -> a * %d + b)" % SIZE)).alias("pair"))
     counts = pairs.groupBy("random", "pair").agg(F.sum("weight").alias("count")).collect()  # at most 2 * SIZE * SIZE rows
+    work.drop("secret-words")
     tables = {}
     for kind, add in ((True, 0.5), (False, 0.05)):
         n = [[add] * SIZE for _ in range(SIZE)]
@@ -132,16 +161,18 @@ def fit(docs: DataFrame, max_words: int = 20000) -> list[float] | None:
 
 
 def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) -> DataFrame:
-    """doc_id and the array `secrets` of spans (start, end, kind, value), by start, then kind as listed.
+    """judge on the documents themselves."""
+    return judge(find(docs), ratios, threshold)
+
+
+def judge(found: DataFrame, ratios: list[float] | None, threshold: float = 0.7) -> DataFrame:
+    """doc_id and the array `secrets` of spans (start, end, kind, value), by start, then kind as listed, from the table of find.
 
     Kinds: the base kinds, and `markov` for strings of CANDIDATE that overlap no base span and whose mean log-likelihood
     ratio for each pair of characters reaches the threshold. Null text counts as empty. Spans that start together are
     ordered by kind; repeated rows get equal spans; texts are read whole, and the cost of a text with m matches grows as
     m; an empty table gives an empty result; other columns are not looked at.
     """
-    d = docs.select("doc_id", _free(F.coalesce("text", F.lit(""))).alias("_t"))
-    d = d.select("doc_id", "_t", F.struct(*[c.alias(k) for k, c in base_spans("_t").items()]).alias("_by_kind"))
-    d = d.select("doc_id", "_t", "_by_kind", F.concat(*[F.col(f"_by_kind.{k}") for k in PATTERNS]).alias("_base"))
     extra = F.expr(f"cast(array() AS array<{SPAN}>)")
     if ratios:
         table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
@@ -151,14 +182,10 @@ def scan(docs: DataFrame, ratios: list[float] | None, threshold: float = 0.7) ->
             F.lit(0.0),
             lambda acc, c: acc + F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.get(table, a * SIZE + b)), F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1),
         )
-        tried = spans("_t", CANDIDATE, "markov", f"_t RLIKE '{CANDIDATE}'")
-        for kind in PATTERNS:  # each kind's spans are drawn once for a text, then looked at where a candidate lies
-            tried = _outside(tried, _covered(F.col(f"_by_kind.{kind}")), extra)
-        extra = F.filter(tried, lambda s: mean(s["value"]) >= threshold)
-    d = d.select("doc_id", "_base", extra.alias("_extra"))
+        extra = F.filter("tried", lambda s: mean(s["value"]) >= threshold)
     rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
-    keyed = F.transform(F.concat("_base", "_extra"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return d.select("doc_id", F.sort_array(keyed).alias("secrets"))
+    keyed = F.transform(F.concat("base", extra), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    return found.select("doc_id", F.sort_array(keyed).alias("secrets"))
 
 
 def joined(found: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -115,6 +116,33 @@ def test_secret_models_few_matches(spark):
         assert secrets.fit(docs.where("doc_id < 20000")) is None
 
 
+def test_secret_verdicts_against_plain_python(spark, odd):
+    """Every markov span, held against candidates and means computed in plain Python from the fitted ratios."""
+    rng = np.random.default_rng(6)
+    free = ["".join(rng.choice(list(secrets.ALPHABET[: 36 + k % 26]), 16 + k)) for k in range(40)]
+    more = [(1000 + k, f"é see {x} or token={x[::-1]} beside the_ordinary_name_of_{k}") for k, x in enumerate(free)]
+    given = odd.select("doc_id", "text").unionByName(docs_of(spark).select("doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = secrets.find_once(given)
+    ratios = secrets.fit_found(found)
+    assert ratios == secrets.fit(given)
+    code = {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+
+    def mean(word):
+        return sum(float(f"{ratios[code.get(a, 0) * secrets.SIZE + code.get(b, 0)]:.5f}") for a, b in itertools.pairwise(word)) / (len(word) - 1)
+
+    def tried(text):
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base(text).split(",") if x]
+        return [m for m in re.finditer(secrets.CANDIDATE, text or "") if not any(a < m.end() and m.start() < b for a, b in taken)]
+
+    texts = given.collect()
+    half = float(np.median([mean(m[0]) for r in texts for m in tried(r.text)])) + 1e-6  # so small a sample gives low ratios: half of the candidates pass
+    got = secrets.judge(found, ratios, half).selectExpr("doc_id", "transform(filter(secrets, s -> s.kind = 'markov'), s -> array(s.start, s.end)) AS s").collect()
+    order = lambda x: (str(x[0]), x[1])
+    want = sorted(((r.doc_id, [(m.start(), m.end()) for m in tried(r.text) if mean(m[0]) >= half]) for r in texts), key=order)
+    assert sorted(((r.doc_id, [tuple(x) for x in r.s]) for r in got), key=order) == want
+    assert any(spans for _, spans in want)
+
+
 # byte-level BPE
 
 
@@ -192,6 +220,39 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.predict(spark.createDataFrame([(1, "zzzq xxqk 漢字")], "doc_id long, text string"), model | {"floor": 1.1}, reject=True).collect()} == {"und"}
 
 
+def test_language_against_plain_python(spark, odd):
+    """Predictions computed letter by letter from the model's table, subwords cut and hashed in plain Python."""
+    model = language.fit(docs_of(spark))
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or "") or not model["names"]:
+            return "und", 0.0
+        raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+        counts = Counter()
+        for word in raw.split():
+            padded = b" " + word + b" "
+            for n in range(1, language.LONGEST + 1):
+                for i in range(len(padded) - n + 1):
+                    piece = padded[i : i + n]
+                    if b" " in piece[1:-1] or (n == 1 and piece == b" "):
+                        continue
+                    h = piece[0] + 1 if n == 1 else piece[0]
+                    for k, c in enumerate(piece[1:], 2):
+                        h = (h * 0x01000193 + c + k) % 2**32
+                    counts[(h * 0x9E3779B1 % 2**32) >> 19] += 1
+        total = max(1, sum(counts.values()))
+        z = [sum(n * float(model["table"][b, k]) for b, n in counts.items()) / total + float(model["bias"][k]) for k in range(len(model["names"]))]
+        e = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(z)), key=lambda k: (e[k], -k))
+        return model["names"][best], e[best] / sum(e)
+
+    given = odd.select("doc_id", "text").unionByName(docs_of(spark).select("doc_id", "text").where("doc_id < 60"))
+    got = sorted(((r.doc_id is None, r.doc_id, r.lang_pred, r.score) for r in language.predict(given, model).collect()), key=str)
+    want = sorted(((r.doc_id is None, r.doc_id, *plain(r.text)) for r in given.collect()), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-4)
+
+
 def test_language_learns_rare_languages(spark):
     """More than 200 languages, and a text with very many copies beside them."""
     rows = [(f"l{i:03}", f"{chr(0x4E00 + 2 * i) * 3} {chr(0x4E01 + 2 * i) * 2}") for i in range(210)] + [("l000", "one text again and again")] * 9000
