@@ -159,10 +159,10 @@ def decrypt(c: Column, key: str) -> Column:
     return F.try_aes_decrypt(F.unbase64(c), F.lit(key), F.lit("ECB"), F.lit("PKCS")).cast("string")
 
 
-def keywords(text: str) -> Column:
-    """Rows of a text's lower-case words; the whole text where there is none."""
+def keywords(text: str, whole: bool = True) -> Column:
+    """Rows of a text's lower-case words; where there is none the whole text, or nothing without whole."""
     words = F.filter(tokens(text), lambda w: w != "")
-    return F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(text)))
+    return F.explode(words if not whole else F.when(F.size(words) > 0, words).otherwise(F.array(text)))
 
 
 @F.pandas_udf(T.StringType())

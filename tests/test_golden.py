@@ -251,3 +251,12 @@ def test_made_up_visits(spark):
 def test_sample_share(spark):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert 0.07 * n < QUERIES["sample"](spark, SF).count() < 0.13 * n
+
+
+def test_keywords_of_texts_without_words(spark, tmp_path):
+    """The query counts words alone, as its SQL does; the function gives the whole text where asked to."""
+    texts = spark.createDataFrame([(1, "Ab, c ab"), (2, "¡¿—!"), (3, ""), (4, None)], "doc_id long, text string")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    assert ids(QUERIES["keyword_split"](spark, str(tmp_path)), "keyword", "n") == [("ab", 2), ("c", 1)]
+    got = [r.w for r in texts.select(scalars.keywords("text").alias("w")).collect()]
+    assert sorted(map(str, got)) == ["", "None", "ab", "ab", "c", "¡¿—!"]
