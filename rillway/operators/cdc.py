@@ -51,19 +51,20 @@ def handover(snapshot: DataFrame, feed: DataFrame, position: int, seq: str = "se
     return later if feed.isStreaming else start.select(*feed.columns).unionByName(later)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str | list[str], version: str) -> DataFrame:
-    """old with the rows of new put in by key; the larger version wins, new on ties."""
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], version: str, parts: int | None = None) -> DataFrame:
+    """old with the rows of new put in by key; the larger version wins, new on ties. parts is a number of tasks to take instead of the session's."""
+    keys = [key] if isinstance(key, str) else key
     both = old.withColumn("_g", F.lit(0)).unionByName(new.withColumn("_g", F.lit(1)))
-    return latest_by(both, [key] if isinstance(key, str) else key, [version, "_g"]).drop("_g")
+    return latest_by(both.repartition(parts, *keys) if parts else both, keys, [version, "_g"]).drop("_g")
 
 
 def route_dimensions(feed: DataFrame, config: DataFrame) -> DataFrame:
     """Rows of configured source tables with their columns pruned, and where they go.
 
-    config (source_table, sink_table, sink_columns, sink_pk) is a control table of one row a source table: a hint is not
-    needed, Spark sends it to all tasks while it is below its limit and shuffles otherwise.
+    config (source_table, sink_table, sink_columns, sink_pk) is a control table of one row a source table. It goes to all tasks: a shuffle by
+    the source table would bring a table's changes into one task.
     """
-    c = config.withColumnRenamed("source_table", "table")
+    c = F.broadcast(config.withColumnRenamed("source_table", "table"))
     return feed.join(c, "table").select("sink_table", "sink_pk", "type", prune_map(F.col("data"), F.col("sink_columns")).alias("data"), "seq")
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+TASK_ROWS = 250_000  # rows that a task of an upsert sorts, on an average
+SALTS = 64  # parts of a folder's rows; small ones are joined again
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir); a local one, kept while Python runs, only in a session of one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,8 +36,9 @@ def to_console(df: DataFrame, rows: int = 20):
 
 
 def write_routed(df: DataFrame, sink: str, root: str) -> str:
-    """Each row into the folder that one of its columns names. A folder's rows are dealt to as many tasks as they need."""
-    df.hint("rebalance", sink).write.partitionBy(sink).mode("append").parquet(root)
+    """Each row into the folder that one of its columns names. A folder's rows are dealt to as many tasks as they need, by a hash of the row but its maps."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.lit(SALTS))
+    df.withColumn("_salt", salt).hint("rebalance", sink, "_salt").drop("_salt").write.partitionBy(sink).mode("append").parquet(root)
     return root
 
 
@@ -81,12 +86,16 @@ def upsert_batch(path: str, key: str, version: str, within: list[str] = (), buck
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
         made = spark.read.schema("of int, bucket int").parquet(path).select("of").first() if there else None
-        of = made[0] if made else buckets or max(64, -(-batch.count() // rows_per_bucket))
+        rows = batch.count()
+        of = made[0] if made else buckets or max(64, -(-rows // rows_per_bucket))
+        # files know their numbers of rows
+        tasks = -(-(rows + (spark.read.parquet(path).count() if made else 0)) // TASK_ROWS)
         new, place = _in_buckets(batch, key, of), [*within, "of", "bucket"]
         touched = new.select(*place).distinct()
         old = spark.read.schema(new.schema).parquet(path).join(touched, place, "left_semi") if made else new.limit(0)
-        rows = upsert(old.select(*new.columns), new, [*within, key], version).hint("rebalance", *place)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
+        parts = tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+        newest = upsert(old.select(*new.columns), new, [*within, key], version, parts).hint("rebalance", *place)
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
 
     return write
 
