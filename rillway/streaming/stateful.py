@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 DAY, SIX_HOURS = 86400, 6 * 3600
 ROW = "event_id bigint, s bigint, event_type string"
-STRETCH_KEY = StructType([StructField("stretch", LongType())])
-STRETCH = 60_000  # ms of a key's rows that are held together
+CHUNK_KEY = StructType([StructField("first_us", LongType()), StructField("part", LongType())])
+PACKED = StructType([StructField("packed", BinaryType())])
+CHUNK = 4096  # rows that are held together
+BUCKETS = 1024  # groups that keys are dealt to
 
 #: A step takes (key, memory or None, rows in order, watermark in ms) and gives (memory or None, rows out, when to be called again in ms or None).
 #: A row is (ms, us, the columns of ROW or of another row type).
@@ -26,79 +31,105 @@ def names(ddl: str) -> list[str]:
 class InOrder(StatefulProcessor):
     """Holds rows until the watermark passes them, so that the result doesn't depend on how they were cut into micro-batches.
 
-    Rows are held by stretches of time: a micro-batch adds to the stretches that its rows fall in, an expiry reads those that are due
-    and leaves the others alone. Rows later than the watermark are dropped by Spark. A step that gives None for its memory leaves no
+    The state is that of a bucket of keys, so that calls of the state are made for many rows and keys at once. Rows are held in
+    chunks, sorted by time: a micro-batch adds chunks, an expiry reads those that are due and leaves the others alone. The bucket's one timer waits for the
+    earliest row or wake-up. Rows later than the watermark are dropped by Spark. A step that gives None for its memory leaves no
     state behind. With an initial state, a key's memory is what a batch table holds for it when the query starts.
     """
 
-    def __init__(self, step: Step, memory: str, columns: list[str], row: str = ROW):
-        # schemas are made here: a worker has no session to read DDL with
-        fields = StructType.fromDDL(f"at_ms bigint, at_us bigint, {row}")
-        self.step, self.columns, self.row_names = step, columns, fields.fieldNames()
-        self.memory_schema, self.held_schema = StructType.fromDDL(memory), StructType([StructField("rows", ArrayType(fields))])
+    def __init__(self, step: Step, keys: list[str], memory: list[str], columns: list[str], row: list[str]):
+        self.step, self.keys, self.memory_names, self.columns, self.row = step, keys, memory, columns, row
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", STRETCH_KEY, self.held_schema)
-        self.memory = handle.getValueState("memory", self.memory_schema)
+        self.rows = handle.getMapState("rows", CHUNK_KEY, PACKED)
+        self.memory = handle.getValueState("memory", PACKED)
+        self.alarm = handle.getValueState("alarm", StructType([StructField("ms", LongType())]))
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.memory.update(tuple(initialState[c] for c in self.memory_schema.fieldNames()))
+        kept = {tuple(r[c] for c in self.keys): (tuple(r[c] for c in self.memory_names), None) for r in initialState["kept"]}
+        self.memory.update((pickle.dumps(kept),))
+
+    def hold(self, rows: list[tuple]) -> None:
+        """Rows in order of time, as a chunk."""
+        at, part = rows[0][len(self.keys)], 0
+        while self.rows.containsKey((at, part)):
+            part += 1
+        self.rows.updateValue((at, part), (pickle.dumps(rows),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new: dict[int, list[tuple]] = {}
-        last = 0
+        new, place, width = [], None, len(self.keys)
         for r in rows:
-            t = tuple(r[c] for c in self.row_names)
-            new.setdefault(t[0] // STRETCH, []).append(t)
-            last = max(last, t[0])
-        for stretch, added in new.items():
-            held = self.rows.getValue((stretch,))[0] if self.rows.containsKey((stretch,)) else []
-            self.rows.updateValue((stretch,), ([*map(tuple, held), *added],))
-        self.handle.registerTimer(last)
+            place = place or itemgetter(*map(r.__fields__.index, [*self.keys, "at_us", *self.row]))
+            new.append(place(tuple(r)))
+        new.sort(key=itemgetter(width))
+        for i in range(0, len(new), CHUNK):
+            self.hold(new[i : i + CHUNK])
+        first, alarm = new[0][width] // 1000, self.alarm.get()
+        if alarm is None or first < alarm[0]:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm[0])
+            self.handle.registerTimer(first)
+            self.alarm.update((first,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, due, next_ = timerValues.getCurrentWatermarkInMs(), [], None
-        for (stretch,) in sorted(map(tuple, self.rows.keys())):
-            if stretch * STRETCH > now:
-                next_ = (stretch + 1) * STRETCH
-                break
-            held = [tuple(r) for r in self.rows.getValue((stretch,))[0]]
-            due += [r for r in held if r[0] <= now]
-            if later := [r for r in held if r[0] > now]:
-                self.rows.updateValue((stretch,), (later,))
-                next_ = max(r[0] for r in later)
+        now, width = timerValues.getCurrentWatermarkInMs(), len(self.keys)
+        packed = self.memory.get()
+        memory: dict[tuple, tuple] = pickle.loads(packed[0]) if packed else {}
+        due: dict[tuple, list[tuple]] = {k: [] for k, (_, wake) in memory.items() if wake is not None and wake <= now}
+        later = []
+        for first, part in sorted(map(tuple, self.rows.keys())):
+            if first // 1000 > now:
+                later.append(first // 1000)
                 break
-            self.rows.removeKey((stretch,))
-        due.sort(key=lambda r: r[1:3])
-        memory, out, wake = self.step(key, tuple(self.memory.get()) if self.memory.exists() else None, due, now)
-        if next_ is not None:
-            self.handle.registerTimer(next_)
-        if memory is None:
+            held = pickle.loads(self.rows.getValue((first, part))[0])
+            self.rows.removeKey((first, part))
+            cut = bisect_left(held, (now + 1) * 1000, key=itemgetter(width))
+            for r in held[:cut]:
+                due.setdefault(r[:width], []).append((r[width] // 1000, *r[width:]))
+            if cut < len(held):
+                self.hold(held[cut:])
+                later.append(held[cut][width] // 1000)
+        make = Row(*self.columns)
+        for k, rows in due.items():
+            rows.sort(key=itemgetter(1, 2))
+            kept, out, wake = self.step(k, memory[k][0] if k in memory else None, rows, now)
+            if kept is None:
+                memory.pop(k, None)
+            else:
+                memory[k] = (kept, max(wake, now + 1) if wake is not None else None)
+            yield from (make(*r) for r in out)
+        if memory:
+            self.memory.update((pickle.dumps(memory),))
+        elif packed:
             self.memory.clear()
+        later += [wake for _, wake in memory.values() if wake is not None]
+        if later:
+            self.handle.registerTimer(min(later))
+            self.alarm.update((min(later),))
         else:
-            self.memory.update(memory)
-            if wake is not None:
-                self.handle.registerTimer(max(wake, now + 1))
-        return iter([Row(**dict(zip(self.columns, r))) for r in out])
+            self.alarm.clear()
 
     def close(self) -> None:
         pass
 
 
-def in_order(events: DataFrame, key: str | list[str], delay: str, step: Step, memory: str, out: str, row: str = ROW, initial: DataFrame | None = None) -> DataFrame:
+def in_order(events: DataFrame, key: str | list[str], delay: str, step: Step, memory: str, out: str, row: str = ROW, initial: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """step applied to each key's rows of a stream with an event time ts, rows later than the delay dropped; rows of one time by the first column of row.
 
-    initial has the columns of the key and of the memory, one row a key: the memory that the query starts with.
+    initial has the columns of the key and of the memory, one row a key: the memory that the query starts with. Keys are dealt to buckets, of
+    which a task holds one at a time: its keys' memory, and its rows that are due.
     """
     keys = [key] if isinstance(key, str) else key
-    at = [F.unix_millis("ts").alias("at_ms"), F.unix_micros("ts").alias("at_us")]
     given = events if "s" in events.columns else events.withColumn("s", F.unix_seconds("ts"))
-    e = given.withWatermark("ts", delay).select(*keys, "ts", *at, *[c for c in names(row)])
-    step_ = InOrder(step, memory, names(out), row)
-    start = initial.select(*keys, *names(memory)).groupBy(*keys) if initial is not None else None
-    return e.groupBy(*keys).transformWithState(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
+    held = [f"_k{i}" for i in range(len(keys))]
+    typed = [F.col(k).cast(given.schema[k].dataType).alias(n) for n, k in zip(held, keys)]
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast(given.schema[k].dataType) for k in keys]), F.lit(buckets)).alias("bucket")
+    e = given.withWatermark("ts", delay).select(bucket, "ts", *typed, F.unix_micros("ts").alias("at_us"), *names(row))
+    step_ = InOrder(step, held, names(memory), names(out), names(row))
+    start = initial.groupBy(bucket).agg(F.collect_list(F.struct(*typed, *names(memory))).alias("kept")).groupBy("bucket") if initial is not None else None
+    return e.groupBy("bucket").transformWithState(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
 
 
 def consecutive_fails(events: DataFrame, times: int, within: int, delay: str) -> DataFrame:
