@@ -176,7 +176,7 @@ def _routed(spark, d):
     feed = change_feed(spark, d).withColumn("table", F.lit("order_info"))
     late = F.col("seq") * 7919 % 86400
     data = twins.arrivals(feed, "ts", late, closing={"table": F.lit("none"), "seq": F.lit(-1)})
-    told = twins.arrivals(_routes(spark, ROUTES[1:]), "ts", F.lit(3600), closing={"source_table": F.lit("none"), "op": F.lit("d")})
+    told = twins.arrivals(_routes(spark, ROUTES[1:]), "ts", F.lit(3600), closing={"source_table": F.lit("none"), "op": F.lit("d")}, pace=twins.paced(feed, "ts", late))
     return keyed.route_dimensions(data, told, "1 day", _routes(spark, ROUTES[:1]))
 
 
@@ -204,7 +204,7 @@ def stream_control(spark, d):
     """Events of the type that the control stream last named by their time."""
     e = twins.event_stream(spark, d, closing=True).withColumn("one", F.lit(1))
     by_day = spark.read.parquet(f"{d}/events.parquet").where("user_id = 1").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")).agg(F.max("event_type").alias("word"))
-    told = twins.arrivals(by_day.withColumn("one", F.lit(1)).withColumn("removed", F.lit(False)), "ts", F.lit(0), closing={"one": F.lit(0), "removed": F.lit(True)})
+    told = twins.arrivals(by_day.withColumn("one", F.lit(1)).withColumn("removed", F.lit(False)), "ts", F.lit(0), closing={"one": F.lit(0), "removed": F.lit(True)}, pace=twins.paced(spark.read.parquet(f"{d}/events.parquet"), "ts", F.col("event_id") * 7919 % 600))
     out = keyed.as_of(e, told, ["one"], "word string", "event_id bigint, event_type string", "10 minutes")
     return twins.drain(out, "append").where("event_type = word").select("event_id", "word")
 
