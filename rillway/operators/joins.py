@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rillway.operators.ranges import before_range, in_ranges
 
+BLOCKS = 4  # pairs of blocks that a task of dealt_join makes, on an average
+
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, low: int, high: int, how: str = "inner", row: list[str] | None = None) -> DataFrame:
     """Rows of one key whose right time lies within [left + low, left + high] seconds, both ends in.
@@ -27,6 +29,26 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_s: str, righ
     return both.unionByName(left.join(both.select(*row).distinct(), row, "left_anti"), allowMissingColumns=True)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, block: int = 4096) -> DataFrame:
+    """Inner join of keys that have very many rows on both sides: all columns of both, a row for each pair.
+
+    A key's rows are dealt to blocks of about so many by a hash, and each block of one side meets each block of the other: a task holds a
+    few blocks and makes a bounded number of pairs, however many rows a key has. The rows are dealt on as often as the other side has blocks.
+    """
+    count = lambda df, key, n: df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    blocks = count(left, left_key, "_a").join(count(right, right_key, "_b"), "_k").select("_k", "_a", "_b")
+    pairs = blocks.agg(F.sum(F.col("_a").cast("bigint") * F.col("_b"))).first()[0] or 0
+    tasks = int(max(1, -(-pairs // BLOCKS)))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.col(f"_{own}")).cast("int")
+        rows = df.join(blocks, df[key] == F.col("_k")).withColumn(f"_{own}_at", place).withColumn(f"_{other}_at", F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)))
+        return rows.drop("_a", "_b").repartition(tasks, "_k", "_a_at", "_b_at")
+
+    l, r = dealt(left, left_key, "a", "b"), dealt(right, right_key, "b", "a")
+    return l.hint("shuffle_hash").join(r, ["_k", "_a_at", "_b_at"]).drop("_k", "_a_at", "_b_at")
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str, left_s: str, right_s: str, before: int, after: int, left_row: list[str], right_row: list[str]) -> DataFrame:
     """Every row of both sides with status matched, left_only or right_only; partners lie in [left - before, left + after].
 

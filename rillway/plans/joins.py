@@ -83,7 +83,9 @@ def order_wide(spark, d):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey")
 def join_basic(spark, d):
-    return table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey")
+    """Each supplier with each customer of its nation; the rows grow with the square of the tables."""
+    s, c = table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return joins.dealt_join(s, c, "s_nationkey", "c_nationkey").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT coalesce(a.k, b.k) AS nation, coalesce(l, '') AS \"left\", coalesce(r, '') AS \"right\" FROM (SELECT s_nationkey AS k, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS r FROM customer GROUP BY 1) b ON a.k = b.k")
