@@ -32,6 +32,16 @@ def floored(df: DataFrame, secs: Column, size: int, keys: list[str], aggs: list[
     return df.groupBy((secs - F.pmod(secs, F.lit(size))).alias("start_s"), *keys).agg(*aggs)
 
 
+def unique_counts(df: DataFrame, secs: Column, size: int, key: str, rsd: float, salts: int = 8) -> DataFrame:
+    """start_s, uv, exact: distinct keys of each tumbling window, by a sketch with that relative error and exactly.
+
+    Each key is taken once in its window before anything is counted, so that there are as many sketches as windows and salts, not one for each key.
+    """
+    start = (secs - F.pmod(secs, F.lit(size))).alias("start_s")
+    once = df.select(start, F.pmod(F.xxhash64(key), F.lit(salts)).alias("_salt"), key).repartition("start_s", "_salt").distinct()
+    return once.groupBy("start_s").agg(F.approx_count_distinct(key, rsd).alias("uv"), F.count(key).alias("exact"))
+
+
 def running_average(df: DataFrame, secs: Column, bucket: int, value: str, key: str) -> DataFrame:
     """key, start_s, avg of all values up to the end of each bucket: sums by bucket first, then a running window."""
     b = df.groupBy(key, (secs - F.pmod(secs, F.lit(bucket))).alias("start_s")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))

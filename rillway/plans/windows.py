@@ -109,7 +109,7 @@ def uv_hourly(spark, d, behavior=None):
 @query(f"WITH {EV} SELECT DISTINCT s - s % 3600 AS start_s, true AS near FROM ev")
 def uv_hourly_approx(spark, d):
     """Distinct users by a sketch of fixed size, and whether it lies within five in a hundred of the exact count."""
-    out = windows.floored(events(spark, d), seconds(), 3600, [], [F.approx_count_distinct("user_id", 0.01).alias("uv"), F.count_distinct("user_id").alias("exact")])
+    out = windows.unique_counts(events(spark, d), seconds(), 3600, "user_id", 0.01)
     return out.select("start_s", (F.abs(F.col("uv") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("near"))
 
 

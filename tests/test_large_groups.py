@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from rillway.operators import joins
+from rillway.operators import joins, windows
 
 
 def plan(df):
@@ -28,3 +28,11 @@ def test_join_of_hot_keys_is_dealt_to_tasks(spark):
 def test_join_without_partners(spark):
     a, b = spark.range(3).withColumnRenamed("id", "x"), spark.range(5, 7).withColumnRenamed("id", "y")
     assert joins.dealt_join(a, b, "x", "y").collect() == []
+
+
+def test_unique_counts_take_one_sketch_for_a_window(spark):
+    e = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (3601, 7), (3602, None), (7200, None)], "s bigint, u bigint")
+    out = windows.unique_counts(e, F.col("s"), 3600, "u", 0.01)
+    assert sorted(map(tuple, out.collect())) == [(0, 2, 2), (3600, 1, 1), (7200, 0, 0)]
+    keyed = [block for block in plan(out).split("\n\n") if "Aggregate" in block and "Functions" in block and "approx_count_distinct" in block]
+    assert keyed and all("Keys [1]" in block for block in keyed)
