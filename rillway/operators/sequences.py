@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 STRICT, RELAXED, ANY = "strict", "relaxed", "any"
+FOUND = 10_000  # matches that are handed on together
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,7 @@ class _Plan:
             out.append((j, 0, STRICT))
         return out
 
-    def matches(self, rows: list[tuple[int, int, int]], within: int) -> Iterator[list[tuple[int, int]]]:
+    def matches(self, rows: Iterable[tuple[int, int, int]], within: int) -> Iterator[list[tuple[int, int]]]:
         """The (second, id) lists of all matches in rows of (second, id, bits)."""
         end = len(self.times)
         starts = [e for e in self.expect(-1, 0) if e[0] < end]
@@ -86,7 +90,8 @@ def detect(df: DataFrame, key: str, order: str, secs: str, stages: list[Stage],
 
     order is a column of unique integers that orders rows of the same second; its values are the ids. Each row may start a match;
     matches overlap freely. Conditions are evaluated by Spark, only their bits go to the fold. A hot key is cut into stretches of time
-    as long as a match can be: each goes with the one after it, and gives the matches that start in it. Null keys, and rows
+    as long as a match can be: each goes with the one after it, and gives the matches that start in it. A task reads its stretches
+    one after the other, row by row, and holds what is begun of one. Null keys, and rows
     without a time, belong to no match; an empty table gives an empty result.
     """
     plan = _Plan(tuple(x.times for x in stages), tuple(x.after for x in stages), tuple(x.again for x in stages))
@@ -99,13 +104,38 @@ def detect(df: DataFrame, key: str, order: str, secs: str, stages: list[Stage],
     stretch = F.floor(F.col("s") / width).cast("bigint")
     dealt = given.select("*", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
 
-    def run(t: pa.Table) -> pa.Table:
-        here = t.column("stretch")[0].as_py()
-        rows = sorted(zip(t.column("s").to_pylist(), t.column("id").to_pylist(), t.column("bits").to_pylist()))
-        found = [m for m in plan.matches(rows, within) if m[0][0] // width == here]
-        one = t.column(0).slice(0, 1).combine_chunks()
-        keys = one.take(pa.array([0] * len(found), pa.int64()))
-        return pa.table([keys, pa.array([m[0][0] for m in found], pa.int64()), pa.array([m[-1][0] for m in found], pa.int64()), pa.array([[i for _, i in m] for m in found], pa.list_(pa.int64()))], [key, "first_s", "last_s", "ids"])
+    # rows of a group come one after the other, the first one with number 1
+    placed = dealt.withColumn("n", F.row_number().over(Window.partitionBy(key, "stretch").orderBy("s", "id")))
+    schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL("first_s bigint, last_s bigint, ids array<bigint>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, type_ = 0, None
+
+        def rows() -> Iterator[tuple[int, pa.RecordBatch, int, tuple[int, int, int], int]]:
+            nonlocal group, type_
+            for b in batches:
+                type_ = b.column(0).type
+                for i, (s, id_, bits, stretch, n) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)))):
+                    group += n == 1
+                    yield group, b, i, (s, id_, bits), stretch
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            k, first, last, ids = zip(*found)
+            return pa.record_batch([pa.array(k, type_), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], [key, "first_s", "last_s", "ids"])
+
+        found: list[tuple] = []
+        for _, members in groupby(rows(), itemgetter(0)):
+            _, b, i, row, here = next(members)
+            k = None
+            for m in plan.matches(chain([row], (r[3] for r in members)), within):
+                if m[0][0] // width == here:
+                    k = b.column(0)[i].as_py() if k is None else k
+                    found.append((k, m[0][0], m[-1][0], [id_ for _, id_ in m]))
+                    if len(found) >= FOUND:
+                        yield batch(found)
+                        found = []
+        if found:
+            yield batch(found)
 
     # a stretch without a row of its own gives no match
-    return dealt.groupBy(key, "stretch").applyInArrow(run, f"{key} {dict(df.dtypes)[key]}, first_s bigint, last_s bigint, ids array<bigint>")
+    return placed.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from rillway.operators import joins, windows
+from rillway.operators import joins, sequences, windows
 
 
 def plan(df):
@@ -36,3 +36,20 @@ def test_unique_counts_take_one_sketch_for_a_window(spark):
     assert sorted(map(tuple, out.collect())) == [(0, 2, 2), (3600, 1, 1), (7200, 0, 0)]
     keyed = [block for block in plan(out).split("\n\n") if "Aggregate" in block and "Functions" in block and "approx_count_distinct" in block]
     assert keyed and all("Keys [1]" in block for block in keyed)
+
+
+def test_stages_read_many_keys_in_one_go(spark):
+    e = spark.range(3000).select((F.col("id") % 1000).alias("u"), F.expr("id div 1000 * 40 + id % 7").alias("s"), "id")
+    out = sequences.detect(e.withColumn("kind", F.col("s") % 2), "u", "id", "s", [sequences.Stage(F.col("kind") == 0), sequences.Stage(F.col("kind") == 0, after=sequences.ANY)], 60)
+    rows = {}
+    for i in range(3000):
+        rows.setdefault(i % 1000, []).append((i // 1000 * 40 + i % 7, i))
+    want = sorted((u, a[0], b[0], [a[1], b[1]]) for u, r in rows.items() for a in r for b in r if (a < b and a[0] % 2 == b[0] % 2 == 0 and b[0] - a[0] <= 60))
+    assert sorted(map(tuple, out.collect())) == want and want
+    assert "FlatMapGroups" not in plan(out)
+
+
+def test_stages_with_a_text_key_and_more_matches_than_a_batch(spark):
+    e = spark.range(300).select(F.lit("a").alias("u"), F.lit(5).alias("s"), "id", F.lit(True).alias("hit"))
+    out = sequences.detect(e, "u", "id", "s", [sequences.Stage(F.col("hit")), sequences.Stage(F.col("hit"), after=sequences.ANY)], 60)
+    assert out.count() == 300 * 299 // 2 and out.first()["u"] == "a"
