@@ -7,7 +7,8 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -24,6 +25,15 @@ BUCKETS = 1024  # groups that keys are dealt to
 Step = Callable[[tuple, tuple | None, list[tuple], int], tuple[tuple | None, list[tuple], int | None]]
 
 
+#: What goes in the place of a null, by type.
+STAND_INS = {"byte": 0, "short": 0, "integer": 0, "long": 0, "float": 0, "double": 0, "boolean": False, "string": ""}
+
+
+def carried(n: int) -> list[str]:
+    """Names of the columns that rows are handed over in: the key, the time, the row."""
+    return [f"c{i}" for i in range(n + 1)]
+
+
 def names(ddl: str) -> list[str]:
     return StructType.fromDDL(ddl).fieldNames()
 
@@ -46,10 +56,16 @@ class InOrder(StatefulProcessor):
         self.memory = handle.getValueState("memory", PACKED)
         self.alarm = handle.getValueState("alarm", StructType([StructField("ms", LongType())]))
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        kept = {tuple(r[c] for c in self.keys): (tuple(r[c] for c in self.memory_names), None) for r in initialState["kept"]}
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        kept = {tuple(r[c] for c in self.keys): (tuple(r[c] for c in self.memory_names), None) for part in initialState["kept"] for r in part}
         self.memory.update((pickle.dumps(kept),))
 
+    def tuples(self, f: pd.DataFrame) -> Iterator[tuple]:
+        """(the key, time in us, the columns of the row), with None where a column stands for a null."""
+        rows = zip(*(f[c].tolist() for c in carried(len(self.keys) + len(self.row))))
+        for t, gone in zip(rows, f["nulls"].tolist()):
+            yield tuple(None if gone >> i & 1 else v for i, v in enumerate(t)) if gone else t
+
     def hold(self, rows: list[tuple]) -> None:
         """Rows in order of time, as a chunk."""
         at, part = rows[0][len(self.keys)], 0
@@ -57,11 +73,8 @@ class InOrder(StatefulProcessor):
             part += 1
         self.rows.updateValue((at, part), (pickle.dumps(rows),))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new, place, width = [], None, len(self.keys)
-        for r in rows:
-            place = place or itemgetter(*map(r.__fields__.index, [*self.keys, "at_us", *self.row]))
-            new.append(place(tuple(r)))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, width = [t for f in rows for t in self.tuples(f)], len(self.keys)
         new.sort(key=itemgetter(width))
         for i in range(0, len(new), CHUNK):
             self.hold(new[i : i + CHUNK])
@@ -73,7 +86,7 @@ class InOrder(StatefulProcessor):
             self.alarm.update((first,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, width = timerValues.getCurrentWatermarkInMs(), len(self.keys)
         packed = self.memory.get()
         memory: dict[tuple, tuple] = pickle.loads(packed[0]) if packed else {}
@@ -91,7 +104,7 @@ class InOrder(StatefulProcessor):
             if cut < len(held):
                 self.hold(held[cut:])
                 later.append(held[cut][width] // 1000)
-        make = Row(*self.columns)
+        found: list[tuple] = []
         for k, rows in due.items():
             rows.sort(key=itemgetter(1, 2))
             kept, out, wake = self.step(k, memory[k][0] if k in memory else None, rows, now)
@@ -99,7 +112,12 @@ class InOrder(StatefulProcessor):
                 memory.pop(k, None)
             else:
                 memory[k] = (kept, max(wake, now + 1) if wake is not None else None)
-            yield from (make(*r) for r in out)
+            found += out
+            if len(found) >= CHUNK:
+                yield pd.DataFrame(found, columns=self.columns, dtype=object)
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=self.columns, dtype=object)
         if memory:
             self.memory.update((pickle.dumps(memory),))
         elif packed:
@@ -125,11 +143,16 @@ def in_order(events: DataFrame, key: str | list[str], delay: str, step: Step, me
     given = events if "s" in events.columns else events.withColumn("s", F.unix_seconds("ts"))
     held = [f"_k{i}" for i in range(len(keys))]
     typed = [F.col(k).cast(given.schema[k].dataType).alias(n) for n, k in zip(held, keys)]
+    # batches of columns are much faster than rows, but hold no null beside whole numbers: a bit stands for it
+    told = [*keys, "at_us", *names(row)]
+    given = given.withColumn("at_us", F.unix_micros("ts"))
+    plain = [F.coalesce(F.col(c), F.lit(STAND_INS[t]).cast(t)).alias(n) if (t := given.schema[c].dataType.typeName()) in STAND_INS else F.col(c).alias(n) for c, n in zip(told, carried(len(told) - 1))]
+    bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(told)]
     bucket = F.pmod(F.xxhash64(*[F.col(k).cast(given.schema[k].dataType) for k in keys]), F.lit(buckets)).alias("bucket")
-    e = given.withWatermark("ts", delay).select(bucket, "ts", *typed, F.unix_micros("ts").alias("at_us"), *names(row))
+    e = given.withWatermark("ts", delay).select(bucket, "ts", *plain, sum(bits[1:], bits[0]).alias("nulls"))
     step_ = InOrder(step, held, names(memory), names(out), names(row))
     start = initial.groupBy(bucket).agg(F.collect_list(F.struct(*typed, *names(memory))).alias("kept")).groupBy("bucket") if initial is not None else None
-    return e.groupBy("bucket").transformWithState(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
+    return e.groupBy("bucket").transformWithStateInPandas(statefulProcessor=step_, outputStructType=out, outputMode="Append", timeMode="EventTime", initialState=start)
 
 
 def consecutive_fails(events: DataFrame, times: int, within: int, delay: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import contextlib
 import io
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rillway.operators import joins, sequences, windows
+from rillway.streaming import stateful, twins
 
 
 def plan(df):
@@ -53,3 +55,37 @@ def test_stages_with_a_text_key_and_more_matches_than_a_batch(spark):
     e = spark.range(300).select(F.lit("a").alias("u"), F.lit(5).alias("s"), "id", F.lit(True).alias("hit"))
     out = sequences.detect(e, "u", "id", "s", [sequences.Stage(F.col("hit")), sequences.Stage(F.col("hit"), after=sequences.ANY)], 60)
     assert out.count() == 300 * 299 // 2 and out.first()["u"] == "a"
+
+
+def test_ordered_state_takes_batches_of_columns(spark):
+    class State(dict):
+        value = None
+        get, clear = lambda self, *a: self.value, lambda self: setattr(self, "value", None)
+        update = lambda self, v: setattr(self, "value", v)
+        containsKey, removeKey, getValue, updateValue = dict.__contains__, dict.pop, dict.get, dict.__setitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.getMapState, self.getValueState = set(), lambda *a: State(), lambda *a: State()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 5000
+
+    step = stateful.InOrder(lambda key, memory, rows, now: (None, [(key[0], id_, kind) for _, _, id_, kind in rows], None), ["_k0"], [], ["u", "id", "kind"], ["id", "kind"])
+    step.init(Handle())
+    # a null is told by its bit, and whole numbers stay exact beside it
+    given = pd.DataFrame([(7, 2_000_000, 2**53 + 1, "b", 0), (0, 1_000_000, 0, "", 1 | 4 | 8), (7, 9_000_000, 3, "c", 0)], columns=["c0", "c1", "c2", "c3", "nulls"])
+    assert list(step.handleInputRows((1,), iter([given]), None)) == [] and step.handle.timers == {1000}
+    out = [t for f in step.handleExpiredTimer((1,), Times(), None) for t in f.itertuples(index=False, name=None)]
+    assert sorted(out, key=str) == [(7, 2**53 + 1, "b"), (None, None, None)] and 9000 in step.handle.timers
+
+
+def test_ordered_state_keeps_nulls_of_a_stream(spark):
+    rows = [(1, 2**60 + 1, 10, "a"), (1, None, 20, None), (None, 3, 30, "b"), (-1, -1, 99_999, "closing")]
+    e = spark.createDataFrame(rows, "u bigint, id bigint, s bigint, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    step = lambda key, memory, rows, now: (None, [(key[0], id_, kind) for _, _, id_, kind in rows], None)
+    stream = twins.arrivals(e, "ts", F.lit(0), stretches=2, closing={"u": F.lit(-1), "s": F.lit(10**7)})
+    out = twins.drain(stateful.in_order(stream, "u", "1 second", step, "n bigint", "u bigint, id bigint, kind string", "id bigint, kind string"), "append")
+    got = sorted(map(tuple, out.where("coalesce(u, 0) >= 0").select("u", "id", "kind").collect()), key=str)
+    assert got == sorted([r[:2] + r[3:] for r in rows[:3]], key=str)
