@@ -266,9 +266,12 @@ def stream_order_detail(spark, d):
     l = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("bigint").alias("net"), F.col("l_shipdate").alias("shipped_at"))
     # a line is known with its order, whenever it ships: its time is the order's here
     l = l.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("ordered_at").alias("at")), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "net", (F.col("at") + F.expr("INTERVAL 1 HOUR") * (F.col("l_linenumber") % 24)).alias("detail_at"))
-    orders = twins.arrivals(o, "ordered_at", F.col("o_orderkey") * 7919 % 86400, closing={"o_orderkey": F.lit(-1)})
-    lines = twins.arrivals(l, "detail_at", F.col("l_orderkey") * 104729 % 86400, closing={"l_orderkey": F.lit(-2)})
-    out = keyed.order_detail(orders, lines, F.col("l_orderkey") == F.col("o_orderkey"), "2 DAYS", "1 day")
+    # both come side by side, in as many micro-batches as the lines need: orders ahead of their lines would wait in the state
+    came = F.col("o_orderkey") * 7919 % 86400
+    pace = twins.paced(o, "ordered_at", came, rows=spark.read.parquet(f"{d}/lineitem.parquet").count())
+    orders = twins.arrivals(o, "ordered_at", came, closing={"o_orderkey": F.lit(-1)}, pace=pace)
+    lines = twins.arrivals(l, "detail_at", F.col("l_orderkey") * 104729 % 86400, closing={"l_orderkey": F.lit(-2)}, pace=pace)
+    out = keyed.left_join(orders, lines, "o_orderkey", "l_orderkey", 2 * 86400, "1 day")
     return twins.drain(out, "append").where("o_orderkey >= 0").select("o_orderkey", "l_linenumber", "l_partkey", "net")
 
 

@@ -7,8 +7,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: Those of a stream: a commit of state writes what has changed, not all files of the store.
+STREAM_SETTINGS = {k: v for k, v in SETTINGS.items() if ".stateStore." in k}
+
 
 def session(name: str = "rillway", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
