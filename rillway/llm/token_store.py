@@ -24,6 +24,7 @@ from rillway.llm.common import cut, kept, scratch
 MAGIC = b"EFIDS\x01"
 SAMPLE = 128  # a select sample for so many values
 FILE_IDS = 4_000_000  # a file is closed once it holds so many ids
+BATCH_DOCS, SLICE = 1000, 1_000_000  # documents that a task is handed at once, and bytes of text that it encodes at once
 
 _HEAD = struct.Struct("<6sBBQQQq")  # magic, id width, flags, documents, null doc_ids, ids, first doc_id
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -165,7 +166,7 @@ class WordTokenizer:
     texts are put together by array gathers. known bounds the parts kept: beyond it, the half met less often goes.
     """
 
-    def __init__(self, path: str, known: int = 600_000):
+    def __init__(self, path: str, known: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -289,7 +290,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int) -> DataFra
             rows.append((file, part, number, len(ids), held))
             number, names, ids, held = number + 1, [], [], 0
 
-        for b in in_slices(batches, 4_000_000):
+        for b in in_slices(batches, SLICE):
             names += b.column(0).to_pylist()
             new = words.encode_batch([t or "" for t in b.column(1).to_pylist()], end)
             ids += new
@@ -303,7 +304,13 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file", "part", "number", "n_docs", "n_ids"])
 
     dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = cut(dealt.mapInArrow(write, "file string, part int, number int, n_docs bigint, n_ids bigint"), "token-files")
+    conf, setting = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, str(BATCH_DOCS))
+    try:
+        files = cut(dealt.mapInArrow(write, "file string, part int, number int, n_docs bigint, n_ids bigint"), "token-files")
+    finally:
+        conf.set(setting, before)
     # running sums in two steps, so that no task sees the files of all parts
     groups = files.groupBy((F.col("part") / 1024).cast("int").alias("grp")).agg(F.sum("n_ids").alias("ids"))
     before = groups.select("grp", (F.sum("ids").over(Window.orderBy("grp")) - F.col("ids")).alias("before"))

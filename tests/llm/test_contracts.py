@@ -21,6 +21,20 @@ def test_added_tokens_are_found_before_lower_casing():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_words_kept_are_bounded():
+    """A task's words don't add up over many documents: beyond the bound those met less often go, and come again with the same ids."""
+    import public_tokenizers
+
+    ours = token_store.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    first = ours.encode_batch(["w0x w1x again"], 2)
+    most = 0
+    for k in range(14):
+        ours.encode_batch([" ".join(f"w{i}x" for i in range(40_000 * k, 40_000 * (k + 1)))], 2)
+        most = max(most, len(ours.slots))
+    assert most <= 450_000
+    assert ours.encode_batch(["w0x w1x again"], 2) == first
+
+
 @pytest.mark.parametrize("values", [[], [0], [7] * 300, list(range(0, 100_000, 7)), sorted(random.Random(1).choices(range(10**9), k=2000)), [0] * 5 + [10**12]])
 def test_select_many(values):
     f = token_store.EliasFano.build(np.array(values, np.int64))
