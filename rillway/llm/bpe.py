@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from rillway.llm.common import kept
 
 #: Fixed value: how byte-level BPE files cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN = 150_000  # words whose ids a task keeps for later batches
+KNOWN = 150_000  # pieces whose ids a task keeps for later batches
+PAIRS = 200_000  # pairs of tokens of which a task knows whether they stay apart
+SLICE = 1_000_000  # bytes of text that a task encodes at once
 
 _CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -54,9 +57,9 @@ class PrefixBpe:
             made = self.id[a + b]
             self.merge[self.id[a], self.id[b]] = rank, made
         # an entry that merging its own bytes can't give is never the last token
-        self.reachable = {i for b, i in self.id.items() if self._merged(b) == [i]}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.units = {i: np.array([i], "<u4").tobytes() for i in self.bytes}
+        self.reachable = {b: i for b, i in self.id.items() if self._merged(b) == [i]}
+        self.apart: dict[int, bool] = {}
+        self.span = max(self.bytes) + 1
 
     def _merged(self, raw: bytes) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals."""
@@ -71,15 +74,13 @@ class PrefixBpe:
 
     def _stay_apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b gives a and b again."""
-        known = self.apart.get((a, b))
-        if known is None:
-            known = self.apart[a, b] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
-            if len(self.apart) > 300_000:
-                self.apart.clear()
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        known = self.apart[a * self.span + b] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        ids, reachable, longest = self.id, self.reachable, self.longest
+        ids, longest, apart, span = self.reachable, self.longest, self.apart, self.span
         last: list[tuple[int, int]] = [(-1, 0)]  # for each prefix length: its last token and that token's length
         before = b""
         for word in sorted(words):
@@ -93,11 +94,15 @@ class PrefixBpe:
             for end in range(len(last), n + 1):
                 for start in range(end - 1, max(0, end - longest) - 1, -1):
                     token = ids.get(word[start:end])
-                    if token is None or token not in reachable:
+                    if token is None:
                         continue
-                    if start == 0 or self._stay_apart(last[start][0], token):
-                        last.append((token, end - start))
-                        break
+                    if start:
+                        a = last[start][0]
+                        known = apart.get(a * span + token)
+                        if not (self._stay_apart(a, token) if known is None else known):
+                            continue
+                    last.append((token, end - start))
+                    break
             out, at = [], n
             while at:
                 token, size = last[at]
@@ -109,13 +114,17 @@ class PrefixBpe:
 
 
 class Encoder:
-    """Whole texts, with the ids of frequent words kept between batches."""
+    """Whole texts, with the ids of frequent pieces kept between batches.
+
+    Pieces are kept in two generations of at most KNOWN / 2 each: what is met again moves to the younger one, and when that
+    is full the older one goes. A piece that is one word stands for that word, too: cut on its own, a word stays whole.
+    """
 
     def __init__(self, path: str):
         self.bpe = PrefixBpe(path)
-        self.words: dict[bytes, bytes] = {}
-        self.marks = {m: self.bpe.units[i] for m, i in self.bpe.special.items()}
-        self.chunks: dict[bytes | str, bytes] = dict(self.marks)
+        self.marks: dict[bytes | str, bytes] = {m: np.array([i], "<u4").tobytes() for m, i in self.bpe.special.items()}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.pattern = regex.compile(PATTERN)
         self.stop = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
 
@@ -137,21 +146,43 @@ class Encoder:
                 pieces = self._pieces(text)
             parts.append(pieces)
             new.update(pieces)
-        new -= self.chunks.keys()
-        cuts = {p: [w.encode() for w in self.pattern.findall(p.decode())] for p in new}
-        missing = {w for c in cuts.values() for w in c} - self.words.keys()
-        for word, ids in self.bpe.encode_words(missing):
-            self.words[word] = np.array(ids, "<u4").tobytes()
-        for p, c in cuts.items():
-            self.chunks[p] = self.words[c[0]] if len(c) == 1 else b"".join([self.words[w] for w in c])
-        get = self.chunks.__getitem__
+        new -= self.marks.keys()
+        found = self._ids(new)
+        get = (found | self.marks).__getitem__
         out = [b"".join(map(get, ps)) for ps in parts]
-        if len(self.words) > KNOWN:
-            self.words.clear()
-        if len(self.chunks) > KNOWN:
-            self.chunks = dict(self.marks)
+        self._keep(found)
         return out
 
+    def _ids(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct pieces."""
+        young, old = self.young, self.old
+        found, cuts, words = {}, {}, set()
+        for p in pieces:
+            ids = young.get(p) or old.get(p)
+            if ids is not None:
+                found[p] = ids
+                continue
+            cut = [w.encode() for w in self.pattern.findall(p.decode())]
+            if len(cut) > 1:
+                cuts[p] = cut
+            words.update(cut)
+        for w in words:
+            ids = young.get(w) or old.get(w)
+            if ids is not None:
+                found[w] = ids
+        for w, ids in self.bpe.encode_words(words - found.keys()):
+            found[w] = np.array(ids, "<u4").tobytes()
+        for p, cut in cuts.items():
+            found[p] = b"".join([found[w] for w in cut])
+        return found
+
+    def _keep(self, found: dict[bytes, bytes]) -> None:
+        """Adds what a batch has met, as far as there is room."""
+        half = KNOWN // 2
+        if len(self.young) + len(found) > half:
+            self.old, self.young = self.young, {}
+        self.young |= found if len(found) <= half else dict(islice(found.items(), half))
+
     def decode_batch(self, ids: list[bytes]) -> list[str]:
         table = self.bpe.bytes
         return [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in ids]
@@ -162,7 +193,7 @@ def encoder(path: str) -> Encoder:
     return kept(f"bpe {path}", lambda: Encoder(path))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose last column, a text, has about so many bytes; one text stays whole."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy().astype(np.int64))

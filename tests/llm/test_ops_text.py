@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD, SF
 from pyspark.sql import functions as F
@@ -161,6 +162,24 @@ def test_bpe_is_the_library(spark, odd, none):
     assert bpe.encode_documents(none, path).count() == 0
 
 
+def test_bpe_memory_is_bounded():
+    """However many words come by, few pieces are kept, those met again stay, and texts are taken in small slices."""
+    enc, asked = bpe.Encoder(queries.tokenizer("byte_bpe_50k.json")), Counter()
+    walk = enc.bpe.encode_words
+
+    def counted(words):
+        asked.update(words)
+        return walk(words)
+
+    enc.bpe.encode_words = counted
+    for k in range(12):
+        enc.encode_batch([" ".join(["often", *(f"{i:x}q" for i in range(k * 20_000, (k + 1) * 20_000)), "often"])])
+        assert sum(len(v) for v in vars(enc).values() if isinstance(v, dict)) <= bpe.KNOWN + len(enc.marks)
+    assert asked[b" often"] == 1
+    texts = pa.record_batch([pa.array(["x" * 10_000] * 500)], ["text"])
+    assert max(b.column(0).nbytes for b in bpe.in_slices(iter([texts]))) < 1_100_000
+
+
 def test_bpe_random_words():
     from tokenizers import Tokenizer
 
