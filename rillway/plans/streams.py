@@ -33,7 +33,8 @@ def stream_slide_count(spark, d):
 @twin("session_count")
 def stream_session_count(spark, d):
     """Each session once, when it is over."""
-    return twins.drain(twins.session_counts(twins.event_stream(spark, d, closing=True), "6 hours", "user_id", "10 minutes"), "append").drop("batch")
+    e = twins.event_stream(spark, d, closing=True, keep=["user_id", "ts"])
+    return twins.drain(twins.session_counts(e, "6 hours", "user_id", "10 minutes"), "append", count_state=False).drop("batch")
 
 
 @twin("uv_hourly")

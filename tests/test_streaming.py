@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from rillway import catalog
 from rillway.sources import readers, sinks
 from rillway.streaming import stateful, twins
 
@@ -31,6 +32,19 @@ def test_stretches_are_micro_batches(spark):
     assert any(b.low < a.high for a, b in zip(times, times[1:]))  # rows of a later batch are older than some before
 
 
+def test_sessions_carry_no_other_columns(spark, monkeypatch):
+    """The stream of sessions is written with the two columns that it needs, in the order of arrival that a dropped column sets; the setting for uncounted state is taken back."""
+    made, arrivals = [], twins.arrivals
+    monkeypatch.setattr(twins, "arrivals", lambda *a, **k: made.append(arrivals(*a, **k)) or made[-1])
+    got = catalog.QUERIES["stream_session_count"](spark, SF)
+    assert made[0].columns == ["user_id", "ts"]
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    assert got.agg(F.sum("cnt")).first()[0] == e.count() and got.where("user_id < 0").count() == 0
+    came = [twins.drain(x, "append").where("user_id >= 0").groupBy("batch").agg(F.min("ts"), F.max("ts"), F.count("*")) for x in (made[0], twins.event_stream(spark, SF, closing=True))]
+    assert rows(came[0], *came[0].columns) == rows(came[1], *came[1].columns)
+    assert spark.conf.get(twins.COUNTING, "true") == "true"
+
+
 def test_fails_over_batches(spark, tmp_path):
     e = batches(spark, f"{tmp_path}/e", [(1, 10, 7, "error"), (3, 30, 7, "error")], [(2, 20, 7, "error"), (4, 40, 7, "view")], [(5, 50, 7, "error")], [(6, 60, 7, "error"), (7, 70, 7, "error")])
     assert rows(twins.drain(stateful.consecutive_fails(e, 3, 20, "1 minute"), "append"), "user_id", "first_s", "last_s") == [(7, 10, 30), (7, 50, 70)]
