@@ -17,6 +17,8 @@ SIEVE = 1 << 24  # bits
 MAP_BITS = 1 << 14  # bits of a set's bitmap at most
 GROUP = 4096  # bitmaps that a task compares with each other, about
 BLOCK_GRAMS = 500_000  # n-grams of the sets in one trie, about
+LAST_ROUNDS = 4  # how often common n-grams are looked for and put last
+LAST = 1 << 20  # common n-grams that a round puts last, at most
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -65,7 +67,7 @@ def components(work: Work, edges: DataFrame, name: str) -> DataFrame:
     now = work.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
-        print_of = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        print_of = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()  # a sum of hashes overflows from 2 ** 24 rows on
         if before == print_of:
             break
         before = print_of
@@ -260,6 +262,69 @@ def _forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: in
     return out + [(-1, i, int(count[i])) for i in np.flatnonzero(count).tolist()]
 
 
+def _posted(classes: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """h, cid: the n-grams of each class's prefix that another may share, from its sampled ones (first) and those behind them (then)."""
+    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    shared = classes.select("cid", "n", F.size("first").alias("sampled"), F.explode("first").alias("h")).join(frequent, "h")
+    mine = Window.partitionBy("cid")
+    shared = shared.withColumn("rare", F.col("sampled") - F.count("*").over(mine)).where(F.col("rare") < prefix)
+    shared = shared.withColumn("rank", F.row_number().over(mine.orderBy("df", "h"))).where(F.col("rank") <= prefix - F.col("rare"))
+    return shared.select("h", "cid").unionByName(classes.select(F.explode("then").alias("h"), "cid"))
+
+
+def _without_common(g: np.ndarray, common: np.ndarray, bound: np.uint64, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's sampled n-grams and those behind them in its prefix, where common ones (sorted) come last in the order."""
+    at = np.searchsorted(common, g)
+    last = common[np.minimum(at, len(common) - 1)] == g
+    first, then = g[~last & (g < bound)], g[~last & (g >= bound)]
+    left = max(0, prefix - len(first))
+    return first, np.concatenate([then[:left], g[last][: max(0, left - len(then))]])
+
+
+def _put_last(work: Work, given: DataFrame, classes: DataFrame, frequent: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
+    """keys (h, cid), with n-grams that more than GROUP unlike sets have in their prefixes moved to the end of the global order.
+
+    A line that a share of the corpus holds would bring all its sets together, and the comparisons would grow with the square of the
+    corpus. Any order serves, so no link is lost: sets with such an n-gram in their prefix get their next ones instead, and their texts
+    alone are looked at again; the prefixes of others stay. In near copies most of the prefix is common; their n-grams
+    stay where they are, as a few leaders cover them. The common n-grams of a round go through the driver: one for GROUP keys, LAST at most.
+    """
+    common, bound = np.zeros(0, np.uint64), np.uint64(int(SAMPLE * 2**64))
+    for _ in range(LAST_ROUNDS):
+        many = work.cut(keys.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP), "many")
+        if many.isEmpty():
+            break
+        share = keys.join(many, "h", "left").groupBy("cid").agg(F.avg(F.col("m").isNotNull().cast("int")).alias("share")).where("share > 0")
+        unlike = keys.join(many, "h").join(share, "cid").groupBy("h", "m").agg(F.avg("share").alias("share")).where("share < 0.5")
+        found = np.array([r.h for r in unlike.orderBy(F.desc("m"), "h").limit(LAST).select("h").collect()], np.int64).view(np.uint64)
+        found = np.setdiff1d(found, common)
+        if not len(found):
+            break
+        common = np.union1d(common, found)
+        moved = work.spark.createDataFrame(pa.table({"h": pa.array(found.view(np.int64))}))
+        again = work.cut(keys.join(F.broadcast(moved), "h", "left_semi").select("cid").distinct(), "again")
+        todo = work.cut(classes.join(again, "cid").select("cid", "doc_id", "d1", "d2", "n"), "todo")
+        wanted, held = _sieve(todo.select("doc_id")), work.spark.sparkContext.broadcast(common)
+
+        def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with np.errstate(over="ignore"):
+                for b in batches:
+                    sets = [g for t in b.column(1).filter(pa.array(wanted(b.column(0)))).to_pylist() if len(g := ngrams(t, n))]
+                    names = [set_name(g) for g in sets]
+                    parts = [_without_common(g, held.value, bound, prefix_size(len(g), percent)) for g in sets]
+                    cols = [pa.array(x, pa.int64()) for x in ([a for a, _ in names], [b for _, b in names])]
+                    cols += [pa.array([p[k].view(np.int64) for p in parts], pa.list_(pa.int64())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(cols, ["d1", "d2", "first", "then"])
+
+        new = given.select(F.xxhash64("doc_id"), "text").mapInArrow(reorder, "d1 bigint, d2 bigint, first array<bigint>, then array<bigint>")
+        new = work.cut(todo.drop("doc_id").join(new, ["d1", "d2"]).dropDuplicates(["cid"]), "reordered")
+        held.destroy()
+        keys = work.cut(keys.join(again, "cid", "left_anti").select("h", "cid").unionByName(_posted(new, frequent, percent)), "prefixes")
+        work.drop("again", "todo", "reordered")
+    work.drop("many")
+    return keys
+
+
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, n_links.
 
@@ -273,8 +338,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     1. Equal sets become one class; its members are never paired.
     2. Global order: n-grams whose hash is in the lowest SAMPLE of the range come first, rare ones before frequent
-       ones, then the others by hash. Sets that link share an n-gram of their prefixes. A class whose rare sampled
-       n-grams alone fill its prefix has no partner and is dropped.
+       ones, then the others by hash, and last those that very many unlike sets have in their prefixes (_put_last). Sets that
+       link share an n-gram of their prefixes. A class whose rare sampled n-grams alone fill its prefix has no partner and is dropped.
     3. Classes that share a prefix n-gram are compared by bitmaps of two bits for each n-gram: bits apart are never more
        than n-grams apart, so pairs that differ in too many bits don't link. N-grams with the same first class make one
        group; a large group is dealt to parts of about GROUP, each is covered by leaders, and only leaders meet those of
@@ -316,15 +381,11 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = work.cut(described.select("doc_id", "d1", "d2", "n"), "members")
     work.drop("sets")
 
-    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    grams = classes.select("cid", "n", F.size("first").alias("sampled"), F.explode("first").alias("h"))
     # counts are written before they are joined: both sides are then plain shuffles, and a hot n-gram can be split
-    frequent = work.cut(grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
-    shared = grams.join(frequent, "h")
-    mine = Window.partitionBy("cid")
-    shared = shared.withColumn("rare", F.col("sampled") - F.count("*").over(mine)).where(F.col("rare") < prefix)
-    shared = shared.withColumn("rank", F.row_number().over(mine.orderBy("df", "h"))).where(F.col("rank") <= prefix - F.col("rare"))
-    keys = work.cut(shared.select("h", "cid").unionByName(classes.select(F.explode("then").alias("h"), "cid")), "prefixes")
+    frequent = classes.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    frequent = work.cut(frequent, "frequent")
+    keys = work.cut(_posted(classes, frequent, percent), "prefixes")
+    keys = _put_last(work, given, classes, frequent, keys, n, percent)
     work.drop("frequent")
 
     # n-grams whose first class is the same make one group: near copies share many n-grams, and meet once

@@ -225,6 +225,34 @@ def test_jaccard_chain(spark, monkeypatch):
     assert ours(d, 4, 85) == want and len({c for _, _, (_, c), _ in want}) == 91
 
 
+def test_jaccard_common_line(spark, monkeypatch):
+    """A line that unlike texts share brings few of them together, and no link is lost; in short texts all n-grams may be common."""
+    monkeypatch.setattr(jaccard, "GROUP", 16)
+    most, old = [], jaccard.Work.cut
+
+    def cut(self, df, name):
+        out = old(self, df, name)
+        if name == "sizes":
+            most.append(out.selectExpr("max(m)").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard.Work, "cut", cut)
+    bound = np.uint64(int(jaccard.SAMPLE * 2**64))
+    with np.errstate(over="ignore"):
+        line = next(t for i in range(100) if jaccard.ngrams(t := f"under c{i} by", 3)[0] < bound)
+    rows = []
+    for k in range(150):
+        w = [line] + [f"x{k}y{i}" for i in range(40 + k % 30)]
+        rows += [(2 * k, " ".join(w)), *([(2 * k + 1, " ".join(w[:-2] + [f"z{k}"]))] if k % 10 == 0 else [])]
+    rows += [(1000 + k, " ".join([line, *f"x{k % 3}".split(), "end"])) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(d, 3, 80) == linked(rows, 3, 80)
+    assert max(most) <= 2 * jaccard.GROUP
+    g, common = np.arange(10, dtype=np.uint64), np.array([0, 1, 5, 6, 7], np.uint64)
+    assert [x.tolist() for x in jaccard._without_common(g, common, np.uint64(4), 4)] == [[2, 3], [4, 8]]
+    assert [x.tolist() for x in jaccard._without_common(g, common, np.uint64(4), 7)] == [[2, 3], [4, 8, 9, 0, 1]]
+
+
 def test_trie_passes_over_subtrees():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint64)) for _ in range(120)] + [np.arange(30, dtype=np.uint64), np.arange(31, dtype=np.uint64)] * 2
