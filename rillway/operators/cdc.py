@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillway.operators.parsing import prune_map
 from rillway.operators.state import latest_by
-from rillway.sources.sinks import upsert_batch
+from rillway.sources.sinks import log_batch, read_log
 
 
 def normalize(records: DataFrame, databases: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
@@ -75,10 +76,10 @@ def dimension_rows(routed: DataFrame) -> DataFrame:
 
 def write_dimensions(root: str):
     """For foreachBatch, over dimension_rows: each row put into the table that it names, by its key; a delete stays as a mark, so that an older change that comes late doesn't bring the row back."""
-    return upsert_batch(root, "pk", "seq", within=["sink_table"])
+    return log_batch(root, ["sink_table", "pk"], "seq", within=["sink_table"])
 
 
 def read_dimensions(spark: SparkSession, root: str) -> DataFrame:
     """What the tables under root hold: sink_table, pk, data. A filter on sink_table reads that table's folder alone."""
-    rows = spark.read.schema("sink_table string, pk string, type string, data map<string,string>, seq bigint, of int, bucket int").parquet(root)
+    rows = read_log(spark, root, StructType.fromDDL("sink_table string, pk string, type string, data map<string,string>, seq bigint"), ["sink_table", "pk"], "seq")
     return rows.where("type <> 'delete'").select("sink_table", "pk", "data")

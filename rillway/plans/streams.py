@@ -196,7 +196,7 @@ def stream_dim_route(spark, d):
 def stream_dim_upsert(spark, d):
     """The same, each micro-batch put into the tables that its rows name."""
     root = work_folder(spark, "dimensions")
-    twins.upserted(cdc.dimension_rows(_routed(spark, d)), cdc.write_dimensions(root))
+    twins.upserted(cdc.dimension_rows(_routed(spark, d)), cdc.write_dimensions(root), once=True)
     return cdc.read_dimensions(spark, root).select("sink_table", F.col("pk").cast("bigint").alias("id"), _value("status").alias("status"), _value("total").cast("bigint").alias("total"))
 
 

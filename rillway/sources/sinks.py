@@ -10,11 +10,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 TASK_ROWS = 250_000  # rows that a task of an upsert sorts, on an average
 SALTS = 64  # parts of a folder's rows; small ones are joined again
+FOLD_ROWS = 8_000_000  # rows of micro-batches that a table of log_batch holds beside its base, at least
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -100,6 +101,45 @@ def upsert_batch(path: str, key: str, version: str, within: list[str] = (), buck
     return write
 
 
+def log_batch(path: str, key: list[str], version: str, within: list[str] = (), fold_rows: int | None = None):
+    """For writeStream.foreachBatch: a keyed table as a log, of which read_log() gives the newest row of each key.
+
+    A batch is written once into a folder of its number and touches no rows that are there; one that runs again replaces its folder. When
+    the batches hold more rows than the base beside them, and fold_rows at least, all are folded to the newest row of each key, the next base: over many
+    batches a row is written anew a few times, however large the table is, where upsert_batch() rewrites each bucket that a batch falls in.
+    What was folded is deleted after its base is there; rows that stand in both fold to the same. within, columns of the key, are folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, least = batch.sparkSession, fold_rows or FOLD_ROWS
+
+        def put(rows: DataFrame, name: int) -> None:
+            rows.withColumn("log", F.lit(name).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*within, "log").parquet(path)
+
+        put(batch, number + 2)  # above zero, as a snapshot may be number -1; bases are below, the later the higher
+        held = {r.log: r["count"] for r in spark.read.schema("log bigint").parquet(path).groupBy("log").count().collect()}
+        new = sum(n for name, n in held.items() if name > 0)
+        if new < least or new < sum(n for name, n in held.items() if name < 0):
+            return
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(held.values()) // TASK_ROWS))
+        put(read_log(spark, path, batch.schema, key, version, parts), max((name for name in held if name < 0), default=-(1 << 40)) + 1)
+        for name in sorted(held):  # the oldest first: what is left of them after an error is newer than what is gone
+            old = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *["*"] * len(within), f"log={name}"]))
+            files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in files.globStatus(old):
+                files.delete(found.getPath(), True)
+
+    return write
+
+
+def read_log(spark: SparkSession, path: str, schema: StructType, key: list[str], version: str, parts: int | None = None) -> DataFrame:
+    """The newest row of each key in a table of log_batch, as it is now; among rows of one version that of the latest batch."""
+    from rillway.operators.state import latest_by
+
+    rows = spark.read.schema(StructType([*schema.fields, StructField("log", LongType())])).parquet(path)
+    return latest_by(rows.repartition(parts, *key) if parts else rows, key, [version, "log"]).drop("log")
+
+
 def rebucket(spark: SparkSession, path: str, to: str, key: str, schema: StructType, buckets: int, within: list[str] = ()) -> str:
     """A table of upsert_batch that has outgrown its buckets, with its schema (of, bucket left out), written anew with another number of them."""
     rows = _in_buckets(spark.read.schema(schema).parquet(path).select(*schema.names), key, buckets)

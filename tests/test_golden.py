@@ -191,6 +191,30 @@ def test_first_rows_set_the_buckets(spark, tmp_path):
     assert spark.read.schema("of int").parquet(str(tmp_path / "t")).first().of == 100
 
 
+def test_log_of_batches(spark, tmp_path):
+    """A batch rewrites no rows that are there; folding them now and then keeps the newest row of each key, the latest batch's on ties, and leaves the base alone."""
+    from rillway.sources.sinks import log_batch, read_log
+
+    root, want, names, written = tmp_path / "t", {}, set(), 0
+    write = log_batch(str(root), ["t", "id"], "v", within=["t"], fold_rows=50)
+    schema = spark.createDataFrame([], "t string, id int, v int, b int").schema
+    for n in range(12):
+        rows = [("xy"[i % 2], i * 7 % 60, 1000 - i if n == 3 else (n + i) // 3, n) for i in range(0 if n == 1 else 20)]
+        for _ in range(2 if n in (2, 6) else 1):  # one that runs again changes nothing
+            before = {str(f) for f in root.glob("t=*/log=*/*.parquet")}
+            write(spark.createDataFrame(rows, schema), n)
+            after = {str(f) for f in root.glob("t=*/log=*/*.parquet")}
+            written += len(after - before) > 0 and any("log=-" in f for f in after - before)
+        for t, i, v, b in rows:
+            if (t, i) not in want or v >= want[t, i][0]:
+                want[t, i] = (v, b)
+        got = {(r.t, r.id): (r.v, r.b) for r in read_log(spark, str(root), schema, ["t", "id"], "v").collect()}
+        assert got == want
+        names = {f.name for f in root.glob("t=*/log=*")}
+        assert sum(x.startswith("log=-") for x in names) <= 1
+    assert 2 <= written <= 4
+
+
 def test_dimensions_by_table(spark, tmp_path):
     """Each row in the table that it names: keys of two tables stay apart, deletes hold against older changes that come late."""
     root, write = str(tmp_path / "t"), cdc.write_dimensions(str(tmp_path / "t"))
