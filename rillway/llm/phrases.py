@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     counted = table.select("shard", "uid", "text").mapInArrow(phrases, "shard int, uid bigint, h bigint, p int")
     counted = work.cut(counted.groupBy("shard", "h").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("p", "uid").alias("p")), "phrase-counts")
     recurring = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.min_by("p", "uid").alias("p")).where("n > 1")
-    wanted = recurring.groupBy(shard_of("uid").alias("shard")).agg(F.collect_list(F.struct("uid", "p", "h")).alias("s"))
+    wanted = recurring.select(shard_of("uid").alias("shard"), "uid", "p", "h")
 
     def spell(left: pa.Table, right: pa.Table) -> pa.Table:
         places = _by_document(right)
@@ -141,18 +141,17 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         for uid, text in zip(left["uid"].to_pylist(), left["text"].to_pylist()):
             if uid in places:
                 t = Words(text)
-                out += ((s["h"], t.between(s["p"], s["p"] + PHRASE)) for s in places[uid])
+                out += ((h, t.between(p, p + PHRASE)) for h, p in zip(places[uid]["h"].tolist(), places[uid]["p"].tolist()))
         return pa.table({"h": pa.array([h for h, _ in out], pa.int64()), "phrase": pa.array([x for _, x in out], pa.binary())})
 
     # written before it is joined: both sides are then plain shuffles, and a hot phrase can be split
     spelt = work.cut(_zip(table.select("shard", "uid", "text"), wanted, spell, "h bigint, phrase binary"), "recurring")
-    known = counted.select("shard", "h").join(spelt, "h").groupBy("shard").agg(F.collect_list(F.struct("h", "phrase")).alias("s"))
+    known = counted.select("shard", "h").join(spelt, "h").select("shard", "h", "phrase")
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = ahocorasick.Automaton()
-        for x in right["s"].combine_chunks():
-            for h, phrase in zip(*(x.values.field(c) for c in ("h", "phrase"))):
-                automaton.add_word(f" {phrase.as_py().decode('latin-1')} ", h.as_py() & 0xFFFFFFFFFFFFFFFF)
+        for h, phrase in zip(right["h"], right["phrase"]):
+            automaton.add_word(f" {phrase.as_py().decode('latin-1')} ", h.as_py() & 0xFFFFFFFFFFFFFFFF)
         out: list[tuple] = []
         if len(automaton):
             automaton.make_automaton()
@@ -166,8 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     distinct = places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("at"))
     distinct = work.cut(distinct, "stretches")
     mixed = work.cut(distinct.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h"), "mixed")
-    todo = distinct.join(mixed, "h").select(shard_of("at.uid").alias("shard"), F.struct("at.uid", "at.a", "at.b", F.least("n", F.lit(2)).alias("n")).alias("s"))
-    todo = todo.groupBy("shard").agg(F.collect_list("s").alias("s"))
+    todo = distinct.join(mixed, "h").select(shard_of("at.uid").alias("shard"), "at.uid", "at.a", "at.b", F.least("n", F.lit(2)).alias("n"))
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -175,15 +173,15 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         for uid, text in zip(left["uid"].to_pylist(), left["text"].to_pylist()):
             if uid in wanted:
                 t = Words(text)
-                for s in wanted[uid]:
-                    out += [(*t.digest(k, k + window), s["n"], uid, k) for k in range(s["a"], s["b"] + 1)]
+                for a, b, n in zip(*(wanted[uid][c].tolist() for c in ("a", "b", "n"))):
+                    out += [(*t.digest(k, k + window), n, uid, k) for k in range(a, b + 1)]
         return _table(out, ["d1", "d2", "n", "uid", "k"])
 
     looked = _zip(table.select("shard", "uid", "text"), todo, windows, "d1 bigint, d2 bigint, n bigint, uid bigint, k bigint")
     single = looked.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.min("k").alias("k")).where("n = 1")
     # where stretches were located, and which of their windows stand alone
     found = places.select("uid", "a", "b").unionByName(single.select("uid", F.col("k").alias("a"), F.lit(-1).cast("bigint").alias("b")))
-    last = work.cut(found.groupBy(shard_of("uid").alias("shard")).agg(F.collect_list(F.struct("uid", "a", "b")).alias("s")), "found")
+    last = work.cut(found.select(shard_of("uid").alias("shard"), "uid", "a", "b"), "found")
     work.drop("places", "stretches", "mixed")
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -194,10 +192,10 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             n, gone = len(words), 0
             if uid in stretches:
                 again = np.zeros(n - window + 1, bool)
-                for s in stretches[uid]:
-                    if s["b"] >= 0:
-                        again[s["a"] : s["b"] + 1] = True
-                again[[s["a"] for s in stretches[uid] if s["b"] < 0]] = False
+                first, upto = stretches[uid]["a"], stretches[uid]["b"]
+                for a, b in zip(first[upto >= 0].tolist(), upto[upto >= 0].tolist()):
+                    again[a : b + 1] = True
+                again[first[upto < 0]] = False
                 edge = np.zeros(n + 1, np.int64)
                 edge[: len(again)] += again
                 edge[window : window + len(again)] -= again
@@ -214,12 +212,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     return out
 
 
-def _by_document(right: pa.Table) -> dict[int, list[dict]]:
-    """The structs of a shard's lists, by their uid."""
-    out: dict[int, list[dict]] = {}
-    for s in (x for r in right["s"].to_pylist() for x in r):
-        out.setdefault(s["uid"], []).append(s)
-    return out
+def _by_document(right: pa.Table) -> dict[int, dict[str, np.ndarray]]:
+    """The columns of a shard's rows for each uid."""
+    cols = {c: right[c].to_numpy() for c in right.column_names}
+    by = np.argsort(cols["uid"], kind="stable")
+    edge = np.flatnonzero(np.diff(cols["uid"][by], prepend=-1))  # numbers are from zero on
+    return {int(cols["uid"][rows[0]]): {c: x[rows] for c, x in cols.items()} for rows in np.split(by, edge[1:]) if len(rows)}
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -227,6 +225,9 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols)})
 
 
-def _zip(table: DataFrame, lists: DataFrame, f, schema: str) -> DataFrame:
-    """f on each shard's documents and what is known for the shard; only the lists are shuffled."""
-    return table.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(f, schema)
+def _zip(table: DataFrame, rows: DataFrame, f, schema: str) -> DataFrame:
+    """f on each shard's documents and what is known for the shard; only the rows are shuffled.
+
+    They stay rows, which Spark sorts by shard and can spill: gathered in a list a shard, those of all shards of a task would lie on the heap at once.
+    """
+    return table.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(f, schema)

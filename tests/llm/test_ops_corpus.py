@@ -149,6 +149,23 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
+def test_phrases_stay_rows(spark, monkeypatch):
+    """What is known for a shard comes to it as rows: lists of several shards would lie on a task's heap at once."""
+    rng, sent, old = np.random.default_rng(6), [], phrases._zip
+    monkeypatch.setattr(phrases, "SHARD_CHARS", 3000)
+
+    def zip_(table, rows, f, schema):
+        sent.append([t for _, t in rows.dtypes])
+        return old(table, rows, f, schema)
+
+    monkeypatch.setattr(phrases, "_zip", zip_)
+    same = [f"s{i}" for i in range(70)]
+    rows = [(k, " ".join([f"x{k}y{i}" for i in range(20)] + same[: int(rng.integers(0, 70))] + [f"z{k}{i}" for i in range(15)])) for k in range(40)] + [(99, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in phrases.remove_repeats(d).collect()) == cleaned_words(rows, 35)
+    assert len(sent) == 4 and not any("array" in t for kinds in sent for t in kinds)
+
+
 def linked(rows, n, percent):
     sets = [shingles(t, n) for _, t in rows]
     kinds = sorted(set(sets) - {frozenset()}, key=len)
